@@ -17,9 +17,10 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Memo, raw, slices, table
@@ -170,12 +171,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the column `out`: the bytes that the ids stand for; null ids give null."""
 
-    @F.pandas_udf("binary")
-    def bytes_of(ids):  # noqa: ANN001, ANN202
+    def bytes_of(ids: pd.Series) -> pd.Series:
         known = vocabulary(path, pattern)
         return ids.map(lambda own: None if own is None else known.decode(list(own)))
 
-    return encoded.withColumn(out, bytes_of(F.col(ids_col)))
+    bytes_of.__annotations__ = {"ids": pd.Series, "return": pd.Series}
+    return encoded.withColumn(out, F.pandas_udf(bytes_of, "binary")(F.col(ids_col)))
 
 
 @cache
@@ -185,7 +186,11 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def ids_digest(ids: Column) -> Column:
+    """SHA-256 of the decimal ids, joined by one space."""
+    return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode(table(spark, sf_dir, "documents"), *default_tokenizer(), decoded=True)
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,12 +6,11 @@ runs at a task's ends, two at most, are settled by summing them over tasks. The
 document that loses lines; texts move only where a caller applies the bitmaps.
 """
 
-from __future__ import annotations
-
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -136,16 +135,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int32()), pa.array(keeps, pa.binary())], ["id", "mark", "n_lines", "n_dropped", "keep"])
 
 
-@F.pandas_udf("string")
-def _kept(text, keep):  # noqa: ANN001, ANN202
-    import pandas as pd
-
-    def one(t: str, bits: bytes) -> str:
-        lines = t.split("\n")
+def _kept(texts: pd.Series, keeps: pd.Series) -> pd.Series:
+    def one(text: str, bits: bytes) -> str:
+        lines = text.split("\n")
         on = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(lines))
         return "\n".join(x for x, k in zip(lines, on, strict=True) if k)
 
-    return pd.Series([one(t, k) for t, k in zip(text, keep, strict=True)], dtype=object)
+    return pd.Series([one(t, k) for t, k in zip(texts, keeps, strict=True)], dtype=object)
 
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text") -> DataFrame:
@@ -156,7 +152,7 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_i
     marks = bitmaps.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep"))
     both = keyed.join(marks, ["__id", "__mark"], "left")
     # Only documents that lose lines pass through Python.
-    changed = both.filter("__keep is not null").withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.col("__n").cast("long"), out: _kept(text, F.col("__keep"))})
+    changed = both.filter("__keep is not null").withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.col("__n").cast("long"), out: F.pandas_udf(_kept, "string")(text, F.col("__keep"))})
     same = both.filter("__keep is null").withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.lit(0).cast("long"), out: text})
     return changed.unionByName(same).drop("__id", "__mark", "__n", "__keep")
 
