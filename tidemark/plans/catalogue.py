@@ -1,4 +1,325 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for the engine's own: documents are records (summary = text, kind and status = lang, changed = n_chars),
+conversations the message log, events a keyed changelog, orders keyed state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import elapsed, geometry, text
+from tidemark.operators import journal, log, oplog, places, records, reducer
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+CANON = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+FNV = "lpad(printf('%x', list_reduce([cast({1} as bigint)] || list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: cast(unicode(c) as bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)), 8, '0')"
+
+
+def canon(column: str) -> str:
+    return CANON.format(column)
+
+
+def fnv(column: str) -> str:
+    return "(" + " || ".join(FNV.format(column, seed) for seed in text.FNV_SEEDS) + ")"
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.lit("active").alias("status"), F.col("text").alias("summary"), F.col("n_chars").alias("changed"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat"), F.col("turn").alias("pos"), "role", "text")
+
+
+_HIT = f"lang in ('en', 'fr') and contains(' ' || {canon('text')}, ' th') and contains(' ' || {canon('text')}, ' an')"
+
+
+@query(f"select doc_id, lang, n_chars from documents where {_HIT} order by coalesce(n_chars, -1) desc, cast(doc_id as varchar) limit 30")
+def search_prefix_topk(spark, d):
+    return records.search(documents(spark, d), "Th an", kinds=("en", "fr")).select(F.col("id").alias("doc_id"), F.col("kind").alias("lang"), F.col("changed").alias("n_chars"))
+
+
+@query(f"select count(*) as total_matched from documents where {_HIT}")
+def search_total(spark, d):
+    return records.matches(documents(spark, d), "Th an", kinds=("en", "fr")).agg(F.count("*").alias("total_matched"))
+
+
+@query("select o_orderstatus as status, count(*) as n, count(*) filter (o_totalprice > 100000) as n_large, max(o_orderkey) as newest from orders group by 1")
+def state_summary(spark, d):
+    return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("n_large"), F.max("o_orderkey").alias("newest"))
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
+def latest_per_key(spark, d):
+    return records.latest_per_key(read(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""with m as (select max(event_id) as top from events)
+select case when top - event_id <= 10 then 'recent' when event_type in ('click', 'view') then 'ongoing' else 'facts' end as bucket, count(*) as n, count(distinct user_id) as n_users
+from events, m group by 1""")
+def recent_buckets(spark, d):
+    events = read(spark, d, "events")
+    top = events.agg(F.max("event_id").alias("top"))
+    bucket = F.when(F.col("top") - F.col("event_id") <= 10, "recent").when(F.col("event_type").isin("click", "view"), "ongoing").otherwise("facts")
+    return events.join(F.broadcast(top)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
+_WORDS = f"list_filter(string_split({canon('text')}, ' '), lambda w: w <> '')"
+
+
+@query(f"select doc_id, md5({canon('text')}) as canonical_md5, len({_WORDS}) as n_words, len(list_distinct({_WORDS})) as n_distinct from documents")
+def canonical_tokens(spark, d):
+    own = text.canonical_text(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.md5(own.cast("binary")).alias("canonical_md5"), F.size(text.words(own)).cast("long").alias("n_words"), F.size(F.array_distinct(text.words(own))).cast("long").alias("n_distinct"))
+
+
+@query(r"""select doc_id, cast(ceil((coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: ceil(length(w) / 3.5))), 0)
+  + length(regexp_replace(text, '[A-Za-z0-9_\s]+', '', 'g'))) * 1.12) as bigint) as n_tokens from documents""")
+def token_budget(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("n_tokens"))
+
+
+def _strip_sql(column: str, tag: str) -> str:
+    out = column
+    for pattern in (rf"<{tag}\b[^>]*/>", rf"<{tag}\b[^>]*>.*?</{tag}\s*>", rf"<{tag}\b[^>]*>.*$"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'gis')"
+    return out
+
+
+_CLEAN = _strip_sql(_strip_sql(_strip_sql("coalesce(html, '')", "script"), "style"), "nav")
+
+
+@query(f"select page_id, length({_CLEAN}) as n_chars, md5({_CLEAN}) as clean_md5 from pages")
+def sanitize_blocks(spark, d):
+    own = F.col("html")
+    for tag in ("script", "style", "nav"):
+        own = text.strip_tagged_block(own, tag)
+    return read(spark, d, "pages").select("page_id", F.length(own).cast("long").alias("n_chars"), F.md5(own.cast("binary")).alias("clean_md5"))
+
+
+_EX = """with e as (select *, min(case when role = 'assistant' then turn end) over (partition by conv_id order by turn rows between current row and unbounded following) as end_turn from conversations),
+x as (select * from e where end_turn is not null and role <> 'system')"""
+
+
+@query(f"{_EX} select conv_id, end_turn, min(turn) as start_turn, count(*) as n_rows from x group by all")
+def exchange_windows(spark, d):
+    return log.exchange_windows(messages(spark, d)).select(F.col("chat").alias("conv_id"), F.col("end_pos").alias("end_turn"), F.col("start_pos").alias("start_turn"), "n_rows")
+
+
+@query(f"{_EX} select * from (select conv_id, end_turn, turn, role, row_number() over (partition by conv_id, end_turn order by turn desc) as rank from x) where rank <= 4")
+def exchange_newest4(spark, d):
+    return log.newest_rows(messages(spark, d)).select(F.col("chat").alias("conv_id"), F.col("end_pos").alias("end_turn"), F.col("pos").alias("turn"), "role", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{_EX}, w as (select conv_id, end_turn, count(*) as n from x group by all) select conv_id, count(*) as n_windows, min(end_turn) as first_end, max(end_turn) as last_end, cast(sum(n) as bigint) as n_rows, count(*) > 1024 as over_limit from w group by conv_id")
+def rebuild_plan(spark, d):
+    return log.rebuild_plan(messages(spark, d)).select(F.col("chat").alias("conv_id"), "n_windows", F.col("first_end").alias("first_end"), F.col("last_end").alias("last_end"), "n_rows", "over_limit")
+
+
+_FP = "with f as (select conv_id, turn, '{\"content\":' || cast(to_json(coalesce({0}, '')) as varchar) || ',\"is_system\":' || (role = 'system') || ',\"is_user\":' || (role = 'user') || ',\"name\":\"\",\"role\":' || cast(to_json(coalesce(role, '')) as varchar) || '}' as j from conversations)".replace("{0}", "text")
+_PRINT = f"{_FP}, p as (select conv_id, turn, {fnv('j')} as fingerprint from f)"
+
+
+@query(f"{_PRINT} select conv_id, turn, fingerprint from p")
+def fingerprints(spark, d):
+    return messages(spark, d).select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"), log.fingerprint(F.col("role"), F.col("text")).alias("fingerprint"))
+
+
+@query(f"""with recursive {_PRINT[5:]}, n as (select *, row_number() over (partition by conv_id order by turn) as k from p),
+c as (select conv_id, turn, k, 'root' as parent_key, 'ln_' || {fnv("('root|' || fingerprint)")} as lineage_key from n where k = 1
+  union all select n.conv_id, n.turn, n.k, c.lineage_key, 'ln_' || {fnv("(c.lineage_key || '|' || n.fingerprint)")} from c join n on n.conv_id = c.conv_id and n.k = c.k + 1)
+select conv_id, turn, parent_key, lineage_key from c""")
+def lineage_chain(spark, d):
+    return log.lineage(messages(spark, d)).select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"), "parent_key", "lineage_key")
+
+
+@query("""with a as (select conv_id, turn, role || '|' || text as k from conversations),
+b as (select conv_id, turn, role || '|' || text || case when (conv_id * 7 + turn) % 11 = 0 then '!' else '' end as k from conversations where not (conv_id % 5 = 0 and turn > 2))
+select conv_id, coalesce(min(case when a.k is distinct from b.k then turn end), -1) as diverges_at from a full join b using (conv_id, turn) group by conv_id""")
+def lineage_divergence(spark, d):
+    own = messages(spark, d).withColumn("k", F.concat_ws("|", "role", "text"))
+    mark = F.when((F.col("chat") * 7 + F.col("pos")) % 11 == 0, "!").otherwise("")
+    edited = own.filter(~((F.col("chat") % 5 == 0) & (F.col("pos") > 2))).withColumn("k", F.concat("k", mark))
+    return log.divergence(own, edited, "k").withColumnRenamed("chat", "conv_id")
+
+
+@query(f"""with s as (select item_id * 100000 + i as claim_id, {canon('s')} as needle from (select item_id, unnest(string_split(text, '.')) as s, generate_subscripts(string_split(text, '.'), 1) - 1 as i from benchmark)),
+c as (select * from s where length(needle) >= 8 and len(list_filter(string_split(needle, ' '), lambda w: length(w) > 1)) >= 2), d as (select doc_id, ' ' || {canon('text')} || ' ' as hay from documents)
+select claim_id, doc_id as source_id from c, d where contains(hay, ' ' || needle || ' ')""")
+def grounded_claims(spark, d):
+    parts = read(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.", -1)).alias("i", "text"))
+    claims = parts.select((F.col("item_id") * 100000 + F.col("i")).alias("claim_id"), "text")
+    return records.grounded(claims, read(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+_RECENT = "the thing and when of threading"
+_OWN = f"list_distinct({_WORDS})"
+
+
+@query(f"""with r as (select doc_id, n_chars, length({canon('lang')}) as al, list_contains(string_split('{_RECENT}', ' '), {canon('lang')}) as a, {_OWN} as own, list_intersect({_OWN}, string_split('{_RECENT}', ' ')) as sh from documents),
+s as (select doc_id, n_chars, case when a then 5 * (1 + least(1.5, al / 24)) else 0 end + 2.5 * case when len(sh) = 0 then 0 when len(sh) = 1 then case when length(sh[1]) >= 7 and len(own) <= 3 then least(0.7, length(sh[1]) / 16) else 0 end
+  else least(1.0, len(sh) / greatest(2, least(len(own), 8))) end as raw from r),
+t as (select doc_id, n_chars, floor(case when raw > 0 then raw + case when 20000 - n_chars < 0 then 0 when 20000 - n_chars <= 4 then 0.8 when 20000 - n_chars <= 16 then 0.45 when 20000 - n_chars <= 48 then 0.2 else 0 end else 0 end * 1000 + 0.5) / 1000 as score from s)
+select doc_id, score from t where score >= 0.9 order by score desc, n_chars desc, cast(doc_id as varchar) limit 6""")
+def relevance_topk(spark, d):
+    scored = records.relevance(documents(spark, d).withColumn("anchors", F.array("kind")), _RECENT, now=20000)
+    return records.top_relevant(scored).select(F.col("id").alias("doc_id"), "score")
+
+
+@query(f"""with k as (select doc_id, lang, {canon('text')} as c from documents), f as (select coalesce(lang, '') as lang, c, min(doc_id) as first_id, count(*) as n_copies from k group by all)
+select doc_id, first_id, n_copies from k join f on coalesce(k.lang, '') = f.lang and k.c = f.c""")
+def exact_duplicates(spark, d):
+    return records.exact_duplicates(documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""with k as (select doc_id, lang, list_sort({_OWN}) as own from documents), s as (select lang, own, min(doc_id) as id from k where len(own) > 0 group by all),
+p as (select a.id as left_id, b.id as right_id, len(list_intersect(a.own, b.own)) as n, len(a.own) + len(b.own) as m from s a join s b on a.lang = b.lang and a.id < b.id and least(len(a.own), len(b.own)) >= 0.78 * greatest(len(a.own), len(b.own)))
+select left_id, right_id, round(n / (m - n), 9) as similarity from p where n / (m - n) >= 0.78""")
+def near_duplicates(spark, d):
+    return records.similar_records(documents(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""with a as (select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as st from orders where o_orderkey % 13 <> 0
+  union all select o_orderkey + 100000000, o_orderstatus from orders where o_orderkey % 17 = 0)
+select o_orderkey, case when o.o_orderstatus is null then 'added' when a.st is null then 'removed' else 'changed' end as change, o.o_orderstatus as before_status
+from orders o full join a using (o_orderkey) where o.o_orderstatus is distinct from a.st""")
+def keyed_diff(spark, d):
+    before = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("st"))
+    after = before.filter("o_orderkey % 13 <> 0").withColumn("st", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("st"))).unionByName(before.filter("o_orderkey % 17 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000))
+    return journal.keyed_undo(before, after, "o_orderkey").select("o_orderkey", "change", F.col("before.st").alias("before_status"))
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type from events where event_id <= 500 group by user_id")
+def state_as_of(spark, d):
+    own = journal.changelog(read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    return journal.state_as_of(own, "user_id", "event_id", "event_type", 500)
+
+
+@query("select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 49)")
+def compact_refs(spark, d):
+    return journal.referenced(read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", read(spark, d, "lineitem").filter("l_quantity >= 49"), "l_partkey")
+
+
+@query("""select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as r, min(event_id) over (partition by user_id) as root from events) where r <= 5 or event_id = root""")
+def trim_pinned(spark, d):
+    from pyspark.sql import Window
+
+    rooted = read(spark, d, "events").select("user_id", "event_id").withColumn("root", F.min("event_id").over(Window.partitionBy("user_id")))
+    return records.keep_newest(rooted, "user_id", "event_id", 5, F.col("event_id") == F.col("root")).select("user_id", "event_id")
+
+
+_XY = "cast(embedding[1] as double) as x, cast(embedding[2] as double) as y"
+_POINT = "(['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'])"
+
+
+def _points(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query(f"select vec_id, case when x = 0 and y = 0 then null else {_POINT}[1 + cast(floor((((degrees(atan2(x, y)) + 360) % 360) + 22.5) / 45) as int) % 8] end as direction from (select vec_id, {_XY} from embeddings)")
+def compass(spark, d):
+    return _points(spark, d).select("vec_id", geometry.direction_from_delta(F.col("x"), F.col("y")).alias("direction"))
+
+
+@query(f"""with p as (select vec_id, {_XY}, {_POINT}[1 + vec_id % 8] as dir, 1 + vec_id % 5 as km from embeddings),
+q as (select vec_id, x + km / 2.0 * case when dir = 'east' then 1 when dir = 'west' then -1 when dir in ('northeast', 'southeast') then 0.7071067811865475 when dir in ('northwest', 'southwest') then -0.7071067811865475 else 0 end as rx,
+  y + km / 2.0 * case when dir = 'north' then 1 when dir = 'south' then -1 when dir in ('northeast', 'northwest') then 0.7071067811865475 when dir in ('southeast', 'southwest') then -0.7071067811865475 else 0 end as ry from p),
+r as (select vec_id, round(floor(rx / 0.05 + 1e-12 + 0.5) * 0.05, 6) as x, round(floor(ry / 0.05 + 1e-12 + 0.5) * 0.05, 6) as y from q)
+select vec_id, case when x between -2 and 2 and y between -2 and 2 then x end as x, case when x between -2 and 2 and y between -2 and 2 then y end as y from r""")
+def derive_point(spark, d):
+    points = _points(spark, d).withColumns({"dir": F.element_at(F.array(*map(F.lit, geometry.COMPASS)), (1 + F.col("vec_id") % 8).cast("int")), "km": (1 + F.col("vec_id") % 5).cast("double")})
+    x, y = geometry.derive_point(F.col("x"), F.col("y"), F.col("dir"), F.col("km"), 2.0, 0.05, (-2, 2, -2, 2))
+    return points.select("vec_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("""with o as (select n_nationkey + 1000 as id, n_nationkey as base_id, 'New ' || n_name as name, cast(null as int) as region from nation where n_nationkey % 3 = 0
+  union all select 2000, null, 'Own', 1 union all select 3000, 999, 'Lost', 2)
+select cast(n_nationkey as int) as id, coalesce(o.name, n_name) as name, coalesce(o.region, n_regionkey) as region, case when o.id is null then 'base' else 'override' end as origin from nation left join o on o.base_id = n_nationkey
+union all select id, name, region, case when base_id is null then 'own' else 'orphan' end from o where base_id is null or base_id = 999""")
+def overlay(spark, d):
+    nation = read(spark, d, "nation")
+    base = nation.select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    over = base.filter("id % 3 = 0").select((F.col("id") + 1000).alias("id"), F.col("id").alias("base_id"), F.concat(F.lit("New "), "name").alias("name"), F.lit(None).cast("int").alias("region"))
+    more = spark.createDataFrame([(2000, None, "Own", 1), (3000, 999, "Lost", 2)], "id int, base_id int, name string, region int")
+    return places.effective_places(base, over.unionByName(more), ["name", "region"])
+
+
+@query(f"""with n as (select p_partkey as id, {canon('p_name')} as name from part union all select -n_nationkey - 1, {canon("split_part(p, ' ', 1)")} from (select n_nationkey, (select min(p_name) from part where p_partkey % 25 = n_nationkey) as p from nation)),
+f as (select name, min(id) as pid from n where name <> '' group by name), s as (select id, i, array_to_string(string_split(name, ' ')[1:i], ' ') as st from (select id, name, unnest(range(1, len(string_split(name, ' ')))) as i from n))
+select s.id, arg_max(pid, i) as parent_id from s join f on s.st = f.name where pid <> s.id group by s.id""")
+def name_parents(spark, d):
+    part = read(spark, d, "part")
+    own = part.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
+    heads = part.groupBy((F.col("p_partkey") % 25).alias("k")).agg(F.min("p_name").alias("p")).select((-F.col("k") - 1).cast("long").alias("id"), F.split("p", " ")[0].alias("name"))
+    return records.name_parents(own.unionByName(heads))
+
+
+@query("""with r as (select user_id, max(event_id) as last from events where event_type = 'purchase' group by user_id)
+select e.user_id, e.event_id from events e left join r on r.user_id = e.user_id where event_type = 'error' and (last is null or event_id > last)""")
+def unrecovered_failures(spark, d):
+    return oplog.unrecovered(read(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase").select("user_id", "event_id")
+
+
+_PHRASES = [("3", "days"), ("one", "day"), ("twenty-five", "hours"), ("fifty", "hours"), ("a", "fortnight"), ("two", "decades"), ("few", "days"), ("many", "minutes"), ("3000", "minutes"), ("a", "season"), ("ten", "parsecs"), ("sixty one", "terms")]
+
+
+@query("""select * from (values ('3', 'days', 3, 'day', true), ('one', 'day', 1, 'day', false), ('twenty-five', 'hours', 25, 'hour', false), ('fifty', 'hours', 50, 'hour', true), ('a', 'fortnight', 2, 'week', true),
+('two', 'decades', 20, 'year', true), ('few', 'days', null, 'day', true), ('many', 'minutes', null, 'minute', false), ('3000', 'minutes', 3000, 'minute', true), ('a', 'season', 1, 'season', true), ('ten', 'parsecs', 10, '', false), ('sixty one', 'terms', 61, 'term', true))
+t(word, unit_word, amount, unit, meaningful)""")
+def elapsed_units(spark, d):
+    rows = spark.createDataFrame(_PHRASES, "word string, unit_word string")
+    amount, unit = elapsed.measure(F.col("word"), F.col("unit_word"))
+    return rows.withColumns({"amount": amount, "unit": unit}).withColumn("meaningful", elapsed.meaningful(F.col("amount"), F.col("unit")))
+
+
+@query("""with recursive m as (select p_partkey as id, case when p_partkey % 4 <> 0 and p_partkey > 4 then p_partkey - 3 end as into_ from part),
+c as (select id, id as cur, 0 as n from m union all select c.id, m.into_, n + 1 from c join m on c.cur = m.id where m.into_ is not null and n < 8)
+select id, arg_max(cur, n) as final_id from c group by id""")
+def follow_merges(spark, d):
+    own = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when((F.col("p_partkey") % 4 != 0) & (F.col("p_partkey") > 4), F.col("p_partkey") - 3).alias("merged_into"))
+    return places.follow_merges(own)
+
+
+@query(f"""with p as (select conv_id, turn, {canon('text')} as c from conversations where turn = 0), w as (select conv_id, string_split(c, ' ')[1:12] as w from p where c <> '')
+select conv_id, len(list_distinct(flatten(list_transform([1, 2, 3, 4, 5, 6], lambda k: list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i + k - 1], ' ')))))) as n_phrases from w""")
+def phrase_counts(spark, d):
+    own = F.array_join(F.slice(text.words(text.canonical_text(F.col("text"))), 1, 12), " ")
+    first = messages(spark, d).filter("pos = 0").select(F.col("chat").alias("conv_id"), own.alias("c")).filter("c <> ''")
+    return first.select("conv_id", F.size(text.phrases(F.col("c"))).cast("long").alias("n_phrases"))
+
+
+@query("""select user_id as chat, event_type as record, arg_max(props, event_id) as summary, min(event_id) as created, max(event_id) as evaluated, count(*) as n_mutations from events group by all""")
+def reducer_last_write(spark, d):
+    """The fold over events: the first of a user and type creates its record, later ones update it."""
+    from pyspark.sql import Window
+
+    events = read(spark, d, "events")
+    first = F.min("event_id").over(Window.partitionBy("user_id", "event_type")) == F.col("event_id")
+    none = F.lit(None).cast("string")
+    mutations = events.select(
+        F.col("user_id").alias("chat"), F.col("event_type").alias("record"), F.col("event_id").alias("message"), F.lit(0).cast("long").alias("ordinal"), F.lit("l").alias("lineage"), F.when(first, "create").otherwise("update").alias("action"),
+        F.lit("fact").alias("kind"), F.col("props").alias("summary"), none.alias("status"), none.alias("trend"), none.alias("time_anchor"),
+    )
+    outcomes = reducer.reduce_mutations(mutations)
+    counts = outcomes.filter("outcome = 'applied'").groupBy("chat", "record").agg(F.count("*").alias("n_mutations"))
+    return reducer.current_records(outcomes).join(counts, ["chat", "record"]).select("chat", "record", "summary", "created", "evaluated", "n_mutations")
