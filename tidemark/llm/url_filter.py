@@ -37,6 +37,11 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
+def bucket() -> Column:
+    """The bucket of the host's last label."""
+    return F.pmod(F.xxhash64(F.regexp_extract("host", r"([^.]*)$", 1)), F.lit(BUCKETS)).cast("int")
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """urls (with url, host, path) and the features but suffix_rate, and the suffix's bucket."""
     url = F.coalesce("url", F.lit(""))
@@ -56,7 +61,7 @@ def lexical(urls: DataFrame) -> DataFrame:
         "n_hyphens": F.length(F.regexp_replace(url, "[^-]", "")).cast("double"),
         "has_query": url.contains("?").cast("double"),
         "has_fragment": url.contains("#").cast("double"),
-        "bucket": F.pmod(F.xxhash64(F.regexp_extract("host", r"([^.]*)$", 1)), F.lit(BUCKETS)).cast("int"),
+        "bucket": bucket(),
     })
 
 
@@ -71,22 +76,28 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
-    labelled = lexical(ruled.filter("verdict is not null")).withColumn("label", (F.col("verdict") == "block").cast("double")).select("url", "label", "bucket", *FEATURES[:-1])
-    # At most train_rows rows; the only place where rows are left out.
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(train_rows).cache()
-    seen = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    # A URL that many pages share counts once.
+    labelled = ruled.filter("verdict is not null").select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
+    seen = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(seen) < 2:
         only = "block" if 1.0 in seen else "allow"
         return ruled.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("p_block"))
     rate = seen[1.0] / sum(seen.values())
-    rates = sample.groupBy("bucket").agg(((F.sum("label") + 4 * rate) / (F.count("*") + 4)).alias("suffix_rate"))  # at most BUCKETS rows
+    # Over all labelled URLs; at most BUCKETS rows.
+    rates = labelled.groupBy(bucket().alias("bucket")).agg(((F.sum("label") + 4 * rate) / (F.count("*") + 4)).alias("suffix_rate"))
+    # At most train_rows rows, of each verdict as many as it has or half of them; the only place where rows are left out.
+    order = F.xxhash64("url")
+    block, allow = (labelled.filter(F.col("label") == x) for x in (1.0, 0.0))
+    n_block = int(min(seen[1.0], max(train_rows // 2, train_rows - seen[0.0])))
+    sample = lexical(block.orderBy(order, "url").limit(n_block).unionByName(allow.orderBy(order, "url").limit(train_rows - n_block)))
     known = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
     def whole(df: DataFrame) -> DataFrame:
         return known.transform(df.join(F.broadcast(rates), "bucket", "left").fillna(rate, ["suffix_rate"]))
 
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, cacheNodeIds=False).fit(whole(sample).select("features", "label"))
-    sample.unpersist()
+    fitted_on = whole(sample).select("features", "label").coalesce(8).cache()
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, cacheNodeIds=False).fit(fitted_on)
+    fitted_on.unpersist()
     probability = F.element_at(_array(F.col("probability")), 2)
     rest = model.transform(whole(lexical(ruled.filter("verdict is null")))).select("id", "host", "path", "rule", F.when(probability >= 0.5, "block").otherwise("allow").alias("verdict"), probability.alias("p_block"))
     return ruled.filter("verdict is not null").select("id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("p_block")).unionByName(rest)
