@@ -43,3 +43,16 @@ def referenced(rows: DataFrame, key: str, references: DataFrame, reference: str)
 
 def same_state(left: DataFrame, right: DataFrame) -> bool:
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def coalesce_boundaries(log: DataFrame, key: str, boundary: str, order: str, value: str, newest: int = 256) -> DataFrame:
+    """(key, boundary, seq, before, after): a journal with one entry for each boundary of a key and the newest entries kept.
+
+    An entry takes the earliest before-image and the latest value; seq counts a key's boundaries from 1. log has before_value.
+    """
+    from pyspark.sql import Window
+
+    entries = log.groupBy(key, boundary).agg(F.min_by(F.struct("before_value"), order).alias("b"), F.max_by(F.struct(value), order).alias("a"))
+    own = Window.partitionBy(key)
+    numbered = entries.withColumns({"seq": F.row_number().over(own.orderBy(boundary)), "__n": F.count("*").over(own)})
+    return numbered.filter(F.col("seq") > F.col("__n") - newest).select(key, boundary, "seq", F.col("b.before_value").alias("before"), F.col(f"a.{value}").alias("after"))

@@ -33,3 +33,18 @@ def by_name(places: DataFrame) -> DataFrame:
 
     keyed = places.select("id", canonical_text(F.col("name")).alias("name_key")).filter("name_key <> ''")
     return keyed.groupBy("name_key").agg(F.min("id").alias("id"), (F.count("*") > 1).alias("ambiguous"))
+
+
+def effective_routes(base: DataFrame, own: DataFrame) -> DataFrame:
+    """All routes; a campaign's route replaces the base route of the same id."""
+    kept = base.join(own.select("id"), "id", "left_anti").select(base.columns)
+    return kept.withColumn("origin", F.lit("base")).unionByName(own.select(base.columns).withColumn("origin", F.lit("own")))
+
+
+def strongest_claims(claims: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each key's claim with the strongest source (claims: authority, locked), the newest of equal ones, with its rank."""
+    from tidemark.functions.geometry import authority_rank
+
+    ranked = claims.withColumn("rank", authority_rank(F.col("authority"), F.col("locked")))
+    rest = [c for c in ranked.columns if c != key]
+    return ranked.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("rank", *order)).alias("r")).select(key, "r.*")

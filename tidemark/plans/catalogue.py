@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import elapsed, geometry, text
-from tidemark.operators import journal, log, oplog, places, records, reducer
+from tidemark.operators import branch, evolution, journal, log, oplog, places, records, reducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -323,3 +323,152 @@ def reducer_last_write(spark, d):
     outcomes = reducer.reduce_mutations(mutations)
     counts = outcomes.filter("outcome = 'applied'").groupBy("chat", "record").agg(F.count("*").alias("n_mutations"))
     return reducer.current_records(outcomes).join(counts, ["chat", "record"]).select("chat", "record", "summary", "created", "evaluated", "n_mutations")
+
+
+_EDITED = """edited as (select conv_id, turn, case when (conv_id * 3 + turn) % 7 = 0 then 'system' else role end as role, case when (conv_id + turn) % 13 = 0 then text || ' changed' else '* ' || text end as text
+  from conversations where not (conv_id % 5 = 0 and turn > 2))"""
+_VERSIONS = f"""with {_EDITED}, a as (select conv_id, turn, role, {canon('text')} as said from conversations), b as (select conv_id, turn, role, {canon('text')} as said from edited),
+j as (select conv_id, turn, a.role as l, b.role as r, a.said as ls, b.said as rs from a full join b using (conv_id, turn))"""
+
+
+def _edited(spark, d):
+    own, chat, pos = messages(spark, d), F.col("chat"), F.col("pos")
+    role = F.when((chat * 3 + pos) % 7 == 0, "system").otherwise(F.col("role"))
+    said = F.when((chat + pos) % 13 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.concat(F.lit("* "), "text"))
+    return own.filter(~((chat % 5 == 0) & (pos > 2))).withColumns({"role": role, "text": said})
+
+
+@query(f"""{_VERSIONS}, k as (select conv_id, turn, case when l is null or r is null then 2 when ls is distinct from rs then 2 when l is distinct from r then 1 else 0 end as level from j)
+select conv_id, ['none', 'rebase', 'destructive'][1 + max(level)] as plan, coalesce(min(case when level > 0 then turn end), -1) as first_change from k group by conv_id""")
+def rewrite_plan(spark, d):
+    return branch.rewrite_plan(messages(spark, d), _edited(spark, d)).withColumnRenamed("chat", "conv_id")
+
+
+@query(f"""{_VERSIONS}, k as (select conv_id, coalesce(min(case when l is distinct from r or ls is distinct from rs then turn end), -1) as d, max(case when l is not null then turn end) as last from j group by conv_id)
+select conv_id, d as diverges_at, case when d < 0 then 'same' when last is null or d > last then 'forward' when conv_id % 4 <> 3 and conv_id % 4 <= d then 'journal' when conv_id % 2 = 1 and 0 < d then 'checkpoint' else 'fail' end as plan from k""")
+def branch_plan(spark, d):
+    chats = messages(spark, d).select("chat").distinct()
+    floors = chats.filter("chat % 4 <> 3").withColumn("floor", F.col("chat") % 4)
+    points = chats.filter("chat % 2 = 1").withColumn("pos", F.lit(0))
+    return branch.branch_plan(messages(spark, d), _edited(spark, d), floors, points).withColumnRenamed("chat", "conv_id")
+
+
+@query("""with l as (select conv_id, max(turn) as turn, arg_max(role, turn) as role, arg_max(coalesce(text, ''), turn) as text from conversations group by conv_id)
+select conv_id, turn from l where role = 'assistant' and trim(text) <> '' and (conv_id % 2 = 1 or conv_id % 3 < turn)""")
+def capture_due(spark, d):
+    own = messages(spark, d)
+    captured = own.select("chat", (F.col("chat") % 3).alias("pos")).distinct().filter("chat % 2 = 0")
+    return branch.capture_due(own, captured).select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"))
+
+
+_EVENT = "events where event_type = '{0}'"
+
+
+@query(f"""with r as (select user_id, cast(floor(value) as bigint) % 40 as id, max(event_id) as b from {_EVENT.format('view')} group by all), t as (select user_id, max(event_id) as step from {_EVENT.format('signup')} and event_id % 3 = 0 group by 1),
+s as (select user_id, cast(floor(value) as bigint) % 40 as id, max(event_id) as seen from {_EVENT.format('click')} group by all),
+w as (select r.user_id, r.id, case when step > b then 'time' when seen > b then 'evidence' end as reason from r left join t using (user_id) left join s using (user_id, id))
+select user_id, id, reason from (select *, row_number() over (partition by user_id order by id) as k from w where reason is not null) where k <= 6""")
+def evaluations_due(spark, d):
+    events = read(spark, d, "events").select(F.col("user_id").alias("chat"), (F.floor("value").cast("long") % 40).alias("id"), F.col("event_id").alias("pos"), "event_type")
+    of = lambda kind: events.filter(F.col("event_type") == kind)
+    own = of("view").groupBy("chat", "id").agg(F.max("pos").alias("boundary"))
+    return evolution.due(own, of("signup").filter("pos % 3 = 0"), of("click")).withColumnRenamed("chat", "user_id")
+
+
+@query("""with r as (select c_nationkey as chat, c_custkey as id, coalesce(case when c_custkey % 4 = 0 then c_custkey * 7 % 1000 end, case when c_custkey % 3 = 0 then c_custkey * 11 % 1000 end, -1) as b from customer),
+p as (select *, row_number() over (partition by chat order by id) - 1 as k, count(*) over (partition by chat) as n from r), s as (select * from p where ((k - 10) % n + n) % n < 32)
+select chat, id from (select *, row_number() over (partition by chat order by b, id) as o from s) where o <= 3""")
+def background_turn(spark, d):
+    key = F.col("c_custkey")
+    own = read(spark, d, "customer").select(F.col("c_nationkey").alias("chat"), key.alias("id"), F.when(key % 4 == 0, key * 7 % 1000).alias("evaluated"), F.when(key % 3 == 0, key * 11 % 1000).alias("changed"), F.lit(None).cast("long").alias("created"))
+    return evolution.background(own.withColumn("boundary", evolution.boundary()), cursor=10)
+
+
+@query("""with n as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id desc) as k from events where event_type in ('click', 'purchase'))
+select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as place from n where k <= 4""")
+def evidence_newest4(spark, d):
+    rows = read(spark, d, "events").select("user_id", "event_id", "event_type")
+    return evolution.allowed_evidence(rows, "user_id", "event_id", "event_type", ("click", "purchase")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""with p as (select user_id, event_id from events where event_type = 'purchase'), s as (select user_id, event_id, props from events where event_type = 'view')
+select p.user_id, p.event_id, s.props from p asof left join s on p.user_id = s.user_id and p.event_id >= s.event_id""")
+def timeline_as_of(spark, d):
+    events = read(spark, d, "events").select("user_id", "event_id", "event_type", "props")
+    return evolution.as_of(events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), "user_id", "event_id", "props")
+
+
+@query("""with c as (select user_id, event_id, event_id // 200 as boundary, event_type, lag(event_type) over (partition by user_id order by event_id) as b from events),
+e as (select user_id, boundary, first(b order by event_id) as before, first(event_type order by event_id desc) as after from c group by all),
+n as (select *, row_number() over (partition by user_id order by boundary) as seq, count(*) over (partition by user_id) as n from e)
+select user_id, boundary, seq, before, after from n where seq > n - 20""")
+def journal_entries(spark, d):
+    rows = read(spark, d, "events").select("user_id", "event_id", "event_type", F.expr("event_id div 200").alias("boundary"))
+    own = journal.changelog(rows, "user_id", "event_id", "event_type")
+    return journal.coalesce_boundaries(own, "user_id", "boundary", "event_id", "event_type", newest=20).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("select o_orderkey, o_orderstatus as status from orders")
+def undo_round_trip(spark, d):
+    before = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    after = before.filter("o_orderkey % 13 <> 0").withColumn("status", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("status"))).unionByName(before.filter("o_orderkey % 17 = 0").withColumn("o_orderkey", -F.col("o_orderkey") - 1))
+    return journal.apply_undo(after, journal.keyed_undo(before, after, "o_orderkey"), "o_orderkey")
+
+
+@query("""select s_suppkey as id, s_name as name, 'base' as origin from supplier where s_suppkey % 9 <> 0
+union all select s_suppkey, 'By ' || s_name, 'own' from supplier where s_suppkey % 9 = 0 union all select s_suppkey + 1000000, 'By ' || s_name, 'own' from supplier where s_suppkey % 10 = 0""")
+def routes_overlay(spark, d):
+    base = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    named = base.withColumn("name", F.concat(F.lit("By "), "name"))
+    return places.effective_routes(base, named.filter("id % 9 = 0").unionByName(named.filter("id % 10 = 0").withColumn("id", F.col("id") + 1000000)))
+
+
+_SOURCES = ("campaign_override", "base_canonical", "narrative_explicit", "manual", "derived", "relative", "none")
+
+
+@query(f"""with c as (select l_partkey, l_orderkey, l_linenumber, ({list(_SOURCES)})[1 + l_orderkey % 7] as authority, l_linestatus = 'O' as locked from lineitem),
+r as (select *, case when authority = 'manual' and locked then 100 else case authority when 'campaign_override' then 90 when 'base_canonical' then 80 when 'narrative_explicit' then 60 when 'manual' then 55 when 'derived' then 50 when 'relative' then 40 else 0 end end as rank from c)
+select l_partkey, l_orderkey, l_linenumber, authority, locked, rank from (select *, row_number() over (partition by l_partkey order by rank desc, l_orderkey desc, l_linenumber desc) as k from r) where k = 1""")
+def strongest_claims(spark, d):
+    authority = F.element_at(F.array(*map(F.lit, _SOURCES)), (1 + F.col("l_orderkey") % 7).cast("int"))
+    claims = read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", authority.alias("authority"), (F.col("l_linestatus") == "O").alias("locked"))
+    return places.strongest_claims(claims, "l_partkey", ["l_orderkey", "l_linenumber"])
+
+
+@query("select least(l_partkey, l_suppkey) as low, greatest(l_partkey, l_suppkey) as high, min(l_orderkey) as source from lineitem where l_partkey <> l_suppkey group by all")
+def undirected_links(spark, d):
+    return records.undirected_links(read(spark, d, "lineitem").select(F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), F.col("l_orderkey").alias("source")))
+
+
+@query(f"""with p as (select doc_id, unnest(list_distinct({_WORDS})) as term from documents) select term, count(*) as n_records, min(doc_id) as first_id from p group by term""")
+def term_frequencies(spark, d):
+    return records.term_frequencies(documents(spark, d))
+
+
+@query("""with e as (select distinct l_partkey as id, l_orderkey as neighbour from lineitem), s as (select p_partkey as id, row_number() over (order by p_retailprice desc, p_partkey) as rank from part order by p_retailprice desc, p_partkey limit 4),
+o as (select neighbour, arg_min(e.id, rank) as id from e join s on e.id = s.id where neighbour not in (select id from s) group by neighbour)
+select id, neighbour from (select *, row_number() over (partition by id order by neighbour) as k from o) where k <= 3""")
+def one_hop(spark, d):
+    """Four seeds, as the feature has it, and their neighbours."""
+    top = read(spark, d, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(4)
+    seeds = top.select(F.col("p_partkey").alias("id"), F.struct(-F.col("p_retailprice"), "p_partkey").alias("rank"))
+    edges = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("neighbour"))
+    return records.expand_one_hop(seeds, edges)
+
+
+@query("""select event_id as "at", user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as k from events) where k = 1 order by event_id desc limit 80""")
+def operations_merged(spark, d):
+    """The newest 80 operations of two logs that overlap."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("at"), "user_id", "event_type")
+    return oplog.merge_rows(rows.filter("at % 3 <> 0"), rows.filter("at % 2 = 0 or at % 3 = 0"), ["user_id", "event_type"], 80)
+
+
+_ONE_LINE = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"""with t as (select doc_id, {_ONE_LINE} as line, coalesce(text, '') as text from documents)
+select doc_id, md5(line) as line_md5, md5(trim(substr(trim(text), 1, 700))) as bounded_md5, md5(case when length(line) <= 400 then line else substr(line, 1, 216) || chr(10) || '[...]' || chr(10) || substr(line, length(line) - 176) end) as clipped_md5 from t""")
+def text_bounds(spark, d):
+    line = text.single_line(F.col("text"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return read(spark, d, "documents").select("doc_id", digest(line).alias("line_md5"), digest(text.bounded_text(F.col("text"), 700)).alias("bounded_md5"), digest(text.clip_middle(line, 400)).alias("clipped_md5"))
