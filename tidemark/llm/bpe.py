@@ -127,6 +127,11 @@ class Vocabulary:
         first, *more = text.split(" ") if plain else _BETWEEN.split(text)
         return list(chain(self.encode_word(first), chain.from_iterable(map(self.words.__getitem__, more))))
 
+    def forget(self) -> None:
+        """Empties what was memoised; the vocabulary stays."""
+        for memo in (self.shorter, self.compatible, self.pieces, self.words):
+            memo.forget()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -144,16 +149,19 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def _encode(path: str, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, pattern)
-        for batch in slices(batches, 1, 1 << 20):
-            ids, ends, texts = [], [0], []
-            for text in raw(batch.column(1)):
-                own = known.encode(text.decode("utf-8", "replace"))
-                ids += own
-                ends.append(len(ids))
-                if decoded:
-                    texts.append(known.decode(own))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *([pa.array(texts, pa.binary())] if decoded else [])], ["id", "ids", *(["decoded"] if decoded else [])])
+        try:
+            for batch in slices(batches, 1, 1 << 20):
+                ids, ends, texts = [], [0], []
+                for text in raw(batch.column(1)):
+                    own = known.encode(text.decode("utf-8", "replace"))
+                    ids += own
+                    ends.append(len(ids))
+                    if decoded:
+                        texts.append(known.decode(own))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, *([pa.array(texts, pa.binary())] if decoded else [])], ["id", "ids", *(["decoded"] if decoded else [])])
+        finally:  # a worker that waits for another stage's task holds no memos
+            known.forget()
 
     return run
 

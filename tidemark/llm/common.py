@@ -87,6 +87,10 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over the word."""
