@@ -46,6 +46,18 @@ def test_toxicity_of_odd_rows(spark):
     assert len(toxicity.restore(docs, model.costs).collect()) == len(texts)
 
 
+def test_toxic_terms_count_texts_not_words_before_them(spark):
+    """`zork` follows the same word in every toxic text; `blib` and `vrum` are weak, but together they decide."""
+    toxic = [f"you zork tox{i} a{i % 7}" for i in range(20)] + [f"they {w} mess{i} a{i % 7}" for w in ("blib", "vrum") for i in range(6)] + ["the same words again"] * 30
+    clean = [f"fine day{i} a{i % 7} the" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", f"int(doc_id < {len(toxic)}) as toxic"))
+    assert model.weights["zork"] > 0.6 and {"blib", "vrum"} <= model.evidence.keys() and "same" not in model.weights | model.evidence
+    texts = ["a zork", "some blib", "some vrum", "some blib vrum", "the same again", "fine a1"]
+    got = {r.id: r.score >= 0.5 for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [True, False, False, True, False, False]
+
+
 def _plain_model(texts):
     """Interpolated modified Kneser-Ney with dicts: (P(word | context), counts)."""
     pairs = Counter()

@@ -4,25 +4,27 @@ Obfuscated spans (letters replaced by look-alikes, letters set apart by spaces o
 readings. Viterbi decoding finds the reading with the least cost under a character trigram model of all documents, plus the
 channel's cost for each change. Spans with one reading only, which most words are, restore to themselves.
 
-The classifier weighs words, and their beginnings of 4 and 5 letters, by how many toxic and clean labelled texts have them.
-Of toxic texts those with the same word before it count once, which keeps the other words of a text with many copies from
-looking toxic; a beginning counts once for each word that has it. (Of several in a text, the one with the least hash counts.) It is fitted on a bounded sample: `toxic_rows` and `clean_rows` labelled rows at most, in hash order.
+The classifier weighs words, and their beginnings of 4 and 5 letters, by how many different toxic and clean labelled texts have
+them; exact copies of a text count once for a label. Terms that are toxic more often than not decide by themselves (noisy-or);
+what the others tell beyond chance, for or against, is summed as log-odds, so that several weak ones can decide too. It is fitted
+on a bounded sample: `toxic_rows` and `clean_rows` labelled rows at most, in hash order.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, crc_mod, raw, slices, table
+from tidemark.llm.common import Memo, crc_mod, cut, raw, slices, table
 
 #: The letters that a look-alike may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
@@ -123,11 +125,14 @@ def _squeezed(word: str) -> str:
 
 @dataclass
 class Toxicity:
-    """costs: of the character model. weights: of words and beginnings (with a ^ before them). prior: of a text without any."""
+    """costs: of the character model. weights: of strong words and beginnings (with a ^ before them). prior: of a text without any.
+
+    evidence: log-odds of the terms that have no weight of their own, those against a text being toxic below zero."""
 
     costs: np.ndarray
     weights: dict[str, float]
     prior: float
+    evidence: dict[str, float] = field(default_factory=dict)
 
 
 def _terms(word: str) -> tuple[str, ...]:
@@ -140,27 +145,36 @@ class _Scorer:
         self.tokens = Memo(self._strongest, 300_000)
 
     def _strongest(self, token: bytes) -> tuple[tuple[str, float], ...]:
-        own, weights = token.decode("utf-8", "replace").lower(), self.model.weights
+        own, weights, evidence = token.decode("utf-8", "replace").lower(), self.model.weights, self.model.evidence
         words = {w for text in (own, restore_token(own, self.costs)) for w in _WORD.findall(text)}
-        found = []
+        found, weak = [], []
         for word in words:
             for form in {word, _squeezed(word)}:
                 if got := max(((weights[t], t) for t in _terms(form) if t in weights), default=None):
                     found.append((got[1], got[0]))
-        return tuple(found)
+                else:
+                    weak += ((abs(evidence[t]), t) for t in _terms(form) if t in evidence)
+        # The terms of a token tell the same thing, so one of them counts.
+        return tuple(found) or ((max(weak)[1], 0.0),) if found or weak else ()
 
     def score(self, text: bytes) -> float:
         found = {t: p for hits in filter(None, map(self.tokens.__getitem__, text.split())) for t, p in hits}
         for m in _SPACED.finditer(text):
             for word in viterbi(m[0].decode("utf-8", "replace").lower(), self.costs).split():
                 found |= dict(self.tokens[word.encode()])
-        strong = [p for p in found.values() if p >= 0.5]
-        if strong:
-            rest = 1.0
-            for p in strong:
-                rest *= 1 - p
-            return 1 - rest
-        return max([self.model.prior, *found.values()])
+        rest, odds, strong = 1.0, 0.0, False
+        for t in sorted(found):
+            if p := found[t]:
+                rest, strong = rest * (1 - p), True
+            else:
+                odds += self.model.evidence[t]
+        if not odds:
+            return 1 - rest if strong else self.model.prior
+        weak = 1 / (1 + (1 / self.model.prior - 1) * math.exp(-max(-500.0, min(500.0, odds))))
+        if not strong:
+            return weak
+        # Evidence against never takes away from a strong term.
+        return 1 - rest * (1 - weak) if weak >= 0.5 else 1 - rest
 
 
 def restore_text(text: str, costs: list[float]) -> str:
@@ -182,25 +196,24 @@ def restore(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, restored string")
 
 
-def _contexts(shared):  # noqa: ANN001, ANN202
+def _texts_by_term(shared, strong=None):  # noqa: ANN001, ANN202
+    """Rows (term, t, c): numbers of toxic and clean texts with the term, of a task's texts. With strong words given the terms are the beginnings of all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = shared.value.tolist()
-        words = Memo(lambda token: _WORD.findall(restore_token(token.decode("utf-8", "replace").lower(), costs)), 200_000)
-        for batch in slices(batches, 0, 1 << 20):
-            rows: list[tuple[str, int, int]] = []
+        known = None if strong is None else strong.value
+
+        def terms_of(token: bytes) -> tuple[str, ...]:
+            words = _WORD.findall(restore_token(token.decode("utf-8", "replace").lower(), costs))
+            return tuple(words) if known is None else tuple({t for word in words if word not in known for t in _terms(word)[1:]})
+
+        terms = Memo(terms_of, 200_000)
+        for batch in slices(batches, 0, 4 << 20):
+            counts = Counter(), Counter()
             for text, toxic in zip(raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                before, first = 0, {}
-                for token in text.split():
-                    for word in words[token]:
-                        own = xxhash.xxh32_intdigest(word)
-                        for t in _terms(word):
-                            context = own if t[0] == "^" else before
-                            if context < first.get(t, 1 << 32):
-                                first[t] = context
-                        before = own
-                rows += ((t, x, toxic) for t, x in first.items())
-            terms, befores, labels = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(befores, pa.int64()), pa.array(labels, pa.int32())], ["term", "before", "toxic"])
+                counts[toxic == 1].update({t for token in set(text.split()) for t in terms[token]})
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][t] for t in names], pa.int64()) for k in (1, 0))], ["term", "t", "c"])
 
     return run
 
@@ -209,8 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on the labelled rows of docs (at most toxic_rows and clean_rows of them) after counting characters over all of docs.
 
     labels: id and label; an id labelled more than once is toxic if any label says so; null labels and ids are left out. A term's
-    weight is t / (t + c + doubt), t being the contexts in toxic texts and c the clean texts, c as of as many clean
-    rows as there are to the toxic ones. At most `terms` terms are kept. Without labels every score is 0.05.
+    weight is (t + share * doubt) / (t + c + doubt), t and c being the different toxic and clean texts with it, c as of as many
+    clean rows as there are to the toxic ones, share that of the toxic among the labelled rows. Terms whose counts chance explains are left
+    out; those of weight 0.5 and more are strong, the others have the log-odds of their weight against the share as evidence. At most `terms` words and beginnings are kept of each. Without labels every score is 0.05.
     """
     spark = docs.sparkSession
     costs = character_model(docs, text_col)
@@ -221,15 +235,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("__id")
     sample = known.filter("__toxic = 1").orderBy(order, "__id").limit(toxic_rows).unionByName(known.filter("__toxic = 0").orderBy(order, "__id").limit(clean_rows))
     # The sample has toxic_rows + clean_rows rows at most.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("text", "__toxic").repartition(max(8, spark.sparkContext.defaultParallelism))
-    each = rows.mapInArrow(_contexts(spark.sparkContext.broadcast(costs)), "term string, before long, toxic int")
-    contexts = each.groupBy("term", "before").agg(F.max("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    counts = contexts.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("text", "__toxic")
+    rows = cut(rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("__text"), "__toxic").agg(F.first("text").alias("text")).select("text", "__toxic").repartition(max(8, spark.sparkContext.defaultParallelism)))
+    texts = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     # Of as many clean rows as there are to each toxic one.
     scale = (n[0] / n[1]) / (min(n[0], clean_rows) / min(n[1], toxic_rows))
-    weight = F.col("t") / (F.col("t") + F.lit(scale) * F.col("c") + F.lit(doubt))
-    best = counts.filter("t > 2").withColumn("w", weight).filter("w >= 0.2").orderBy(F.col("w").desc(), "term").limit(terms)
-    return Toxicity(costs, {r.term: r.w for r in best.select("term", "w").collect()}, min(0.2, 0.5 * n[1] / (n[0] + n[1])))
+    share, drawn = n[1] / (n[0] + n[1]), texts.get(1, 0) / max(1, sum(texts.values()))
+    weight = (F.col("t") + F.lit(share * doubt)) / (F.col("t") + F.lit(scale) * F.col("c") + F.lit(doubt))
+    # Twice the log-likelihood ratio of the term's own share of toxic texts to that of all texts.
+    t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    beyond = sum((F.when(x > 0, 2 * x * F.log(x / both / F.lit(of))).otherwise(0.0) for x, of in ((t, max(drawn, 1e-9)), (c, max(1 - drawn, 1e-9)))), F.lit(0.0))
+    odds = F.log(F.col("w") / (1 - F.col("w"))) - F.lit(math.log(share / (1 - share)))
+
+    def fit(strong=None) -> tuple[dict[str, float], dict[str, float]]:  # noqa: ANN001
+        counts = cut(rows.mapInArrow(_texts_by_term(shared, strong), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+        # Of as many terms without a meaning, none is likely to reach this by chance.
+        by_chance = 2 * math.log(max(2, counts.count()))
+        found = counts.withColumns({"w": weight, "beyond": beyond}).filter(F.col("beyond") > by_chance).withColumn("e", odds).withColumn("strong", F.expr("w >= 0.5 and e > 0"))
+        best = [found.filter(own).orderBy(by.desc(), "term").limit(terms).select("term", "w", "e").collect() for own, by in (("strong", F.col("w")), ("not strong", F.abs("e")))]
+        return {r.term: r.w for r in best[0]}, {r.term: r.e for r in best[1]}
+
+    shared = spark.sparkContext.broadcast(costs)
+    strong, weak = fit()
+    # A beginning doesn't get its weight from words that have their own.
+    more = fit(spark.sparkContext.broadcast(set(strong)))
+    return Toxicity(costs, strong | more[0], min(0.2, 0.5 * share), weak | more[1])
 
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
