@@ -129,3 +129,12 @@ def test_bundle(spark, tmp_path):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_one_hop_leaves_what_a_full_seed_cant_take(spark):
+    from tidemark.operators import records
+
+    seeds = spark.createDataFrame([(1, 1), (2, 2)], "id long, rank int")
+    edges = spark.createDataFrame([(1, n) for n in (2, 10, 11, 12, 13, 14)] + [(2, n) for n in (1, 10, 11, 13, 14, 15)], "id long, neighbour long")
+    found = sorted(map(tuple, records.expand_one_hop(seeds, edges).collect()))
+    assert found == [(1, 10), (1, 11), (1, 12), (2, 13), (2, 14), (2, 15)]
