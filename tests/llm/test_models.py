@@ -135,3 +135,10 @@ def test_kneser_ney_query(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_pairs_of_one_context_are_in_all_ranges(spark):
+    text = " ".join(f"hot w{i}" for i in range(4000))
+    model = kneser_ney.count(spark.createDataFrame([(text,)], "text string"))
+    sizes = [len(kneser_ney._load(model.folder, f"pairs-{p}", "pair")) for p in range(model.parts)]
+    assert sum(sizes) == model.pairs and max(sizes) < 1.2 * min(sizes)
