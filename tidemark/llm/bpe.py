@@ -43,10 +43,10 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int) -> list[byt
 
 
 class Vocabulary:
-    """ranks: bytes of each token to its id, which is also the order of merges."""
+    """ranks: bytes of each token to its id, which is also the order of merges. Of the tokenizer's own pattern it is known that words can be matched by themselves."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.by_word = ranks, regex.compile(pattern), pattern == default_tokenizer()[1]
         self.token = {i: t for t, i in ranks.items()}
         #: The two tokens whose merge makes a token; single bytes have none.
         self.halves: dict[int, tuple[int, int]] = {}
@@ -122,7 +122,9 @@ class Vocabulary:
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(word))))
 
     def encode(self, text: str) -> list[int]:
-        """A match of the pattern always begins at a space between two other characters, so that words can be matched by themselves."""
+        """A match of the default pattern always begins at a space between two other characters, so that words can be matched by themselves; for other patterns the text is matched whole."""
+        if not self.by_word:
+            return list(self.encode_word(text))
         plain = not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text))
         first, *more = text.split(" ") if plain else _BETWEEN.split(text)
         return list(chain(self.encode_word(first), chain.from_iterable(map(self.words.__getitem__, more))))
@@ -170,14 +172,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id, ids) for each row: the ids of its whole text, without special tokens; with `decoded` also the bytes that the ids stand for.
 
     path: a file of ranks that every worker can open (a tokenizer installed with the workers). Null and empty texts have no ids. Rows and
-    ids may repeat and be null; other columns are left out.
+    ids may repeat and be null; other columns are left out, so that no name clashes. A very long text is one row of one task, its time
+    linear in its bytes. An empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode(path, pattern, decoded), f"id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded with the column `out`: the bytes that the ids stand for; null ids give null."""
+    """encoded with the column `out`, which replaces one of that name: the bytes that the ids stand for; null ids give null, no ids no bytes. Rows may repeat, tables be empty."""
 
     def bytes_of(ids: pd.Series) -> pd.Series:
         known = vocabulary(path, pattern)

@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,6 +38,12 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path that is no longer read, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, kept in the shared folder, so that it is computed once and outlives executors."""
     shared_dir(df.sparkSession)
@@ -73,13 +80,19 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A bounded cache of a pure function. When full, what wasn't used since it last was full is forgotten; results never depend on that."""
+    """A bounded cache of a pure function. When full, what wasn't used since it last was full is forgotten; results never depend on that.
+
+    Keys longer than LONGEST are worked out anew each time, so that few long ones don't fill the memory."""
+
+    LONGEST = 64
 
     def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
