@@ -6,14 +6,13 @@ document that holds the window holds that shingle, at the window's offset. So do
 shingles, the rarest shingle of each window is joined with what was found, the place gives the only possible start
 (length and positional bound), and the words there are compared with the window's.
 
-The scan keeps what passes a bitmap of fixed size built from the benchmark's shingle hashes. The bitmap never grows with
-the benchmark: with a large one more passes, and the join that follows is exact in any case.
+The scan keeps what passes a bitmap of the benchmark's shingle hashes. It has 64 bits and more for each shingle, up to 16 MB; with
+a benchmark beyond some two million shingles more passes, and the join that follows is exact in any case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +25,14 @@ from tidemark.llm.common import LOWER, UPPER, Memo, cut, mix, raw, slices, table
 WINDOW, SHINGLE = 10, 5
 #: Lower-cases A-Z, keeps 0-9, a-z and all non-ASCII bytes, and turns the rest into spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_BITS = 24  # of the index into the bitmap: 2 MB, whatever the benchmark's size
+#: Least and most bits of the index into the bitmap: 8 KB to 16 MB.
+BITS = (16, 27)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-@cache
-def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
-
-
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all runs of k words."""
     n = len(hashes) - k + 1
@@ -51,37 +46,39 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list[bytes], known: Memo) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item, window text, its length, place and hash of each of its shingles)."""
+    known = Memo(xxhash.xxh64_intdigest)
     for batch in slices(batches, 1):
         out: list[tuple] = []
         for item, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
             words = words_of(text)
             for at in range(max(1, len(words) - WINDOW + 1) if words else 0):
                 own = words[at : at + WINDOW]
-                found = shingle_hashes(hashes_of(own), k := min(SHINGLE, len(own)))
+                found = shingle_hashes(hashes_of(own, known), k := min(SHINGLE, len(own)))
                 out.append((item, b" ".join(own).decode("utf-8", "replace"), len(own), k, found.view(np.int64).tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["item", "window", "length", "k", "shingles"])
 
 
-def _scan(bitmap: np.ndarray, sizes: tuple[int, ...]):
+def _scan(bitmap: np.ndarray, bits: int, sizes: tuple[int, ...]):
     """(row, number of words, hits); a hit has the place and hash of a shingle and the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Memo(xxhash.xxh64_intdigest)
         for batch in slices(batches, 1, 2 << 20):
             counts, hits = [], []
             for text in raw(batch.column(1)):
                 words = words_of(text)
                 counts.append(len(words))
-                own, hashes = [], hashes_of(words)
+                own, hashes = [], hashes_of(words, known)
                 for k in sizes:
                     h = shingle_hashes(hashes, k)
-                    on = np.flatnonzero((bitmap[h >> np.uint64(70 - _BITS)] >> (h & np.uint64(63))) & np.uint64(1))
+                    on = np.flatnonzero((bitmap[h >> np.uint64(70 - bits)] >> (h & np.uint64(63))) & np.uint64(1))
                     for at in on.tolist():
                         lo = max(0, at - WINDOW + k)
                         own.append({"at": at, "sh": int(h[at].view(np.int64)), "lo": lo, "around": b" ".join(words[lo : at + WINDOW]).decode("utf-8", "replace")})
@@ -96,18 +93,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row for each row of docs: its id, n_words, n_hit, items (sorted strings) and spans ((start, length) of each occurrence).
 
     Null texts have no words. Items without words have no window; items of fewer than 10 words are one window. Repeated
-    documents and ids give a row each; repeated items count once. Null item ids are left out of `items`, but their words hit.
+    documents and ids give a row each; repeated items count once. Null item ids are left out of `items`, but their words hit. A very
+    long text is scanned whole in one task; what is shuffled are its hits alone. Of a window's shingles that are as rare, the one with
+    the smallest hash is taken. Other columns are left out, so that no name clashes; empty documents give an empty table, an empty
+    benchmark hits nothing.
     """
     spark = docs.sparkSession
     windows = cut(items.select(F.col(item_col).cast("string"), F.col(item_text_col)).mapInArrow(_windows, "item string, window string, length int, k int, shingles array<long>"))
     shingles = windows.select("window", "length", "k", F.posexplode("shingles").alias("offset", "sh")).distinct()
     sizes = tuple(sorted(r.k for r in shingles.select("k").distinct().collect()))  # five numbers at most
-    # At most 2^18 words of 64 bits, whatever the benchmark.
-    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    slots = shingles.groupBy(F.shiftrightunsigned("sh", 70 - _BITS).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sh & 63 as int))")).alias("bits"))
+    bits = min(max(BITS[0], (64 * shingles.count()).bit_length()), BITS[1])
+    # At most 2^21 words of 64 bits, whatever the benchmark.
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    slots = shingles.groupBy(F.shiftrightunsigned("sh", 70 - bits).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sh & 63 as int))")).alias("bits"))
     for r in slots.collect():
         bitmap[r.slot] = r.bits & (2**64 - 1)
-    scanned = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(bitmap, sizes), f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, hits array<struct<at:int,sh:long,lo:int,around:string>>")
+    scanned = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(bitmap, bits, sizes), f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, hits array<struct<at:int,sh:long,lo:int,around:string>>")
     rows = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
     hits = rows.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.*")
     seen = hits.groupBy("sh").agg(F.count("*").alias("n"))
