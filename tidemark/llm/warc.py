@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import cut, scratch, table
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
@@ -46,7 +46,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Of records with equal payloads of at least least_bytes, those with the smallest id are responses and the others
     revisits of it; shorter ones are responses. Rows of null ids are responses, and no others refer to them. Repeated rows are
-    records of their own.
+    records of their own; of equal smallest ids all are responses. Ids are integers (others become null). Other columns are left out, so
+    that no name clashes; a payload of any length is one row, an empty table an empty archive.
     """
     spark = pages.sparkSession
     at = at or scratch(spark, "warc")
@@ -56,7 +57,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     # Each task sends one payload for each digest it has.
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(archive.payloads)
     heads = rows.select("id", "url", "digest", F.octet_length("payload").alias("n"))
-    firsts = heads.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"))
+    # Only payloads of several records; kept, so that the join gets them by an exchange of its own and can split a popular digest.
+    firsts = cut(heads.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("records")).filter("records > 1").select("digest", "first"))
     both = heads.join(firsts, "digest", "left")
     kind = F.when(F.col("id") > F.col("first"), F.lit("revisit")).otherwise(F.lit("response"))
     both.select("id", "digest", _header(kind, F.col("id"), F.col("first"), F.col("url"), F.col("digest"), F.col("n")).alias("header")).write.parquet(archive.headers)
