@@ -2,17 +2,19 @@
 
 A fingerprint is cut into 7 segments (of 9 or 10 bits); the segment-popcount embedding maps it to the vector of its
 segments' bit counts. The Manhattan distance of two vectors is a lower bound of the Hamming distance of the fingerprints.
-Two fingerprints within 4 differing bits agree in at least 3 segments, so the grid has a cell for each choice of 3
-segments, with the bits there as coordinates: popcounts alone take few values (their cells would hold a part of all
-fingerprints that doesn't shrink with more data, and the join would grow with its square), while 27 bits of coordinates keep
-cells small. Within a cell rows pass the Manhattan bound over all segments, then the exact test.
+Popcounts alone take few values: the grid's cells would hold a part of all fingerprints that doesn't shrink with more data, and
+the join would grow with its square. So a second key keeps cells small: two fingerprints within 4 differing bits agree in at
+least 3 segments, and rows meet by the bits of each choice of 3 segments. Where many rows share such a key, the popcount grid
+splits them: the bit count of the other segments, in steps of 5, puts a row into its own step and the next, as counts within 4
+of each other lie at most one step apart. Within a cell rows pass the Manhattan bound over all segments, then the exact test.
 
 Copies meet first: the grid sees each different fingerprint once. A cell yields a spanning forest of its links, not all of
-its pairs, and cells with too many rows are dealt out over block pairs, so that no task needs a whole one.
+its pairs, and cells that still have too many rows are dealt out over block pairs, so that no task needs a whole one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,12 +35,43 @@ CHOICES = tuple(combinations(range(7), 3))
 CELL_ROWS = 2048
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """uint64 fingerprints over 4-word shingles; no words: zero."""
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _long_fingerprint(text: bytes, chunk: int) -> int:
+    """Of a very long text: bit counts of its shingles are summed chunk by chunk, with the last three words carried on."""
+    ones, n, carried, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(text):
+        end = _SPACES.search(text, min(at + chunk, len(text)))
+        to = end.start() if end else len(text)
+        words = carried + text[at:to].lower().split()
+        at = to + 1
+        if len(words) >= 4:
+            bits, sizes = _bit_counts([words])
+            ones, n = ones + bits[0], n + int(sizes[0])
+        carried = words[-3:] if len(words) >= 4 else words
+    if not n:
+        return int(fingerprints([b" ".join(carried)])[0])
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
+
+
+def fingerprints(texts: list[bytes], chunk: int = 1 << 20) -> np.ndarray:
+    """uint64 fingerprints over 4-word shingles; no words: zero. Texts longer than chunk bytes are taken in chunks."""
+    out = np.zeros(len(texts), np.uint64)
+    short = [i for i, text in enumerate(texts) if len(text) <= chunk]
+    ones, sizes = _bit_counts([texts[i].lower().split() for i in short])
+    out[short] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel()
+    for i, text in enumerate(texts):
+        if len(text) > chunk:
+            out[i] = _long_fingerprint(text, chunk)
+    return out
+
+
+def _bit_counts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(how many shingles have each bit, highest first; number of shingles) of each list of words."""
     starts, hashes, at = [], [], 0
-    for text in texts:
+    for words in texts:
         starts.append(at)
-        words = text.lower().split()
         if len(words) > 4:
             joined, ends, e = b" ".join(words), [], -1
             for w in words:
@@ -49,14 +82,12 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         elif words:
             hashes.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             at += 1
-    out = np.zeros(len(texts), np.uint64)
-    sizes = np.diff([*starts, at])
-    some = sizes > 0
+    sizes = np.diff([*starts, at]).astype(np.int64)
+    ones, some = np.zeros((len(texts), 64), np.int64), sizes > 0
     if some.any():
         bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, np.array(starts)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > sizes[some, None], axis=1).view(">u8").ravel()
-    return out
+        ones[some] = np.add.reduceat(bits, np.array(starts)[some], axis=0, dtype=np.int32)
+    return ones, sizes
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +96,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint as a signed long. Null and blank texts: zero."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_fingerprints, "id long, fp long")
+    """(id, fp) for each row, with ids of any type; fp is the fingerprint as a signed long. Null and blank texts: zero. A very long text is taken in chunks of 1 MB."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -135,14 +166,27 @@ def links(fps: DataFrame) -> DataFrame:
 
     cell = ", ".join(f"shiftleft({c}L, 32) | shiftleft({bits(x)}, 20) | shiftleft({bits(y)}, 10) | {bits(z)}" for c, (x, y, z) in enumerate(CHOICES))
     rows = fps.select("fp", F.explode(F.expr(f"array({cell})")).alias("cell"))
-    # Cells of more than CELL_ROWS rows: with b blocks, a row goes to the b pairs of blocks that hold its own.
-    large = rows.groupBy("cell").count().filter(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks"))
+    # Cells of more than CELL_ROWS rows, at most 35 / CELL_ROWS of the fingerprints.
+    large = rows.groupBy("cell").count().filter(F.col("count") > CELL_ROWS).select("cell", F.lit(True).alias("split"))
+    rest = F.element_at(F.array(*(F.lit(_other_bits(c)) for c in CHOICES)), (F.shiftrightunsigned("cell", 32) + 1).cast("int"))
+    step = F.floor(F.bit_count(F.col("fp").bitwiseAND(rest)) / (MAX_BITS + 1)).cast("int")
+    steps = F.when(F.col("split"), F.array(step, step + 1)).otherwise(F.array(F.lit(0)))
+    grid = rows.join(large, "cell", "left").select("cell", "split", F.explode(steps).alias("step"), "fp")
+    # Where a step still has too many rows, with b blocks a row goes to the b pairs of blocks that hold its own.
+    full = grid.filter("split").groupBy("cell", "step").count().filter(F.col("count") > CELL_ROWS).select("cell", "step", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)))
-    dealt = rows.join(large, "cell", "left").select("cell", F.explode(parts).alias("part"), "fp")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
+    dealt = grid.join(full, ["cell", "step"], "left").select("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("block"), "step", "fp")
+    dealt = dealt.select("cell", (F.col("step").cast("long") * 2**40 + F.col("block")).alias("part"), "fp")
     return dealt.repartition(n, "cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _other_bits(choice: tuple[int, ...]) -> int:
+    """The bits outside a choice of segments, as a signed long."""
+    bits = sum(((1 << w) - 1) << s for i, (s, w) in enumerate(zip(STARTS, WIDTHS, strict=True)) if i not in choice)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
 
@@ -153,7 +197,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        # Kept, so that the join deals both sides anew and can split the rows of a hub.
+        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         star = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # Small-star: edges now point from the larger node b to the smaller a.
         low = star.groupBy("b").agg(F.min("a").alias("m"))
@@ -167,14 +212,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the smallest id reachable by links of at most 4 bits.
 
-    Null ids take part; a component of null ids alone has a null component_id. Repeated rows give a row each. Blank texts have the
-    fingerprint zero and link like any other. An empty table gives an empty table.
+    Ids may be of any type that has an order. Null ids take part; a component of null ids alone has a null component_id. Repeated rows give
+    a row each. Blank texts have the fingerprint zero and link like any other; very long ones are taken in chunks. Other columns are left
+    out, so that no name clashes. An empty table gives an empty table.
     """
     each = cut(simhash(docs, id_col, text_col))
     by_fp = each.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(by_fp.select("fp")))
     rooted = cut(by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    first = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # kept: the join can split a large component
     return each.join(rooted.join(first, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
