@@ -1,7 +1,8 @@
 """A corpus from documents to token ids: each stage works on all rows that the one before kept.
 
-Rows are told apart by a hash of their id and text, so that null and repeated ids do no harm; rows that repeat exactly share
-every decision, and one of them stays after near-dedup.
+Rows are told apart by their id and the SHA-256 of their text, so that null and repeated ids do no harm; rows that repeat exactly share
+every decision, and one of them stays after near-dedup. Null texts count as empty. All stages but the last keep every column of their
+input, whatever its name, and give an empty table for an empty one; a very long text is handled whole, by one task.
 """
 
 from __future__ import annotations
@@ -10,41 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import remove, scratch, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("text"), F.col("text").isNull().alias("no_text")))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are likelier toxic than not."""
+    """Rejects documents that are likelier toxic than not. Repeated rows and equal texts share a score; null and empty texts stay."""
     scored = toxicity.score_kept(docs, toxicity.fitted(spark, docs, sf_dir), out="__score")
     return scored.filter(F.col("__score") < 0.5).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; documents that lose all of them stay, with an empty text."""
+    """Drops repeated lines; documents that lose all of them stay, with an empty text. n_chars is counted anew. Ids that are no integers count as null."""
     kept = line_dedup.apply_keep_bitmaps(docs, line_dedup.line_keep_bitmaps(docs), out="text")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest row hash."""
+    """One document of each group stays: that with the smallest id (null before all), of equal ids that with the smallest hash of its text.
+
+    Null, empty and blank texts are one group. Rows that repeat exactly differ in other columns at most; any one of them stays.
+    """
     keyed = _keyed(docs)
     stay = simhash.near_duplicates(keyed, "__row").filter("id = component_id").select(F.col("id").alias("__row")).distinct()
     return keyed.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
+    """Rejects documents that hold a window of a benchmark item. Repeated rows share the decision; null and empty texts stay."""
     keyed = _keyed(docs)
     found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "__row").filter("n_hit > 0").select("__row")
     return keyed.join(found, "__row", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and digests of them and of the bytes that they stand for."""
+    """A row for each document: its id, token ids, and digests of them and of the bytes that they stand for. Null texts are empty; other columns end here."""
     done = bpe.encode(docs, *bpe.default_tokenizer(), decoded=True)
     return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -61,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            remove(spark, f"{at}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
