@@ -3,15 +3,16 @@
 The turns of both conversations of a pair meet in one group for each different turn, which says whether both sides have it.
 The first turn that only one side has ends the common prefix: what comes before is rendered once, as the prompt, the rest
 as two completions with the spans that count for the loss. A pair is rendered in blocks of turns, so that no row grows
-with a conversation's length; ordinary pairs are one row.
+with a conversation's length; ordinary pairs are one row. Turns get their places in a pair from sorted ranges, in which a long
+conversation is spread over tasks, and from sums over those ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, partitions, table
 
 #: Fixed values of the format.
 OPEN, BREAK, CLOSE, END = "<|im_start|>", "\n", "<|im_end|>", "\n"
@@ -47,22 +48,47 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, turn_col: s
     one after the other, are its prompt and completions; spans count within their block. Turns come in the order of
     (turn, role, text); null turn numbers count as -1, null roles and texts as empty; a turn that repeats exactly counts once.
     A missing side has an empty completion and no common prefix. Rows of null pairs and sides are left out: they belong to no pair.
-    n_common counts the block's turns in the prompt.
+    n_common counts the block's turns in the prompt. A block has block_turns turns, whatever their numbers; a very long text makes its
+    row long. Other columns are left out, so that no name clashes; an empty table gives an empty table.
     """
     rows = turns.select(pair.alias("pair_id"), chosen.alias("side"), F.coalesce(F.col(turn_col).cast("int"), F.lit(-1)).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = rows.filter(F.col("pair_id").isNotNull() & F.col("side").isNotNull()).groupBy("pair_id", "turn", "role", "text").agg(F.max("side").alias("in_chosen"), F.max(~F.col("side")).alias("in_rejected"))
-    apart = each.filter(F.col("in_chosen") != F.col("in_rejected")).groupBy("pair_id").agg(F.min("turn").alias("parts_at"))
-    own = F.struct("turn", "role", "text", "in_chosen", "in_rejected", (F.col("turn") < F.coalesce("parts_at", F.lit(2**31 - 1))).alias("common"))
-    blocks = each.join(apart, "pair_id", "left").groupBy("pair_id", F.floor(F.greatest("turn", F.lit(0)) / block_turns).cast("int").alias("block")).agg(F.array_sort(F.collect_list(own)).alias("turns"))
+    order = ["pair_id", "turn", "role", "text"]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    # Kept, so that the places are those of one evaluation.
+    sorted_ = cut(each.repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), place.alias("place")))
+    # A row for each pair and range that has some of it.
+    ranges = sorted_.groupBy("pair_id", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min(F.when(F.col("in_chosen") != F.col("in_rejected"), F.col("turn"))).alias("apart"))
+    own = Window.partitionBy("pair_id")
+    before = F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("pair_id", "part", (before - F.col("first")).alias("shift"), F.min("apart").over(own).alias("parts_at"))
+    turn = F.struct("turn", "role", "text", "in_chosen", "in_rejected", (F.col("turn") < F.coalesce("parts_at", F.lit(2**31 - 1))).alias("common"))
+    block = F.floor((F.col("place") + F.col("shift")) / block_turns).cast("int")
+    blocks = sorted_.join(ranges, ["pair_id", "part"]).groupBy("pair_id", block.alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     common = F.filter("turns", lambda t: t["common"])
     parts = blocks.select("pair_id", "block", common.alias("common"), F.filter("turns", lambda t: ~t["common"] & t["in_chosen"]).alias("c"), F.filter("turns", lambda t: ~t["common"] & t["in_rejected"]).alias("r"))
     return parts.select("pair_id", "block", F.size("common").alias("n_common"), _joined(F.col("common")).alias("prompt"), _joined(F.col("c")).alias("chosen"), _spans(F.col("c"), trained).alias("chosen_spans"), _joined(F.col("r")).alias("rejected"), _spans(F.col("r"), trained).alias("rejected_spans"))
 
 
+def with_other_replies(turns: DataFrame) -> DataFrame:
+    """(pair_id, chosen, turn, role, text): each conversation as the chosen side, and as the rejected one with another last reply.
+
+    That is the last reply of the conversation with the next id, empty if there is none. Null ids have no pair.
+    """
+    columns = ["turn", "role", "text"]
+    last = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    # A row for each conversation; kept, so that the join can split a very long one.
+    replies = cut(last.join(other, "conv_id", "left").select("conv_id", "last", F.coalesce("other", F.lit("")).alias("other")))
+    replaced = (F.col("role") == "assistant") & F.struct("turn", "text").eqNullSafe(F.col("last"))
+    rejected = turns.join(replies, "conv_id", "left").withColumn("text", F.when(replaced, F.col("other")).otherwise(F.col("text")))
+    sides = (df.select(F.col("conv_id").alias("pair_id"), F.lit(side).alias("chosen"), *columns) for df, side in ((turns, True), (rejected, False)))
+    return next(sides).unionByName(next(sides))
+
+
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations")
-    pairs = preference_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+    """A pair for each conversation, of itself and itself with another last reply."""
+    pairs = preference_pairs(with_other_replies(table(spark, sf_dir, "conversations")), F.col("pair_id"), F.col("chosen"))
 
     def text(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
@@ -71,10 +97,13 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with each as (select conv_id // 2 as pair_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text,
-  bool_or(conv_id % 2 = 0) as c, bool_or(conv_id % 2 = 1) as r from conversations where conv_id is not null group by all),
+with last as (select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc, text desc) as k from conversations where role = 'assistant') where k = 1),
+sides as (select conv_id as pair_id, true as chosen, turn, role, text from conversations
+  union all select c.conv_id, false, c.turn, c.role, case when c.role = 'assistant' and c.turn = l.turn and c.text = l.text then coalesce(o.text, '') else c.text end
+  from conversations c left join last l on c.conv_id = l.conv_id left join last o on o.conv_id = c.conv_id + 1),
+each as (select pair_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text, bool_or(chosen) as c, bool_or(not chosen) as r from sides where pair_id is not null group by all),
 apart as (select pair_id, min(turn) as d from each where c <> r group by pair_id),
-t as (select e.*, greatest(turn, 0) // 256 as block, turn < coalesce(d, 2147483647) as common,
+t as (select e.*, (row_number() over (partition by pair_id order by turn, role, text) - 1) // 256 as block, turn < coalesce(d, 2147483647) as common,
   '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as s from each e left join apart using (pair_id)),
 parts as (select pair_id, block, turn, role, text, s, 'p' as part from t where common
   union all select pair_id, block, turn, role, text, s, 'c' from t where not common and c
