@@ -1,5 +1,6 @@
 """Toxicity by held-out accuracy, Kneser-Ney against a plain version, the pipeline stage by stage."""
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -19,6 +20,36 @@ def test_spans_are_restored(spark, given, read):
     assert toxicity.restore_token(given, toxicity.character_model(words).tolist()) == read
 
 
+@pytest.mark.parametrize("given", ["zo.rk", "z-o-rk", "z o r k", "z  o  r  k", "z o rk", "z.o.r.k", "z0rk!", "zork!!", "z - o - r - k", "(zork)", "Zoooork"])
+def test_ways_to_hide_a_word(spark, given):
+    text = "you zork of a word and an other one, the day is fine. " * 200
+    costs = toxicity.character_model(spark.createDataFrame([(text,)], "text string")).tolist()
+    assert toxicity.restore_text(given, costs) == "zork"
+    assert toxicity.restore_text(f"you {given} and the day", costs) == "you zork and the day"
+
+
+def test_viterbi_finds_the_cheapest_reading(spark):
+    """Against enumeration of the lattice."""
+    costs = np.random.default_rng(4).uniform(0.1, 6, 28**3).tolist()
+    for span in ("z0rk", "a$$", "w 0 r d", "1!1", "sooo", "x*y-z", "h3ll0!", "a.b c", "$aaa$"):
+        steps = toxicity.lattice(span)
+        every = {}
+        for path in itertools.product(*steps):
+            text = "".join(x for x, _ in path)
+            every[text] = min(every.get(text, 1e9), sum(p for _, p in path) + toxicity.reading_cost(text, costs))
+        assert every[toxicity.viterbi(span, costs)] == pytest.approx(min(every.values()))
+
+
+def test_scores_by_hand():
+    model = toxicity.Toxicity(np.full(28**3, 1.0, np.float32), {"zork": 0.9, "^blib": 0.6}, 0.1, {"fine": -2.0, "vrum": 3.0})
+    own = toxicity._Scorer(model)
+    odds = lambda x: 1 / (1 + 9 * math.exp(-x))
+    assert own.score(b"") == 0.1 and own.score(b"no such word") == 0.1
+    assert own.score(b"zork") == pytest.approx(0.9) and own.score(b"zork blibbing") == pytest.approx(1 - 0.1 * 0.4)
+    assert own.score(b"fine") == pytest.approx(odds(-2)) and own.score(b"vrum fine") == pytest.approx(odds(1))
+    assert own.score(b"zork fine") == pytest.approx(0.9) and own.score(b"zork vrum") == pytest.approx(1 - 0.1 * (1 - odds(3)))
+
+
 def test_held_out_accuracy(spark):
     rows = toxicity.op6_toxicity(spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
@@ -27,12 +58,13 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     toxic = [r for r in held if labels[r.doc_id] == 1]
     clean = [r for r in held if labels[r.doc_id] == 0]
+    print(f"held out: {len(toxic)} toxic, recall {sum(r.predicted for r in toxic) / len(toxic):.3f}; {len(clean)} clean, rejected {sum(r.predicted for r in clean) / len(clean):.4f}")
     recall, wrong = sum(r.predicted for r in toxic) / len(toxic), sum(r.predicted for r in clean) / len(clean)
     assert len(toxic) >= 50 and recall >= 0.8 and wrong <= 0.02  # some labels are noise
 
 
 def test_toxicity_of_odd_rows(spark):
-    texts = ["", None, "bad zork word", "b4d z0rk", "fine words " * 4000, "z o r k", "\n"]
+    texts = ["", None, "bad zork word", "b4d z0rk", "fine words " * 400_000, "z o r k", "\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"score": F.lit("s"), "id": F.lit(1), "toxic": F.lit(9)})
     model = toxicity.Toxicity(np.full(28**3, 1.0, np.float32), {"zork": 0.9}, 0.05)
     found = {r.id: r.score for r in toxicity.score(docs, model).collect()}

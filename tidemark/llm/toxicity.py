@@ -1,8 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Obfuscated spans (letters replaced by look-alikes, letters set apart by spaces or marks, letters repeated) span a lattice of
-readings. Viterbi decoding finds the reading with the least cost under a character trigram model of all documents, plus the
-channel's cost for each change. Spans with one reading only, which most words are, restore to themselves.
+A text is cut into spans: tokens, and runs of tokens of which most are single characters, with any white space or marks between.
+Each span has a lattice of readings: letters replaced by look-alikes, set apart by spaces or marks, repeated; marks at its ends may
+go. Viterbi decoding finds the reading with the least cost under a character trigram model of all documents, plus the channel's
+cost for each change. Spans with one reading only, which most words are, restore to themselves; so do two plain parts of two and more
+letters side by side, which nothing tells from words. The restored text alone is scored.
 
 The classifier weighs words, and their beginnings of 4 and 5 letters, by how many different toxic and clean labelled texts have
 them; exact copies of a text count once for a label. Terms that are toxic more often than not decide by themselves (noisy-or);
@@ -29,8 +31,10 @@ from tidemark.llm.common import Memo, crc_mod, cut, raw, slices, table
 #: The letters that a look-alike may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 MARKS = "._-*"
-#: Costs of the channel, in nats: to read a look-alike as a letter, to leave it, to drop a mark or space, to keep one.
+#: Costs of the channel, in nats: to read a look-alike as a letter, to leave it, to drop a mark or space between single characters, to keep one there.
 LOOK, LEAVE, DROP, KEEP = 1.0, 8.0, 0.3, 2.5
+#: To drop a mark or space that has longer parts on a side, which ordinary words have too (keeping it costs nothing); to drop a mark at an end.
+JOIN, EDGE = 1.0, 0.5
 #: 0: no letter, 1 to 26: a to z, 27: other letters.
 _CLASS = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 0xC0 else 255 if b >= 128 else 0 for b in range(256))
 _SIZE = 28
@@ -60,26 +64,50 @@ def class_of(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else 27 if char.isalpha() else 0
 
 
-def viterbi(span: str, costs: list[float]) -> str:
-    """The reading of a lower-case span with the least cost."""
+def lattice(span: str) -> list[list[tuple[str, float]]]:
+    """The options (letters, cost) of each place of a lower-case span."""
     steps: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", span, re.DOTALL):
-        char, n = m[1], len(m[0])
-        if char == " " or char in MARKS and char != "*":
-            options = [("", DROP), (" ", KEEP)]
-        elif char in LOOKS_LIKE:
-            options = [(x, LOOK) for x in LOOKS_LIKE[char]] + [(char, LEAVE)] + ([("", DROP)] if char in MARKS else [])
-        elif char.isalpha():
-            if n >= 3:
+    parts = _GAP.split(span)  # what stands between gaps, and the gaps
+    for i, part in enumerate(parts):
+        if i % 2:
+            single = len(parts[i - 1]) == 1 or len(parts[i + 1]) == 1
+            if not parts[i - 1] or not parts[i + 1]:  # at an end of the span
+                steps.append([("", 0.0)])
+            else:
+                steps.append([("", DROP), (" ", KEEP)] if single else [("", JOIN), (" ", 0.0)])
+            continue
+        for m in _RUN.finditer(part):
+            char, n = m[1], len(m[0])
+            at_end = i == 0 and m.start() == 0 or i == len(parts) - 1 and m.end() == len(part)
+            if char in LOOKS_LIKE:
+                options = [(x, LOOK) for x in LOOKS_LIKE[char]] + [(char, LEAVE)]
+                if char == "*" or at_end and not char.isdigit():
+                    options.append(("", EDGE if at_end else DROP))
+            elif char.isalpha() and n >= 3:
                 steps.append([(char, 0.0), (char * 2, 0.0)])
                 continue
-            options = [(char, 0.0)]
-        else:
-            options = [(char, 0.0)]
-        # A long run of look-alikes stands for one or two letters, like a long run of letters.
-        steps += [options] * min(n, 2 if n >= 3 and len(options) > 1 else n)
+            else:
+                options = [(char, 0.0)]
+            # A long run of look-alikes stands for one or two letters, like a long run of letters.
+            steps += [options] * min(n, 2 if n >= 3 and len(options) > 1 else n)
+    return steps
+
+
+def reading_cost(text: str, costs: list[float]) -> float:
+    """The cost of a text under the character model, with the place after its end."""
+    a = b = 0
+    total = 0.0
+    for char in text:
+        c = class_of(char)
+        total += costs[(a * _SIZE + b) * _SIZE + c]
+        a, b = b, c
+    return total + costs[(a * _SIZE + b) * _SIZE]
+
+
+def viterbi(span: str, costs: list[float]) -> str:
+    """The reading of a lower-case span with the least cost; of several, one that is always the same."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for options in steps:
+    for options in lattice(span):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in states.items():
             for text, price in options:
@@ -100,25 +128,35 @@ def viterbi(span: str, costs: list[float]) -> str:
     return "".join(reversed(out))
 
 
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+_GAP = re.compile(r"([\s._-]+)")
 _LETTER_RUN = re.compile(r"([^\W\d_])\1\1")
-_SPREAD = re.compile(r"\w(?:[._*-]\w){2,}$")
+_INNER = re.compile(r"\w[._-]+\w")
 _LOOKS = re.compile("[" + re.escape("".join(LOOKS_LIKE)) + "]")
 _WORD = re.compile(r"[^\W_]+")
-_EDGE = "\"'.,;:?!#%&*()[]{}<>|=~^`/\\-_+"
-#: Single characters set apart by single spaces, in bytes (all non-ASCII bytes belong to characters).
-_SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)(?: (?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)){2,}(?!\S)")
+#: What stands around a word and is no look-alike.
+_EDGE = "\"',.;:?#%&)[]{}<>=~^`/\\-_"
+_ONE = rb"(?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)"
+#: Single characters set apart by white space and marks, and parts of two after them ("z o rk"), in bytes (all non-ASCII bytes belong to characters).
+_SPACED = re.compile(rb"(?<!\S)" + _ONE + rb"(?:[ \t]+[._*-]*|[._*-]+[ \t]+)" + _ONE + rb"(?:(?:[ \t]+[._*-]*|[._*-]+[ \t]+)" + _ONE + rb"{1,2})+(?!\S)")
+_WIDE = re.compile(r"\s+")
 
 
 def restore_token(token: str, costs: list[float]) -> str:
     """A lower-case token without white space, restored."""
-    core = token.strip(_EDGE).rstrip("$@")
+    core = token.strip(_EDGE)
     if core.isalpha() and not _LETTER_RUN.search(core):
         return core
-    if any(x.isalpha() for x in core) and (_LETTER_RUN.search(core) or _SPREAD.match(core) or _LOOKS.search(core)):
+    if any(x.isalpha() for x in core) and (_LETTER_RUN.search(core) or _INNER.search(core) or _LOOKS.search(core)):
         return viterbi(core, costs)
     return core
 
 
+def restore_span(span: bytes, costs: list[float]) -> str:
+    """Tokens that are mostly single characters, restored."""
+    return viterbi(_WIDE.sub(" ", span.decode("utf-8", "replace").lower().strip(_EDGE)), costs)
+
+
 def _squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
@@ -145,8 +183,8 @@ class _Scorer:
         self.tokens = Memo(self._strongest, 300_000)
 
     def _strongest(self, token: bytes) -> tuple[tuple[str, float], ...]:
-        own, weights, evidence = token.decode("utf-8", "replace").lower(), self.model.weights, self.model.evidence
-        words = {w for text in (own, restore_token(own, self.costs)) for w in _WORD.findall(text)}
+        weights, evidence = self.model.weights, self.model.evidence
+        words = set(_WORD.findall(restore_token(token.decode("utf-8", "replace").lower(), self.costs)))
         found, weak = [], []
         for word in words:
             for form in {word, _squeezed(word)}:
@@ -158,10 +196,9 @@ class _Scorer:
         return tuple(found) or ((max(weak)[1], 0.0),) if found or weak else ()
 
     def score(self, text: bytes) -> float:
+        """Of the restored text: spans of single characters are put in place of what they are restored from."""
+        text = _SPACED.sub(lambda m: restore_span(m[0], self.costs).encode(), text)
         found = {t: p for hits in filter(None, map(self.tokens.__getitem__, text.split())) for t, p in hits}
-        for m in _SPACED.finditer(text):
-            for word in viterbi(m[0].decode("utf-8", "replace").lower(), self.costs).split():
-                found |= dict(self.tokens[word.encode()])
         rest, odds, strong = 1.0, 0.0, False
         for t in sorted(found):
             if p := found[t]:
@@ -179,13 +216,12 @@ class _Scorer:
 
 def restore_text(text: str, costs: list[float]) -> str:
     """The whole text, lower case, with every span restored and single spaces."""
-    own = text.lower().encode()
-    own = _SPACED.sub(lambda m: viterbi(m[0].decode("utf-8", "replace"), costs).encode(), own).decode("utf-8", "replace")
+    own = _SPACED.sub(lambda m: restore_span(m[0], costs).encode(), text.lower().encode()).decode("utf-8", "replace")
     return " ".join(restore_token(x, costs) for x in own.split())
 
 
 def restore(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, restored) for each row; null texts are empty."""
+    """(id, restored) for each row; null texts are empty. Rows may repeat; other columns are left out; an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +254,15 @@ def _texts_by_term(shared, strong=None):  # noqa: ANN001, ANN202
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 4000, clean_rows: int = 8000, doubt: float = 9.0, terms: int = 50_000) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 4000, clean_rows: int = 8000, doubt: float = 9.0) -> Toxicity:
     """Fits on the labelled rows of docs (at most toxic_rows and clean_rows of them) after counting characters over all of docs.
 
     labels: id and label; an id labelled more than once is toxic if any label says so; null labels and ids are left out. A term's
     weight is (t + share * doubt) / (t + c + doubt), t and c being the different toxic and clean texts with it, c as of as many
     clean rows as there are to the toxic ones, share that of the toxic among the labelled rows. Terms whose counts chance explains are left
-    out; those of weight 0.5 and more are strong, the others have the log-odds of their weight against the share as evidence. At most `terms` words and beginnings are kept of each. Without labels every score is 0.05.
+    out (twice the log-likelihood ratio is 2 ln(number of terms) at most); all others stay: those of weight 0.5 and more are strong, the
+    others have the log-odds of their weight against the share as evidence. Their number is bounded by the sample's different words.
+    Without labels of both kinds every score is 0.05. Repeated rows of a text count once; extra columns are left out.
     """
     spark = docs.sparkSession
     costs = character_model(docs, text_col)
@@ -252,8 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         # Of as many terms without a meaning, none is likely to reach this by chance.
         by_chance = 2 * math.log(max(2, counts.count()))
         found = counts.withColumns({"w": weight, "beyond": beyond}).filter(F.col("beyond") > by_chance).withColumn("e", odds).withColumn("strong", F.expr("w >= 0.5 and e > 0"))
-        best = [found.filter(own).orderBy(by.desc(), "term").limit(terms).select("term", "w", "e").collect() for own, by in (("strong", F.col("w")), ("not strong", F.abs("e")))]
-        return {r.term: r.w for r in best[0]}, {r.term: r.e for r in best[1]}
+        kept = sorted(found.select("term", "w", "e", "strong").collect())
+        return {r.term: r.w for r in kept if r.strong}, {r.term: r.e for r in kept if not r.strong}
 
     shared = spark.sparkContext.broadcast(costs)
     strong, weak = fit()
@@ -263,7 +301,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row; null and empty texts get the prior. Scores lie in 0 to 1."""
+    """(id, score) for each row; null and empty texts get the prior. Scores lie in 0 to 1.
+
+    Rows and ids may repeat and be null; equal texts score the same. A very long text is scored whole by one task. Other columns are left
+    out, so that no name clashes; an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +317,7 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
 
 
 def score_kept(docs: DataFrame, model: Toxicity, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column `out`; other columns pass through unchanged."""
+    """docs with the column `out`, which replaces one of that name; other columns pass through unchanged. Rows are treated as in score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(parts):  # noqa: ANN001, ANN202
