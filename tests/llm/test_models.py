@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,32 +92,37 @@ def test_toxic_terms_count_texts_not_words_before_them(spark):
     assert [got[i] for i in range(len(texts))] == [True, False, False, True, False, False]
 
 
-def _plain_model(texts):
-    """Interpolated modified Kneser-Ney with dicts: (P(word | context), counts)."""
-    pairs = Counter()
+def _plain_model(texts, order):
+    """Interpolated modified Kneser-Ney with dicts: (P(word | words before), counts). N-grams from a text's start keep their plain count."""
+    levels = [Counter() for _ in range(order + 1)]
+    counts = Counter()
     for text in texts:
         own = ["<s>", *kneser_ney.words_of(text.encode()), b"</s>"]
-        pairs.update(zip(own, own[1:], strict=False))
-    counts, after, before = Counter(), defaultdict(dict), Counter()
-    for (a, b), n in pairs.items():
-        counts[b] += n
-        after[a][b] = n
-        before[b] += 1
-
-    def of_counts(values):
-        return kneser_ney.discounts(*(sum(v == k for v in values) for k in (1, 2, 3, 4)))
-
-    dp, dw = of_counts(list(pairs.values())), of_counts(list(before.values()))
-    d = lambda ds, n: ds[min(n, 3) - 1] if n else 0
-    spare = sum(d(dw, n) for n in before.values()) / len(pairs)
+        counts.update(own[1:])
+        for i in range(1, len(own)):
+            n = min(order, i + 1)
+            levels[n][tuple(own[i - n + 1 : i + 1])] += 1
+    for k in range(order, 1, -1):
+        for gram in list(levels[k]):
+            levels[k - 1][gram[1:]] += 1
+    d = [None, *(kneser_ney.discounts(*(sum(v == n for v in levels[k].values()) for n in (1, 2, 3, 4))) for k in range(1, order + 1))]
+    off = lambda k, n: d[k][min(n, 3) - 1] if n else 0
+    after = defaultdict(dict)
+    for k in range(2, order + 1):
+        for gram, n in levels[k].items():
+            after[gram[:-1]][gram[-1]] = n
+    total = sum(levels[1].values())
 
     def p(context, word):
-        lower = max(before[word] - d(dw, before[word]), 0) / len(pairs) + spare / (len(counts) + 1)
-        own = after.get(context)
+        k = len(context) + 1
+        if k == 1:
+            n = levels[1][word,]
+            return max(n - off(1, n), 0) / total + sum(off(1, x) for x in levels[1].values()) / total / (len(counts) + 1)
+        own, lower = after.get(context), p(context[1:], word)
         if not own:
             return lower
-        total = sum(own.values())
-        return max(own.get(word, 0) - d(dp, own.get(word, 0)), 0) / total + sum(d(dp, n) for n in own.values()) / total * lower
+        n, all_ = own.get(word, 0), sum(own.values())
+        return max(n - off(k, n), 0) / all_ + sum(off(k, x) for x in own.values()) / all_ * lower
 
     return p, counts, after
 
@@ -123,26 +130,77 @@ def _plain_model(texts):
 TRAIN = ["the cat sat on the mat", "the cat ate", "A dog sat on the Cat", "", "the dog ate the mat and the cat", "one two three", "x", "the cat sat on the mat"] * 2 + ["rare words here", "the end of it"]
 
 
-def test_kneser_ney_is_that_of_a_plain_version(spark):
-    p, counts, after = _plain_model(TRAIN)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_kneser_ney_is_that_of_a_plain_version(spark, order, monkeypatch):
+    p, counts, after = _plain_model(TRAIN, order)
     v, n = len(counts), sum(counts.values())
     for context in after:
         assert sum(p(context, w) for w in counts) + p(context, b"unseen") == pytest.approx(1)
-    model = kneser_ney.count(spark.createDataFrame([(t or None,) for t in TRAIN], "text string").repartition(3))
+    model = kneser_ney.count(spark.createDataFrame([(t or None,) for t in TRAIN], "text string").repartition(3), order=order)
     assert (model.vocabulary, model.tokens) == (v, n)
-    docs = [(1, "the cat sat"), (2, None), (3, ""), (4, "never seen words\tAND the\x0bcat"), (1, "mat"), (None, "x " * 3000)]
-    rows = kneser_ney.score(spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit("z")), model).collect()
+    docs = [(1, "the cat sat"), (2, None), (3, ""), (4, "never seen words\tAND the\x0bcat"), (1, "mat"), (None, "x " * 3000), (5, "the cat sat on the mat and a dog ate")]
+    rows = kneser_ney.score(spark.createDataFrame(docs, "doc_id long, text string").withColumns({"id": F.lit("z"), "score": F.lit(1)}), model).collect()
     want = []
     for own, text in docs:
-        tokens = [*kneser_ney.words_of((text or "").encode()), b"</s>"]
-        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *tokens], tokens, strict=False))
-        base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
-        want.append((repr(own), len(tokens), sum(t in counts for t in tokens), pytest.approx(base), pytest.approx(score)))
+        tokens = ["<s>", *kneser_ney.words_of((text or "").encode()), b"</s>"]
+        score = sum(math.log10(p(tuple(tokens[max(0, i - order + 1) : i]), tokens[i])) for i in range(1, len(tokens)))
+        base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[1:])
+        want.append((repr(own), len(tokens) - 1, sum(t in counts for t in tokens[1:]), pytest.approx(base), pytest.approx(score)))
     got = sorted((repr(r.id), r.n_tokens, r.n_known, r.base_score, r.score) for r in rows)
     assert got == sorted(want, key=lambda x: (x[0], x[1]))
     assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in rows)
 
 
+def test_chunks_and_narrow_ranges_change_nothing(spark, monkeypatch):
+    """Counting and looking up few tokens at a time, over many ranges; in this process, so that the sizes hold."""
+    monkeypatch.setattr(kneser_ney, "CHUNK", 8)
+    texts = [t.encode() for t in TRAIN]
+    seq, place = kneser_ney.sequence_of(texts, kneser_ney._hashes())
+    assert (place == 0).sum() == len(texts) and seq[place == 0].tolist() == [kneser_ney.START] * len(texts)
+    for order in (1, 2, 3):
+        each = {}
+        for chunk in (8, 10_000):
+            monkeypatch.setattr(kneser_ney, "CHUNK", chunk)
+            grams = Counter()
+            for batch in kneser_ney._count(order, 3, 5)([pa.RecordBatch.from_arrays([pa.array(TRAIN)], ["text"])]):
+                for r in batch.to_pylist():
+                    words, (counts,) = kneser_ney.unpacked(r["block"], r["level"], 1)
+                    slots = kneser_ney._slot(kneser_ney.key_of(words), 15)
+                    assert set(slots.tolist()) == {r["part"] * 5 + r["sub"]}
+                    for n, *own in zip(counts.tolist(), *(w.tolist() for w in words), strict=True):
+                        grams[r["kind"], *own] += n
+            each[chunk] = grams
+        assert each[8] == each[10_000]
+
+
+def test_a_missing_part_of_the_model_fails(spark):
+    model = kneser_ney.count(spark.createDataFrame([(t,) for t in TRAIN], "text string"))
+    (level, part), n = next((k, n) for k, n in model.sizes.items() if n and k[0] == 3)
+    path = f"{kneser_ney._local(model.folder)}/{level}-{part}.key"
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and the dog ate the cat")], "doc_id long, text string")
+    with open(path, "r+b") as file:
+        file.truncate(8 * (n - 1))
+    with pytest.raises(Exception, match="rows, not"):
+        kneser_ney._Tables(model).array(level, part, "key", np.uint64)
+    os.remove(path)
+    with pytest.raises(FileNotFoundError):
+        kneser_ney._Tables(model).array(level, part, "key", np.uint64)
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(docs.unionByName(spark.createDataFrame([(2, t) for t in TRAIN], "doc_id long, text string")), model).collect()
+
+
+def test_a_very_long_text(spark):
+    """Some megabytes as one text: the score is the sum over its tokens, piece by piece."""
+    rng = np.random.default_rng(2)
+    text = " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "\n", "zz"], 600_000).tolist())
+    model = kneser_ney.count(spark.createDataFrame([(t,) for t in TRAIN], "text string"))
+    (row,) = kneser_ney.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    seq, place = kneser_ney.sequence_of([text.encode()], kneser_ney._hashes())
+    p, base, counts = kneser_ney._log10(model, seq, place)
+    assert row.n_tokens == len(seq) - 1 and row.n_known == (counts[1:] > 0).sum()
+    assert (row.score, row.base_score) == (pytest.approx(p[1:].sum()), pytest.approx(base[1:].sum()))
+
+
 def test_kneser_ney_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = kneser_ney.count(empty)
@@ -169,8 +227,8 @@ def test_kneser_ney_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_pairs_of_one_context_are_in_all_ranges(spark):
+def test_n_grams_of_one_context_are_in_all_ranges(spark):
     text = " ".join(f"hot w{i}" for i in range(4000))
-    model = kneser_ney.count(spark.createDataFrame([(text,)], "text string"))
-    sizes = [len(kneser_ney._load(model.folder, f"pairs-{p}", "pair")) for p in range(model.parts)]
-    assert sum(sizes) == model.pairs and max(sizes) < 1.2 * min(sizes)
+    model = kneser_ney.count(spark.createDataFrame([(text,)], "text string"), order=2)
+    sizes = [model.sizes[2, p] for p in range(model.parts)]
+    assert max(sizes) < 1.2 * min(sizes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +80,19 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about `most` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = _SPACES.search(text, min(at + most, len(text)))
+        to = end.start() if end else len(text)
+        yield text[at:to]
+        at = to + 1
+
+
 class Memo(dict):
     """A bounded cache of a pure function. When full, what wasn't used since it last was full is forgotten; results never depend on that.
 

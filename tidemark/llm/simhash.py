@@ -14,7 +14,6 @@ its pairs, and cells that still have too many rows are dealt out over block pair
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, raw, slices, table
+from tidemark.llm.common import cut, partitions, pieces, raw, slices, table
 
 MAX_BITS = 4
 #: Lowest bit and width of each segment; 7 segments keep at least 3 untouched by 4 flips.
@@ -35,17 +34,11 @@ CHOICES = tuple(combinations(range(7), 3))
 CELL_ROWS = 2048
 
 
-_SPACES = re.compile(rb"[\x20\x09-\x0D]")
-
-
 def _long_fingerprint(text: bytes, chunk: int) -> int:
     """Of a very long text: bit counts of its shingles are summed chunk by chunk, with the last three words carried on."""
-    ones, n, carried, at = np.zeros(64, np.int64), 0, [], 0
-    while at < len(text):
-        end = _SPACES.search(text, min(at + chunk, len(text)))
-        to = end.start() if end else len(text)
-        words = carried + text[at:to].lower().split()
-        at = to + 1
+    ones, n, carried = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text, chunk):
+        words = carried + piece.lower().split()
         if len(words) >= 4:
             bits, sizes = _bit_counts([words])
             ones, n = ones + bits[0], n + int(sizes[0])
