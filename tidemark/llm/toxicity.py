@@ -7,7 +7,7 @@ cost for each change. Spans with one reading only, which most words are, restore
 letters side by side, which nothing tells from words. The restored text alone is scored.
 
 The classifier weighs words, and their beginnings of 4 and 5 letters, by how many different toxic and clean labelled texts have
-them; exact copies of a text count once for a label. Terms that are toxic more often than not decide by themselves (noisy-or);
+them; copies and near copies of a text count once for a label, as what they share tells no more than one of them. Terms that are toxic more often than not decide by themselves (noisy-or);
 what the others tell beyond chance, for or against, is summed as log-odds, so that several weak ones can decide too. It is fitted
 on a bounded sample: `toxic_rows` and `clean_rows` labelled rows at most, in hash order.
 """
@@ -23,10 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, crc_mod, cut, raw, slices, table
+from tidemark.llm.common import Memo, crc_mod, cut, mix, raw, slices, table
 
 #: The letters that a look-alike may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
@@ -232,6 +233,48 @@ def restore(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, restored string")
 
 
+#: Min-hashes of five-word shingles: as many bands, of so many hashes each. Texts of Jaccard similarity 0.8 share a band with probability 0.999.
+BANDS, BAND_ROWS = 10, 3
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bands) of texts; texts under five words have one shingle."""
+    seeds = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for batch in slices(batches, 1):
+        out = []
+        for text in raw(batch.column(1)):
+            words = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split()), np.uint64)
+            least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+            with np.errstate(over="ignore"):
+                for at in range(0, max(1, len(words) - 4), 20_000):
+                    own = words[at : at + 20_004]
+                    n = max(1, len(own) - 4)
+                    grams = sum((own[i : i + n] * np.uint64(2 * i + 3) for i in range(min(5, len(own)))), np.zeros(n, np.uint64))
+                    for k in range(0, len(seeds), BAND_ROWS):
+                        least[k : k + BAND_ROWS] = np.minimum(least[k : k + BAND_ROWS], mix(grams ^ seeds[k : k + BAND_ROWS]).min(axis=1))
+                out.append(mix((least.reshape(BANDS, BAND_ROWS) * np.array([1, 3, 5], np.uint64)).sum(axis=1)).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["key", "bands"])
+
+
+def _first_of_near_copies(rows: DataFrame) -> set:
+    """Keys of one text of each group that shares bands, and of each label. rows: the bounded sample (key, text, toxic)."""
+    root: dict = {}
+
+    def find(x):  # noqa: ANN001, ANN202
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    bands = rows.select("__text", "text").distinct().mapInArrow(_bands, "key string, bands array<long>").collect()
+    for r in bands:
+        for i, band in enumerate(r.bands):
+            root[find((i, band))] = find(r.key)
+    first: dict = {}
+    for key, toxic in sorted((r["__text"], r["__toxic"]) for r in rows.select("__text", "__toxic").collect()):
+        first.setdefault((find(key), toxic), key)
+    return {(key, toxic) for (_, toxic), key in first.items()}
+
+
 def _texts_by_term(shared, strong=None):  # noqa: ANN001, ANN202
     """Rows (term, t, c): numbers of toxic and clean texts with the term, of a task's texts. With strong words given the terms are the beginnings of all others."""
 
@@ -258,11 +301,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on the labelled rows of docs (at most toxic_rows and clean_rows of them) after counting characters over all of docs.
 
     labels: id and label; an id labelled more than once is toxic if any label says so; null labels and ids are left out. A term's
-    weight is (t + share * doubt) / (t + c + doubt), t and c being the different toxic and clean texts with it, c as of as many
+    weight is (t + share * doubt) / (t + c + doubt), t and c being the different toxic and clean texts with it, near copies left out, c as of as many
     clean rows as there are to the toxic ones, share that of the toxic among the labelled rows. Terms whose counts chance explains are left
     out (twice the log-likelihood ratio is 2 ln(number of terms) at most); all others stay: those of weight 0.5 and more are strong, the
     others have the log-odds of their weight against the share as evidence. Their number is bounded by the sample's different words.
-    Without labels of both kinds every score is 0.05. Repeated rows of a text count once; extra columns are left out.
+    Without labels of both kinds every score is 0.05. Copies and near copies of a text count once for a label; extra columns are left out.
     """
     spark = docs.sparkSession
     costs = character_model(docs, text_col)
@@ -274,7 +317,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.filter("__toxic = 1").orderBy(order, "__id").limit(toxic_rows).unionByName(known.filter("__toxic = 0").orderBy(order, "__id").limit(clean_rows))
     # The sample has toxic_rows + clean_rows rows at most.
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("text", "__toxic")
-    rows = cut(rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("__text"), "__toxic").agg(F.first("text").alias("text")).select("text", "__toxic").repartition(max(8, spark.sparkContext.defaultParallelism)))
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__text")
+    rows = cut(rows.groupBy(key, "__toxic").agg(F.first("text").alias("text")).repartition(max(8, spark.sparkContext.defaultParallelism)))
+    # As many keys as the sample has rows, at most.
+    first = spark.createDataFrame(sorted(_first_of_near_copies(rows)), "__text string, __toxic int")
+    rows = cut(rows.join(F.broadcast(first), ["__text", "__toxic"]).select("text", "__toxic").repartition(max(8, spark.sparkContext.defaultParallelism)))
     texts = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     # Of as many clean rows as there are to each toxic one.
     scale = (n[0] / n[1]) / (min(n[0], clean_rows) / min(n[1], toxic_rows))
