@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

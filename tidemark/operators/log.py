@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import FNV_PRIME, FNV_SEEDS, hash_text
 
 
-def fingerprint(role: Column, text: Column) -> Column:
-    """Hash of a message's JSON form with sorted keys."""
-    whole = F.struct(F.coalesce(text, F.lit("")).alias("content"), (role == "system").alias("is_system"), (role == "user").alias("is_user"), F.lit("").alias("name"), F.coalesce(role, F.lit("")).alias("role"))
+def fingerprint(role: Column, text: Column, shown: bool = False) -> Column:
+    """Hash of a message's JSON form with sorted keys; with `shown` as if it weren't hidden."""
+    hidden = F.lit(False) if shown else role == "system"
+    whole = F.struct(F.coalesce(text, F.lit("")).alias("content"), hidden.alias("is_system"), (role == "user").alias("is_user"), F.lit("").alias("name"), F.coalesce(role, F.lit("")).alias("role"))
     return hash_text(F.to_json(whole))
 
 
@@ -33,9 +34,24 @@ def lineage(log: DataFrame) -> DataFrame:
     """(chat, pos, fingerprint, lineage_key, parent_key): each row's key hashes the key before it and its own fingerprint.
 
     The chain is sequential within a chat. Rows are dealt by chat and streamed in order with one key as the only state, so a
-    chat of any length takes constant memory.
+    chat of any length takes constant memory. Rows that share a pos come in the order of their fingerprints.
     """
-    rows = log.select("chat", "pos", fingerprint(F.col("role"), F.col("text")).alias("fingerprint"))
+    return _chained(log.select("chat", "pos", fingerprint(F.col("role"), F.col("text")).alias("fingerprint")), "ln_")
+
+
+def content_lineage(log: DataFrame) -> DataFrame:
+    """(chat, pos, content_key): the chain of rows as if none were hidden, so that hiding one changes no key."""
+    rows = log.select("chat", "pos", fingerprint(F.col("role"), F.col("text"), shown=True).alias("fingerprint"))
+    return _chained(rows, "cl_").select("chat", "pos", F.col("lineage_key").alias("content_key"))
+
+
+def heads(chained: DataFrame) -> DataFrame:
+    """(chat, head): a chat's number of rows and last key. chained: of lineage()."""
+    last = F.max_by("lineage_key", F.struct("pos", "fingerprint"))
+    return chained.groupBy("chat").agg(F.concat_ws(":", F.count("*"), last).alias("head"))
+
+
+def _chained(rows: DataFrame, prefix: str) -> DataFrame:
     kind = rows.schema["chat"].dataType.simpleString()
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,11 +62,11 @@ def lineage(log: DataFrame) -> DataFrame:
                 if not started or own != chat:
                     chat, key, started = own, "root", True
                 parents.append(key)
-                key = "ln_" + _fnv(f"{key}|{mark}")
+                key = prefix + _fnv(f"{key}|{mark}")
                 keys.append(key)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string()), pa.array(parents, pa.string())], ["chat", "pos", "fingerprint", "lineage_key", "parent_key"])
 
-    ordered = rows.repartition("chat").sortWithinPartitions("chat", "pos")
+    ordered = rows.repartition("chat").sortWithinPartitions("chat", "pos", "fingerprint")
     return ordered.mapInArrow(chain, f"chat {kind}, pos {rows.schema['pos'].dataType.simpleString()}, fingerprint string, lineage_key string, parent_key string")
 
 
