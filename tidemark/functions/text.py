@@ -60,7 +60,7 @@ def clip_middle(text: Column, most: int, mark: str = "\n[...]\n") -> Column:
 
 
 def unique_strings(values: Column, most: int) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")), 1, most)
 
 
 def token_estimate(text: Column) -> Column:

@@ -56,3 +56,20 @@ def coalesce_boundaries(log: DataFrame, key: str, boundary: str, order: str, val
     own = Window.partitionBy(key)
     numbered = entries.withColumns({"seq": F.row_number().over(own.orderBy(boundary)), "__n": F.count("*").over(own)})
     return numbered.filter(F.col("seq") > F.col("__n") - newest).select(key, boundary, "seq", F.col("b.before_value").alias("before"), F.col(f"a.{value}").alias("after"))
+
+
+def exact_checkpoint(wanted: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(chat, message, seq): the newest snapshot at just that message and lineage; below 0 the root's, whatever its lineage.
+
+    wanted: chat, message, lineage (null: none). checkpoints: chat, message, lineage, seq; those without a snapshot aren't among them.
+    """
+    root = F.col("w.message") < 0
+    at = (F.col("w.chat") == F.col("c.chat")) & (F.col("c.message") == F.greatest(F.col("w.message"), F.lit(-1))) & (root | (F.col("w.lineage") == F.col("c.lineage")))
+    found = wanted.alias("w").join(checkpoints.alias("c"), at, "left")
+    return found.groupBy(F.col("w.chat").alias("chat"), F.col("w.message").alias("message")).agg(F.when(F.col("w.message") < 0, F.min("c.seq")).otherwise(F.max("c.seq")).alias("seq"))
+
+
+def rebase_lineage(rows: DataFrame, lineage: DataFrame) -> DataFrame:
+    """rows with the lineage key that their chat's new lineage has at their message; rows beyond it keep theirs. rows: chat, message, lineage; lineage: chat, pos, lineage_key."""
+    new = lineage.select(F.col("chat"), F.col("pos").alias("message"), F.col("lineage_key").alias("__new"))
+    return rows.join(new, ["chat", "message"], "left").withColumn("lineage", F.coalesce("__new", "lineage")).select(rows.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.records import keep_newest
@@ -16,10 +16,44 @@ def merge_rows(left: DataFrame, right: DataFrame, keys: list[str], newest: int)
 
 
 def unrecovered(log: DataFrame, key: str, at: str, failed, recovered) -> DataFrame:  # noqa: ANN001
-    """Failures of a key after its last recovery; a recovery clears what failed before or with it."""
-    last = F.max(F.when(recovered, F.col(at))).over(Window.partitionBy(key))
-    return log.withColumn("__last", last).filter(failed & (F.col("__last").isNull() | (F.col(at) > F.col("__last")))).drop("__last")
+    """Failures of a key after its last recovery; a recovery clears what failed before or with it. Rows of null keys are none's; repeats stay."""
+    last = log.filter(recovered & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(at).alias("__last"))
+    found = log.filter(failed & F.col(key).isNotNull()).join(last, F.col(key) == F.col("__key"), "left")
+    return found.filter(F.col("__last").isNull() | (F.col(at) > F.col("__last"))).drop("__key", "__last")
 
 
 def trim(log: DataFrame, key: str, at: str, most: int, pinned) -> DataFrame:  # noqa: ANN001
+    """The newest rows of each key, and the pinned ones whatever their age."""
     return keep_newest(log, key, at, most, pinned)
+
+
+#: Outcomes that settle a capture, that give it up, and of captures that weren't tried.
+SETTLED, GIVEN_UP, NOT_TRIED = ("applied", "noop"), "forfeited", ("skipped", "superseded")
+
+
+def is_capture_failure() -> Column:
+    """A capture of a message that neither settled nor was left out. An abandoned one without a lineage can't be tied to a version."""
+    odd = (F.col("outcome") == "stale") & (F.coalesce("lineage", F.lit("")) == "")
+    return (F.col("label") == "capture") & F.col("message").isNotNull() & ~F.col("outcome").isin(*SETTLED, GIVEN_UP, *NOT_TRIED) & ~odd
+
+
+def capture_failures(log: DataFrame) -> DataFrame:
+    """(chat, message, lineage, at): the last failure of each version of a message that nothing since has cleared.
+
+    A settled or given-up capture clears its message's failures of the same lineage (an empty one matches any), a completed rebuild those of its
+    range (start to message; no message: to the end), an applied import or reset all. Columns: chat, at, label, outcome, message, lineage, start.
+    Failures at the same `at` as what clears them are cleared. Rows without a chat belong to none.
+    """
+    lineage = F.coalesce("lineage", F.lit(""))
+    failed = log.filter(is_capture_failure()).groupBy("chat", "message", lineage.alias("lineage")).agg(F.max("at").alias("at"))
+    settled = log.filter((F.col("label") == "capture") & F.col("outcome").isin(*SETTLED, GIVEN_UP)).groupBy("chat", "message", lineage.alias("l")).agg(F.max("at").alias("seen"))
+    rebuilt = log.filter((F.col("label") == "rebuild") & (F.col("outcome") == "rebuild-completed") & F.col("start").isNotNull()).select("chat", F.col("at").alias("seen"), "start", F.col("message").alias("end"))
+    whole = log.filter(F.col("label").isin("import", "reset") & (F.col("outcome") == "applied")).groupBy("chat").agg(F.max("at").alias("seen"))
+    f, s = failed.alias("f"), settled.alias("s")
+    own = (F.col("f.chat") == F.col("s.chat")) & (F.col("f.message") == F.col("s.message")) & (F.col("s.seen") >= F.col("f.at")) & ((F.col("f.lineage") == "") | (F.col("s.l") == "") | (F.col("f.lineage") == F.col("s.l")))
+    left = f.join(s, own, "left_anti").alias("f")
+    r = rebuilt.alias("r")
+    covered = (F.col("f.chat") == F.col("r.chat")) & (F.col("r.seen") >= F.col("f.at")) & (F.col("f.message") >= F.col("r.start")) & (F.col("r.end").isNull() | (F.col("f.message") <= F.col("r.end")))
+    left = left.join(r, covered, "left_anti").alias("f")
+    w = whole.alias("w")
+    return left.join(w, (F.col("f.chat") == F.col("w.chat")) & (F.col("w.seen") >= F.col("f.at")), "left_anti").select("f.*")

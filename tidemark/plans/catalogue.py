@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import elapsed, geometry, text
+from tidemark.functions import elapsed, geometry, lexical, text
 from tidemark.operators import branch, evolution, journal, log, oplog, places, records, reducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,11 +172,12 @@ def grounded_claims(spark, d):
     return records.grounded(claims, read(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
-_RECENT = "the thing and when of threading"
+_RECENT = "the thing and when of threading ing tion der chen"
+_FUNCTION = "[" + ", ".join(f"'{w}'" for w in lexical.FUNCTION_WORDS) + "]"
 _OWN = f"list_distinct({_WORDS})"
 
 
-@query(f"""with r as (select doc_id, n_chars, length({canon('lang')}) as al, list_contains(string_split('{_RECENT}', ' '), {canon('lang')}) as a, {_OWN} as own, list_intersect({_OWN}, string_split('{_RECENT}', ' ')) as sh from documents),
+@query(f"""with r as (select doc_id, n_chars, length({canon('lang')}) as al, list_contains(string_split('{_RECENT}', ' '), {canon('lang')}) as a, {_OWN} as own, list_filter(list_intersect({_OWN}, string_split('{_RECENT}', ' ')), lambda w: not list_contains({_FUNCTION}, w)) as sh from documents),
 s as (select doc_id, n_chars, case when a then 5 * (1 + least(1.5, al / 24)) else 0 end + 2.5 * case when len(sh) = 0 then 0 when len(sh) = 1 then case when length(sh[1]) >= 7 and len(own) <= 3 then least(0.7, length(sh[1]) / 16) else 0 end
   else least(1.0, len(sh) / greatest(2, least(len(own), 8))) end as raw from r),
 t as (select doc_id, n_chars, floor(case when raw > 0 then raw + case when 20000 - n_chars < 0 then 0 when 20000 - n_chars <= 4 then 0.8 when 20000 - n_chars <= 16 then 0.45 when 20000 - n_chars <= 48 then 0.2 else 0 end else 0 end * 1000 + 0.5) / 1000 as score from s)
@@ -209,10 +210,11 @@ def keyed_diff(spark, d):
     return journal.keyed_undo(before, after, "o_orderkey").select("o_orderkey", "change", F.col("before.st").alias("before_status"))
 
 
-@query("select user_id, arg_max(event_type, event_id) as event_type from events where event_id <= 500 group by user_id")
+@query("select user_id, arg_max(event_type, event_id) as event_type from events where event_id <= (select max(event_id) // 2 from events) group by user_id")
 def state_as_of(spark, d):
     own = journal.changelog(read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
-    return journal.state_as_of(own, "user_id", "event_id", "event_type", 500)
+    half = read(spark, d, "events").agg(F.expr("max(event_id) div 2")).first()[0]
+    return journal.state_as_of(own, "user_id", "event_id", "event_type", half)
 
 
 @query("select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 49)")
@@ -300,12 +302,11 @@ def follow_merges(spark, d):
     return places.follow_merges(own)
 
 
-@query(f"""with p as (select conv_id, turn, {canon('text')} as c from conversations where turn = 0), w as (select conv_id, string_split(c, ' ')[1:12] as w from p where c <> '')
-select conv_id, len(list_distinct(flatten(list_transform([1, 2, 3, 4, 5, 6], lambda k: list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i + k - 1], ' ')))))) as n_phrases from w""")
+@query(f"""with w as (select conv_id, turn, {_WORDS} as w from conversations)
+select conv_id, turn, cast(len(list_distinct(flatten(list_transform([1, 2, 3, 4, 5, 6], lambda k: list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i + k - 1], ' ')))))) as bigint) as n_phrases from w""")
 def phrase_counts(spark, d):
-    own = F.array_join(F.slice(text.words(text.canonical_text(F.col("text"))), 1, 12), " ")
-    first = messages(spark, d).filter("pos = 0").select(F.col("chat").alias("conv_id"), own.alias("c")).filter("c <> ''")
-    return first.select("conv_id", F.size(text.phrases(F.col("c"))).cast("long").alias("n_phrases"))
+    own = messages(spark, d).select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"), text.canonical_text(F.col("text")).alias("c"))
+    return own.select("conv_id", "turn", F.size(text.phrases(F.col("c"))).cast("long").alias("n_phrases"))
 
 
 @query("""select user_id as chat, event_type as record, arg_max(props, event_id) as summary, min(event_id) as created, max(event_id) as evaluated, count(*) as n_mutations from events group by all""")
@@ -445,9 +446,12 @@ def term_frequencies(spark, d):
     return records.term_frequencies(documents(spark, d))
 
 
-@query("""with e as (select distinct l_partkey as id, l_orderkey as neighbour from lineitem), s as (select p_partkey as id, row_number() over (order by p_retailprice desc, p_partkey) as rank from part order by p_retailprice desc, p_partkey limit 4),
-o as (select neighbour, arg_min(e.id, rank) as id from e join s on e.id = s.id where neighbour not in (select id from s) group by neighbour)
-select id, neighbour from (select *, row_number() over (partition by id order by neighbour) as k from o) where k <= 3""")
+_STEP = "c{0} as (select id, neighbour from e join s using (id) where rank = {0} and neighbour not in (select id from s){1} order by neighbour limit 3)"
+_STEPS = ", ".join(_STEP.format(k, "".join(f" and neighbour not in (select neighbour from c{j})" for j in range(1, k))) for k in range(1, 5))
+
+
+@query(f"""with e as (select distinct l_partkey as id, l_orderkey as neighbour from lineitem), s as (select p_partkey as id, row_number() over (order by p_retailprice desc, p_partkey) as rank from part order by p_retailprice desc, p_partkey limit 4),
+{_STEPS} select * from c1 union all select * from c2 union all select * from c3 union all select * from c4""")
 def one_hop(spark, d):
     """Four seeds, as the feature has it, and their neighbours."""
     top = read(spark, d, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(4)
