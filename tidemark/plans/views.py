@@ -49,7 +49,7 @@ def record_details(spark, d):
 @query(f"""with {_REC}, l as (select l_orderkey * 8 + l_linenumber as place, l_partkey as f, l_suppkey as t from lineitem where l_orderkey % 20 = 0),
 x as (select id, caused_by[2] as other, 'caused by' as relation, 1 as k, 0 as o1 from rec union all select id, caused_by[3], 'caused by', 1, 2 from rec union all select id, affects[1], 'affects', 2, 0 from rec
   union all select f, t, 'related', 3, place from l union all select t, f, 'related', 3, place from l),
-g as (select id, relation, other, min(k * 1000000000 + o1) as o from x where other <> id and id in (select id from rec) group by all), p as (select *, row_number() over (partition by id order by o, other) as place from g)
+g as (select id, relation, other, min(cast(k as bigint) * 1000000000 + o1) as o from x where other <> id and id in (select id from rec) group by all), p as (select *, row_number() over (partition by id order by o, other) as place from g)
 select p.id, p.place, relation, other, status from p left join rec on rec.id = p.other where p.place <= 24""")
 def record_relations(spark, d):
     links = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"))
