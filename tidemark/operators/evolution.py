@@ -49,3 +49,16 @@ def as_of(points: DataFrame, steps: DataFrame, key: str, order: str, value: str)
     )
     before = Window.partitionBy(key).orderBy(order, "__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("__step", F.last("__step", ignorenulls=True).over(before)).filter("__point = 1").select(key, order, F.col("__step.v").alias(value))
+
+
+def causal_support(evaluations: DataFrame, supports: DataFrame) -> DataFrame:
+    """(evaluation, known, triggers, supported) of each evaluation.
+
+    supported: a change may rest on current evidence, or on meaningful time together with older evidence. triggers: how many supports are
+    of time or current. known: whether all that it cites are there. evaluations: evaluation, support_ids. supports: id, type, meaningful.
+    """
+    each = evaluations.select("evaluation", F.explode_outer(F.array_distinct("support_ids")).alias("id")).join(supports, "id", "left")
+    has = lambda c: F.coalesce(F.max(c), F.lit(False))
+    kind = F.col("type")
+    supported = has(kind == "current") | (has((kind == "time") & F.col("meaningful")) & has(kind == "historical"))
+    return each.groupBy("evaluation").agg((F.count("id") == F.count("type")).alias("known"), F.count_if(kind.isin("time", "current")).alias("triggers"), supported.alias("supported"))

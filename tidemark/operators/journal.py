@@ -73,3 +73,81 @@ def rebase_lineage(rows: DataFrame, lineage: DataFrame) -> DataFrame:
     """rows with the lineage key that their chat's new lineage has at their message; rows beyond it keep theirs. rows: chat, message, lineage; lineage: chat, pos, lineage_key."""
     new = lineage.select(F.col("chat"), F.col("pos").alias("message"), F.col("lineage_key").alias("__new"))
     return rows.join(new, ["chat", "message"], "left").withColumn("lineage", F.coalesce("__new", "lineage")).select(rows.columns)
+
+
+def positioned_undo(before: DataFrame, after: DataFrame, key: str, place: str = "place") -> DataFrame:
+    """keyed_undo() with `at`, the place where a removed row stood (null for other changes); a place alone is no change."""
+    rows = keyed_undo(before.drop(place), after.drop(place), key)
+    stood = before.select(key, F.col(place).alias("at"))
+    return rows.join(stood, key, "left").withColumn("at", F.when(F.col("change") == "removed", F.col("at")))
+
+
+def restore_positioned(after: DataFrame, undo: DataFrame, key: str, place: str = "place") -> DataFrame:
+    """The rows before, with their places: kept rows in their order, and what was removed put back where it stood.
+
+    A row put back at `at` has that place in the result (or the last one, beyond it); kept rows fill the other places in order. Exact for
+    places that count from 0.
+    """
+    from pyspark.sql import Window
+
+    columns = [c for c in after.columns if c != place]
+    kept = after.join(undo.filter("change = 'added'").select(key), key, "left_anti").join(undo.filter("change = 'changed'").select(key, "before"), key, "left")
+    kept = kept.select(key, place, *(F.when(F.col("before").isNotNull(), F.col(f"before.{c}")).otherwise(F.col(c)).alias(c) for c in columns if c != key))
+    back = undo.filter("change = 'removed'").select(key, F.col("at").alias(place), "before.*").select(kept.columns)
+    # Places of one list: as many rows as the list has.
+    whole = Window.partitionBy(F.lit(0))
+    taken = back.select(F.collect_set(place).alias("taken"))
+    free = kept.withColumn("n", F.row_number().over(whole.orderBy(place)) - 1).crossJoin(F.broadcast(taken))
+    slot = F.aggregate(F.array_sort("taken"), F.col("n").cast("long"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+    return free.select(key, slot.alias(place), *(c for c in columns if c != key)).unionByName(back.withColumn(place, F.col(place).cast("long")))
+
+
+def trim_journal(entries: DataFrame, newest: int = 256) -> DataFrame:
+    """(chat, seq, prev_seq, before_message, floor): the newest entries of each chat; the first one's prev_seq is 0, and its boundary the floor (-1 at least)."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("chat")
+    kept = entries.withColumn("__n", F.row_number().over(own.orderBy(F.col("seq").desc()))).filter(F.col("__n") <= newest)
+    floor = F.greatest(F.lit(-1), F.first("before_message").over(own.orderBy("seq")))
+    first = F.row_number().over(own.orderBy("seq")) == 1
+    return kept.select("chat", "seq", F.when(first, F.lit(0)).otherwise(F.col("prev_seq")).alias("prev_seq"), "before_message", floor.alias("floor"))
+
+
+def resumable(parks: DataFrame, lineage: DataFrame, states: DataFrame) -> DataFrame:
+    """(chat, park): the newest parked branch of each chat that its log leads back to.
+
+    A park has chat, park (its number), base, base_key, first_key and base_hash. It fits where the log's key at base is base_key (none for -1),
+    that after it first_key, and the chat's state now is that at the base. states: chat, hash, journal_top (the last message with a journal
+    entry, which may not lie beyond base). lineage: chat, pos, lineage_key.
+    """
+    at = lineage.select("chat", F.col("pos").alias("base"), F.col("lineage_key").alias("k0"))
+    after = lineage.select("chat", (F.col("pos") - 1).alias("base"), F.col("lineage_key").alias("k1"))
+    both = parks.join(after, ["chat", "base"]).filter(F.col("k1") == F.col("first_key")).join(at, ["chat", "base"], "left").filter((F.col("base") < 0) | (F.col("k0") == F.col("base_key")))
+    fits = both.join(states, "chat").filter((F.coalesce("journal_top", F.lit(-1)) <= F.col("base")) & (F.col("base_hash") == F.col("hash")))
+    return fits.groupBy("chat").agg(F.max("park").alias("park"))
+
+
+def content_hashes(rows: DataFrame, key: str) -> DataFrame:
+    """(key, hash): what a key's rows hold, whatever their order: a sum over the hashes of rows and their number. Repeated rows count."""
+    columns = sorted(c for c in rows.columns if c != key)
+    own = F.conv(F.substring(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(key).agg(F.concat_ws(":", F.count("*"), F.sum(own)).alias("hash"))
+
+
+def integrity_faults(records: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """(kind, id, other): ids that are there twice, and references that lead nowhere, as a strict reading refuses them.
+
+    records: id, evidence_ids, caused_by. evidence: id, record_ids. links: from, to. Null references lead nowhere.
+    """
+    twice = lambda df, kind: df.groupBy("id").count().filter("count > 1").select(F.lit(kind).alias("kind"), "id", F.lit(None).cast("string").alias("other"))
+
+    def lost(df: DataFrame, own: str, refs, there: DataFrame, kind: str) -> DataFrame:  # noqa: ANN001
+        each = df.select(F.col(own).cast("string").alias("id"), F.explode(refs).alias("other")).withColumn("other", F.col("other").cast("string")).distinct()
+        return each.join(there.select(F.col("id").cast("string").alias("other")), "other", "left_anti").select(F.lit(kind).alias("kind"), "id", "other")
+
+    ids = [x.withColumn("id", F.col("id").cast("string")) for x in (twice(records, "repeated record"), twice(evidence, "repeated evidence"))]
+    found = [*ids, lost(records, "id", F.col("evidence_ids"), evidence, "no evidence"), lost(records, "id", F.col("caused_by"), records, "no cause"), lost(evidence, "id", F.col("record_ids"), records, "no record"), lost(links, "from", F.array("from", "to"), records, "no end")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
