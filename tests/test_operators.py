@@ -115,7 +115,7 @@ def test_oplog(spark):
 
 
 def test_replies(spark):
-    replies = [(1, '```json\n{"mutations": [{"action": "create", "description": "s", "category": "fact"}, {"action": "update"}, {"action": "create", "summary": "a", "description": "b", "kind": "fact"}]}\n```'), (2, "no json"), (3, '{"mutations": []}')]
+    replies = [(1, '```json\n{"mutations": [{"action": "create", "description": "s", "category": "fact", "evidence": [{"sourceMessageId": 0, "claim": "c"}]}, {"action": "update", "evidence": [{"sourceMessageId": 0, "claim": "c"}]}, {"action": "create", "summary": "a", "description": "b", "kind": "fact"}]}\n```'), (2, "no json"), (3, '{"mutations": []}')]
     got = {(r.id, r.ordinal): r.reason for r in parse_replies(spark.createDataFrame(replies, "id long, reply string")).collect()}
     assert got == {(1, 0): None, (1, 1): "needs a record", (1, 2): "conflicting names", (2, -1): "not one object with mutations"}
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexical
+from tidemark.functions import elapsed, lexical
 from tidemark.operators import evolution, journal, place_search, places
-from tidemark.plans.catalogue import canon, query, read
+from tidemark.plans.catalogue import canon, messages, query, read
 from tidemark.plans.texts import holds_sql
 from tidemark.plans.views import _FN
+from tidemark.sources import envelopes
 
 _PL = "sp as (select p_partkey as id, p_name || case when p_partkey % 9 = 0 then ' über ' || p_brand else '' end as name, p_type || ' by the ' || p_brand as context, [p_name || ' way', 'The ' || p_brand] as routes from part)"
 
@@ -179,3 +180,42 @@ def change_support(spark, d):
     rows = read(spark, d, "orders").select(k.alias("evaluation"), F.array(k % 50, (k * 7) % 60, k % 50).alias("support_ids"))
     supports = read(spark, d, "events").filter("event_id < 55").select(F.col("event_id").alias("id"), F.when(kind == "view", "time").when(kind == "click", "current").otherwise("historical").alias("type"), (F.col("event_id") % 2 == 0).alias("meaningful"))
     return evolution.causal_support(rows, supports).withColumnRenamed("evaluation", "o_orderkey")
+
+
+#: What is told after each turn: a phrase, and what it says (amount, unit, whether it is meaningful); some tell nothing.
+_TOLD = (
+    ("Two days later, they left", "Two days later", 2, "day", True), ("After three weeks the road was open", "After three weeks", 3, "week", True), ("He waits after two weeks of rain", None, None, None, None), ("Weeks later nobody knew", "Weeks later", None, "week", True),
+    ("A fortnight has passed", "A fortnight has passed", 2, "week", True), ("twenty-five hours on.", "twenty-five hours on", 25, "hour", False), ("a week on foot", None, None, None, None), ("The next month came", "The next month", 1, "month", True), ("the following day", "the following day", 1, "day", False),
+    ("60 hours had gone by", "60 hours had gone by", 60, "hour", True), ("a few days later", "few days later", None, "day", True), ("someday laterally", None, None, None, None),
+)
+_TOLD_SQL = ", ".join("(" + ", ".join([str(k), *("null" if v is None else repr(v) if isinstance(v, str) else str(v).lower() for v in row[1:])]) + ")" for k, row in enumerate(_TOLD) if row[1])
+
+
+@query(f"""select conv_id, turn, raw, cast(amount as int) as amount, unit, meaningful from conversations join (values {_TOLD_SQL}) t(k, raw, amount, unit, meaningful) on k = (conv_id * 5 + turn) % {len(_TOLD)}""")
+def elapsed_phrases(spark, d):
+    """Turns, which tell of no time by themselves, with a phrase after each."""
+    told = F.element_at(lexical.listed(tuple(x[0] for x in _TOLD)), (1 + (F.col("chat") * 5 + F.col("pos")) % len(_TOLD)).cast("int"))
+    rows = messages(spark, d).select("chat", "pos", F.explode(elapsed.phrases_of_time(F.concat("text", F.lit("\n"), told))).alias("p"))
+    return rows.select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"), "p.raw", F.col("p.amount").cast("int").alias("amount"), "p.unit", "p.meaningful")
+
+
+_EV = '"evidence":[{"sourceMessageId":1,"claim":"it is so"}]'
+#: Rows of replies, and why each isn't taken (none: it is) and how many names were repaired.
+_REPLIES = (
+    ('{"action":"create","kind":"fact","summary":"S",' + _EV + "}", None, 0), ('{"action":"create","category":"development","description":"S",' + _EV + "}", None, 2), ('{"action":"create","kind":"fact","category":"development","summary":"S",' + _EV + "}", "conflicting names", 0),
+    ('{"action":"create","kind":"fact","summary":"S"}', "no evidence", 0), ('{"action":"create","kind":"rumour","summary":"S",' + _EV + "}", "needs kind and summary", 0), ('{"action":"create","kind":"fact","summary":"S","recordId":"r",' + _EV + "}", "a new record has no id yet", 0),
+    ('{"action":"create","kind":"fact","summary":"S","status":"superseded",' + _EV + "}", "unsupported status", 0), ('{"action":"update","summary":"S",' + _EV + "}", "needs a record", 0), ('{"action":"update","recordId":"r",' + _EV + "}", "nothing to update", 0),
+    ('{"action":"update","recordId":"r","trend":"rising",' + _EV + "}", None, 0), ('{"action":"resolve","recordId":"r","evidence":[{"sourceMessageId":-1,"claim":"x"}]}', "evidence without message or claim", 0), ('{"action":"noop"}', None, 0), ('{"action":"forget"}', "unsupported action", 0),
+)
+_REPLY_SQL = ", ".join(f"({k}, {'null' if r[1] is None else repr(r[1])}, {r[2]})" for k, r in enumerate(_REPLIES))
+
+
+@query(f"""with o as (select o_orderkey as id, unnest(range(0, cast(1 + o_orderkey % 11 as bigint))) as ordinal from orders where o_orderkey % 7 <> 3), v(k, reason, repairs) as (values {_REPLY_SQL})
+select id, cast(ordinal as int) as ordinal, case when ordinal >= 8 then 'capped' else reason end as reason, repairs from o join v on k = (id + ordinal * 5) % {len(_REPLIES)} union all select o_orderkey, -1, 'not one object with mutations', null from orders where o_orderkey % 7 = 3""")
+def replies_checked(spark, d):
+    """Replies of one to eleven rows by a rule on the order's key, some in a code fence, some with prose around."""
+    k = F.col("o_orderkey")
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), k % 11), lambda i: F.element_at(lexical.listed(tuple(r[0] for r in _REPLIES)), (1 + (k + i * 5) % len(_REPLIES)).cast("int")))
+    body = F.concat(F.lit('{"mutations":['), F.array_join(rows, ","), F.lit("]}"))
+    reply = F.when(k % 7 == 3, F.concat(F.lit("Here it is: "), body)).when(k % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return envelopes.parse_replies(read(spark, d, "orders").select(k.alias("id"), reply.alias("reply"))).select("id", "ordinal", "reason", "repairs")

@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROWS = 8
-_ROW = "action string, kind string, category string, recordId string, summary string, description string, status string, trend string, timeAnchor string"
+from tidemark.functions.lexical import bounded_excerpt
+
+#: Rows of a reply, pieces of evidence of a row, and characters of a claim.
+MOST_ROWS, MOST_EVIDENCE, CLAIM_CHARS = 8, 4, 500
+_ROW = "action string, kind string, category string, recordId string, summary string, description string, status string, trend string, timeAnchor string, newEpisodeOfRecordId string, anchors array<string>, relatedRecordIds array<string>, evidence array<struct<sourceMessageId:long,claim:string>>"
 
 
 def parse_replies(replies: DataFrame, id_col: str = "id", text_col: str = "reply") -> DataFrame:
     """(id, ordinal, reason, and the fields of each row): reason says why a row or a whole reply (ordinal -1) isn't taken, null if it is.
 
-    Other names of summary and kind are repaired; if both names are there with different values the row is refused. Rows after the eighth are capped.
+    Other names of summary and kind are repaired (repairs: how many); if both names are there with different values the row is refused. Rows
+    after the eighth are capped. All but noop rows need one to four pieces of evidence, each with a message and a claim. An absent field and a
+    null one count the same. Null replies are refused; equal ids are replies of their own.
     """
     body = F.regexp_extract(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"(?s)^(?:```(?:json)?\s*)?(\{.*\})(?:\s*```)?$", 1)
-    parsed = replies.select(F.col(id_col).alias("id"), F.from_json(body, f"mutations array<struct<{_ROW.replace(' string', ':string')}>>").alias("p"))
+    parsed = replies.select(F.col(id_col).alias("id"), F.from_json(body, f"mutations array<struct<{re.sub(r'(\w+) (\w+)', r'\1:\2', _ROW)}>>").alias("p"))
     bad = parsed.filter("p is null or p.mutations is null").select("id", F.lit(-1).alias("ordinal"), F.lit("not one object with mutations").alias("reason"))
     rows = parsed.filter("p.mutations is not null").select("id", F.posexplode("p.mutations").alias("ordinal", "m")).select("id", "ordinal", "m.*")
     clash = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    summary, kind = F.coalesce("summary", "description"), F.coalesce("kind", "category")
+    given = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    create, action = F.col("action") == "create", F.coalesce("action", F.lit(""))
+    summary = F.coalesce(given("summary"), given("description"))
+    repaired = create & given("kind").isNull() & given("category").isin("fact", "development")
+    kind = F.when(repaired, given("category")).otherwise(given("kind"))
+    repairs = (given("summary").isNull() & given("description").isNotNull()).cast("int") + F.coalesce(repaired, F.lit(False)).cast("int")
+    pieces = F.coalesce("evidence", F.array().cast("array<struct<sourceMessageId:long,claim:string>>"))
+    sound = F.forall(pieces, lambda e: F.coalesce(e["sourceMessageId"] >= 0, F.lit(False)) & (F.trim(F.coalesce(e["claim"], F.lit(""))) != ""))
+    listed = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
     reason = (
         F.when(F.col("ordinal") >= MOST_ROWS, "capped")
-        .when(clash("summary", "description") | clash("kind", "category"), "conflicting names")
-        .when(~F.coalesce("action", F.lit("")).isin("create", "update", "resolve", "supersede", "noop"), "unsupported action")
-        .when((F.col("action") == "create") & (summary.isNull() | kind.isNull()), "needs kind and summary")
-        .when(F.col("action").isin("update", "resolve", "supersede") & F.col("recordId").isNull(), "needs a record")
+        .when(clash("summary", "description") | (create & clash("kind", "category")), "conflicting names")
+        .when(~action.isin("create", "update", "resolve", "supersede", "noop"), "unsupported action")
+        .when(action == "noop", F.lit(None))
+        .when(F.size(pieces) == 0, "no evidence")
+        .when(F.size(pieces) > MOST_EVIDENCE, "too much evidence")
+        .when(~sound, "evidence without message or claim")
+        .when(create & (summary.isNull() | ~F.coalesce(kind, F.lit("")).isin("fact", "development")), "needs kind and summary")
+        .when(create & given("recordId").isNotNull(), "a new record has no id yet")
+        .when(create & ~F.coalesce("status", F.lit("active")).isin("active", "resolved"), "unsupported status")
+        .when(~create & given("recordId").isNull(), "needs a record")
+        .when(~create & F.col("status").isNotNull() & ~F.col("status").isin("active", "resolved", "superseded"), "unsupported status")
+        .when((action == "update") & summary.isNull() & F.col("trend").isNull() & F.col("anchors").isNull() & F.col("status").isNull() & (listed("relatedRecordIds") == 0), "nothing to update")
     )
-    good = rows.select("id", "ordinal", reason.alias("reason"), "action", kind.alias("kind"), F.col("recordId").alias("record"), summary.alias("summary"), "status", "trend", F.col("timeAnchor").alias("time_anchor"))
+    good = rows.select("id", "ordinal", reason.alias("reason"), "action", kind.alias("kind"), F.col("recordId").alias("record"), summary.alias("summary"), "status", "trend", F.col("timeAnchor").alias("time_anchor"), F.col("newEpisodeOfRecordId").alias("episode_of"), "anchors", F.transform(pieces, lambda e: F.struct(e["sourceMessageId"].alias("message"), bounded_excerpt(e["claim"], CLAIM_CHARS).alias("claim"))).alias("evidence"), repairs.alias("repairs"))
     return good.unionByName(bad, allowMissingColumns=True)
