@@ -55,6 +55,8 @@ def _keys_of(min_chars: int):
 
 #: Rows of a run that are held until it has enough documents; beyond, they are passed on undecided.
 HELD_ROWS = 10_000
+#: Runs at the ends of tasks that are sent to all tasks, at most.
+BROADCAST_ROWS = 100_000
 
 
 class _Run:
@@ -171,8 +173,10 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = keys.repartitionByRange(n, "hi", "lo", F.col("id").desc()).sortWithinPartitions("hi", "lo", F.col("id").desc(), "mark")
     runs = cut(dealt.mapInArrow(_stream_runs(min_docs), _RUNS))
     # Runs at a task's ends, and those of which more than HELD_ROWS rows were passed on.
-    ends = runs.filter("edge").groupBy("hi", "lo").agg(F.sum("fresh").alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= min_docs)
-    late = runs.filter("edge and n_lines > 0").join(ends, ["hi", "lo"]).filter("id != last")
+    ends = cut(runs.filter("edge").groupBy("hi", "lo").agg(F.sum("fresh").alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= min_docs))
+    # Mostly two rows a task, which go to the rows of a common line where those are; more of them meet by an exchange whose large parts can be split.
+    few = ends.count() <= BROADCAST_ROWS
+    late = runs.filter("edge and n_lines > 0").join(F.broadcast(ends) if few else ends, ["hi", "lo"]).filter("id != last")
     drops = runs.filter("not edge").select("id", "mark", "n_lines", "lines").unionByName(late.select("id", "mark", "n_lines", "lines"))
     # A row for each key that a document loses.
     each = drops.groupBy("id", "mark").agg(F.first("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
