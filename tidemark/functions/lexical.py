@@ -77,7 +77,9 @@ def shared_content(left: Column, right: Column) -> Column:
 def non_ascii_pairs(text: Column, most: int = 64, newest_first: bool = False) -> Column:
     """The first (or last) different pairs of neighbours, spaces left out, of which one isn't ASCII; of one character it alone."""
     own = F.replace(canonical_text(text), F.lit(" "), F.lit(""))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(own) - 1), lambda i: F.substring(own, i, F.lit(2)))
+    chars = F.filter(F.split(own, ""), lambda c: c != "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))  # linear in the text
     pairs = F.reverse(pairs) if newest_first else pairs
     some = own.rlike(r"[^\x00-\x7F]")
     none = F.array().cast("array<string>")
