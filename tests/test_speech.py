@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import speech
-from tidemark.operators import admission
+from tidemark.functions import elapsed, speech
+from tidemark.operators import admission, log
 
 
 def texts(spark, column, *values):
@@ -100,3 +100,22 @@ def test_gate_of_odd_rows(gate):
 def test_gate_of_nothing(gate):
     assert gate([], [], [], []) == {}
     assert gate([(1, "update", 1, "x", None, None, None, None, None)], [], [], []) == {1: ("target not in context", None)}
+
+
+TIMES = [
+    ("Three weeks later, the bridge that would never be rebuilt fell.", ["Three weeks later"]), ("Two weeks later, we'll be gone.", []), ("We could reach the pass two days later.", []), ("Three days later she could walk again.", ["Three days later"]),
+    ('"Two months later," he said. A month has passed.', ["A month has passed"]), ("If the rains come, three weeks later we go.", []), ("As if two days later nothing was lost.", ["two days later"]), ("He left next week.", []),
+    ("With all their might they rose, and a year later they won.", ["a year later"]), ("A year later. They plan to go.", ["A year later"]), ("", []), (None, []),
+]
+
+
+def test_established_time(spark):
+    found = texts(spark, lambda t: F.transform(elapsed.established(t), lambda p: p["raw"]), *(t for t, _ in TIMES))
+    assert found == [x for _, x in TIMES]
+
+
+def test_newest_time_of_odd_rows(spark):
+    rows = [(1, 0, "user", "A month has passed. An hour later she left."), (1, 1, None, "Two hours later he came."), (1, 2, "system", "A year later."), (1, None, "user", "A year later."), (2, 0, "user", None), (None, 0, "user", "An hour later."), (None, 0, "user", "An hour later.")]
+    df = spark.createDataFrame(rows, "chat long, pos int, role string, text string")
+    assert {(r.chat, r.raw, r.meaningful) for r in log.newest_elapsed(df).collect()} == {(1, "A month has passed", True), (None, "An hour later", False)}
+    assert log.newest_elapsed(df.limit(0)).count() == 0

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import elapsed
 from tidemark.functions.text import FNV_PRIME, FNV_SEEDS, hash_text
 
 
@@ -97,3 +98,14 @@ def rebuild_plan(log: DataFrame, most: int = 1024) -> DataFrame:
     """Per chat: exchanges to replay, the first and last of them, visible rows, and whether the number is over the limit."""
     windows = exchange_windows(log)
     return windows.groupBy("chat").agg(F.count("*").alias("n_windows"), F.min("end_pos").alias("first_end"), F.max("end_pos").alias("last_end"), F.sum("n_rows").alias("n_rows"), (F.count("*") > most).alias("over_limit"))
+
+
+def newest_elapsed(log: DataFrame) -> DataFrame:
+    """(chat, raw, amount, unit, meaningful): the last phrase of time narrated as past that is meaningful, else the last one, of each chat's log.
+
+    log: chat, pos, role, text. System rows and rows without a place don't count; null roles do. Of rows at one place the phrase that sorts last
+    counts. Chats without a phrase have no row.
+    """
+    told = log.filter("pos is not null and coalesce(role, '') <> 'system'").select("chat", "pos", F.posexplode(elapsed.established(F.col("text"))).alias("k", "p"))
+    newest = told.groupBy("chat").agg(F.max(F.struct(F.col("p.meaningful").alias("m"), "pos", "k", "p")).alias("x"))
+    return newest.select("chat", "x.p.*")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import speech
-from tidemark.operators import admission
-from tidemark.plans.catalogue import query, read
+from tidemark.functions import lexical, speech
+from tidemark.operators import admission, log
+from tidemark.plans.catalogue import messages, query, read
 
 _SPOKEN = """'The guard said "' || p_name || ', come!" at the ' || p_type || ' gate. “' || p_type || ' ' || p_brand || '” was all. Nobody heard.'"""
 
@@ -74,3 +74,14 @@ def admission_gate(spark, d):
     records = part.select(k.alias("id"), F.when(form == 6, "resolved").otherwise("active").alias("status"), told.alias("summary"), F.array("p_name").alias("anchors"))
     found = admission.admitted(proposals, evidence, messages, records)
     return found.select(F.col("proposal_id").alias("id"), "reason", F.array_join("anchors", "|").alias("anchors"))
+
+
+#: Phrases of time after turns, which have none: of weeks, of an hour, and four that aren't narrated as past.
+_TIMES = ("Three weeks later, the gate fell.", "An hour later she left.", "Two weeks later, we will be gone.", 'He said "two months later" and left.', "If the rains come, three weeks later we go.", "We could go two days later.", "Nothing.")
+
+
+@query("""with t as (select conv_id as chat, turn, (conv_id * 3 + turn) % 7 as f from conversations where turn is not null and coalesce(role, '') <> 'system'), n as (select chat, arg_max(f, (case when f = 0 then 1 else 0 end) * 1000000000 + turn) as f from t where f < 2 group by chat)
+select chat, case f when 0 then 'Three weeks later' else 'An hour later' end as raw, case f when 0 then 3 else 1 end as amount, case f when 0 then 'week' else 'hour' end as unit, f = 0 as meaningful from n""")
+def newest_elapsed(spark, d):
+    told = F.element_at(lexical.listed(_TIMES), (1 + (F.col("chat") * 3 + F.col("pos")) % 7).cast("int"))
+    return log.newest_elapsed(messages(spark, d).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), told)))
