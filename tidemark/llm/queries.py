@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from tidemark.llm import bpe, decontaminate, filter_audit, kneser_ney, line_dedup, media, packing, preferences, simhash, toxicity, url_filter, warc
+from tidemark.llm import bpe, collocations, decontaminate, filter_audit, kneser_ney, line_dedup, media, packing, preferences, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         url_filter.op8_url_filter,
         warc.op9_warc,
         kneser_ney.op10_kneser_ney,
+        collocations.op11_collocations,
         packing.op12_packing,
         filter_audit.op13_filter_audit,
     )
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
