@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def described(spark: SparkSession, text: str) -> Iterator[None]:
+    """Names what jobs do and read, in the UI and the event log: jobs on RDDs have no plan that does."""
+    own = spark.sparkContext
+    before = own.getLocalProperty("spark.job.description")
+    own.setJobDescription(text)
+    try:
+        yield
+    finally:
+        own.setLocalProperty("spark.job.description", before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

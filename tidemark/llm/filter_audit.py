@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import UPPER, partitions, table
+from tidemark.llm.common import UPPER, cut, described, partitions, table
 
 _UPPER = UPPER.encode()
 _MARKS = re.compile(r"[#$%&*|]")
@@ -170,7 +170,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark, n = docs.sparkSession, 1 << len(filters) + 1
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    rows = masks(docs, id_col, text_col, part_col, filters).join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(False)), F.coalesce("toxic", F.lit(False)))
+    # Kept, so that no text is routed again if an executor is lost later.
+    rows = cut(masks(docs, id_col, text_col, part_col, filters).join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")))
 
     def add(counts: np.ndarray, row: tuple) -> np.ndarray:
         mask, times, good, toxic = row
@@ -182,7 +183,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    with described(spark, f"masks of {sf_dir}/documents.parquet with {sf_dir}/labels.parquet"):
+        return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 ORACLE = r"""
