@@ -4,16 +4,18 @@ Texts become shards: the word ids of some megabytes of one language, with a brea
 prefix doubling over word ids, to the four words that phrases can have; the intervals of its LCP array are the shard's different n-grams
 and their counts, and these are merged over all shards by key.
 
-A phrase is frequent only if its parts are. So three merges follow each other: words, pairs, then triples and quadruples, and each goes back to
-the shards that have its frequent n-grams: there the rest is cut out before the next. What goes back is a row for each n-gram and shard, bounded by
-the shard's own words, and nothing is broadcast. A shard that has a frequent phrase has all its parts with their totals, so that the shard
-that owns the phrase scores it and names the phrases that it covers.
+A phrase is frequent only if its parts are. So the words are merged first, then pairs, triples and quadruples, and each merge goes back to
+the shards that have its frequent n-grams: there the rest is cut out before the next. What goes back is a row for each n-gram and shard, bounded
+by the shard's own words, and nothing is broadcast. Shards lie in tables bucketed by their number, so that they stay where they are and
+only n-grams are shuffled. A shard that has a frequent phrase has all its parts with their totals, so that the shard that owns the phrase
+scores it and names the phrases that it covers.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, cut, raw, remove, scratch, slices, table
+from tidemark.llm.common import LOWER, UPPER, cut, partitions, raw, remove, scratch, slices, table
 
 MOST_WORDS = 4
 #: Bytes of text of a shard.
@@ -36,11 +38,12 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TO_WORDS = bytes.maketrans(_BREAKS + b"\t" + UPPER.encode(), b"\n" * len(_BREAKS) + b" " + LOWER.encode())
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
-_SHARD = "shard long, lang string, n long, words binary, counts binary, ids binary"
-_KNOWN = "shard long, lang string, words binary, totals binary, owners binary, ids binary"
-_PAIRS = _KNOWN + ", pair_totals binary, pair_owners binary, pair_mine binary"
-_SCORED = "id long, size int, lang string, phrase string, a long, l long, r long, score long"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+#: A shard: tables are its words' counts; later, for each n, the totals and the owners of its frequent n-grams.
+_SHARD = "shard long, lang string, n long, words binary, tables array<binary>, ids binary"
+_SCORED = "id long, size int, phrase string, a long, l long, r long, score long"
+#: A shard without phrase columns, or what a shard tells of a phrase, without those of the shard.
+_STEP = f"{_SHARD}, {_SCORED}"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
 
 
 def _schema(columns: str) -> pa.Schema:
@@ -76,7 +79,7 @@ class _Shard:
         ids = np.concatenate(self.chunks)
         words = [w for w, k in self.ids.items() if k > 0]
         counts = np.bincount(ids, minlength=len(words) + 1)[1:].astype("<i8")
-        return pa.RecordBatch.from_pylist([{"shard": shard, "lang": self.lang, "n": int(counts.sum()), "words": b"\n".join(words), "counts": _stored(counts), "ids": _stored(ids.astype("<u4"))}], _schema(_SHARD))
+        return pa.RecordBatch.from_pylist([{"shard": shard, "lang": self.lang, "n": int(counts.sum()), "words": b"\n".join(words), "tables": [_stored(counts)], "ids": _stored(ids.astype("<u4"))}], _schema(_SHARD))
 
 
 def _parts(text: bytes, most: int) -> Iterator[bytes]:
@@ -146,6 +149,10 @@ class Grams:
     def __init__(self, ids: np.ndarray, depth: int):
         self.ids, (self.order, self.run, self.lcp) = ids, suffix_array(ids, depth)
 
+    def numbers(self, n: int) -> np.ndarray:
+        """At each place of ids the number of its n-gram, from 1, or 0; a word's is its id."""
+        return self.intervals(n)[2] if n > 1 else np.r_[self.ids, np.zeros(MOST_WORDS, self.ids.dtype)].astype(np.int64)
+
     def intervals(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A place of each n-gram, its count, and at each place of ids the number of its n-gram, from 1, or 0."""
         valid = self.run[self.order] >= n
@@ -156,40 +163,32 @@ class Grams:
         return self.order[heads], np.bincount(label, minlength=1)[1:], at
 
 
-def _rows(columns: dict, shard: int, numbers: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    if len(numbers) and numbers[-1] > GRAMS:
+def _rows(columns: dict, shard: int, counts: np.ndarray) -> pa.RecordBatch:
+    if len(counts) > GRAMS:
         raise ValueError("a text without breaks has too many different phrases")
-    return pa.RecordBatch.from_pydict({**columns, "place": pa.array((shard << GRAM_BITS) + numbers.astype(np.int64)), "times": pa.array(counts.astype(np.int64))})
+    return pa.RecordBatch.from_pydict({**columns, "place": pa.array((shard << GRAM_BITS) + np.arange(len(counts), dtype=np.int64)), "times": pa.array(counts.astype(np.int64))})
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             words = pa.array(r["words"].split(b"\n") if r["words"] else [], pa.binary())
-            counts = _read(r["counts"])
             # No word holds a line break, so that word and language can't be mixed up.
-            yield _rows({"word": pc.binary_join_element_wise(words, pa.scalar(r["lang"].encode()), b"\n")}, r["shard"], np.arange(len(words)), counts)
+            yield _rows({"word": pc.binary_join_element_wise(words, pa.scalar(r["lang"].encode()), b"\n")}, r["shard"], _read(r["tables"][0]))
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, owners = _read(r["ids"], "<u4"), _read(r["owners"])
-            heads, counts, _ = Grams(ids, 2).intervals(2)
-            yield _rows({"first": pa.array(owners[ids[heads] - 1]), "second": pa.array(owners[ids[heads + 1] - 1])}, r["shard"], np.arange(len(heads)), counts)
+def _gram_rows(n: int):
+    """The n-grams of each shard, known by the owners of their two parts of n - 1 words."""
 
-
-def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Triples are known by their two pairs, quadruples by their first and their last, this one's complement."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            grams, owners = Grams(_read(r["ids"], "<u4"), MOST_WORDS), _read(r["pair_owners"])
-            pairs, first = grams.intervals(2)[2], 0
-            for n in (3, 4):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                grams, owners = Grams(_read(r["ids"], "<u4"), n), _read(r["tables"][-1])
+                at = grams.numbers(n - 1)
                 heads, counts, _ = grams.intervals(n)
-                last = owners[pairs[heads + n - 2] - 1]
-                yield _rows({"first": pa.array(owners[pairs[heads] - 1]), "second": pa.array(last if n == 3 else ~last)}, r["shard"], first + np.arange(len(heads)), counts)
-                first += len(heads)
+                yield _rows({"first": pa.array(owners[at[heads] - 1]), "second": pa.array(owners[at[heads + 1] - 1])}, r["shard"], counts)
+
+    return run
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -199,46 +198,45 @@ def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return found.withColumn("shard", F.shiftright("place", GRAM_BITS))
 
 
-def _met(shards: DataFrame, found: DataFrame, step, columns: str) -> DataFrame:
+def _met(shards: DataFrame, found: DataFrame, step) -> DataFrame:
     """step(row of a shard, numbers, totals, owners of its frequent n-grams) for each shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row in left.to_pylist():  # one, but for a shard without rows
+        for row in left.to_pylist():  # one
             place, total, owner = (right.column(c).to_numpy() for c in ("place", "total", "owner"))
             order = np.argsort(place)
-            out.append(pa.Table.from_pydict(step(row, place[order] & GRAMS, total[order], owner[order]), _schema(columns)))
-        return pa.concat_tables(out) if out else _schema(columns).empty_table()
+            out += [pa.Table.from_pydict(x, _schema(_STEP)) for x in step(row, place[order] & GRAMS, total[order], owner[order])]
+        return pa.concat_tables(out) if out else _schema(_STEP).empty_table()
 
-    return shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, columns)
+    return shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, _STEP)
 
 
-def _known_words(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> dict:
+def _runs(good: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ends): the words of stretches in which good n-grams begin at two places in a row or more, and where a break follows among them.
+
+    Stretches that overlap have their common words each.
+    """
+    edges = np.flatnonzero(np.diff(np.r_[0, good.astype(np.int8), 0]))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1] + n - 1
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum())), ends
+
+
+def _known_words(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
     """The shard with its frequent words alone, numbered in the order of their owners, which is the same in all shards."""
     words, by = row["words"].split(b"\n"), np.argsort(owners)
     new = np.zeros(len(words) + 1, np.uint32)
     new[numbers[by] + 1] = np.arange(1, len(by) + 1)
     ids = new[_read(row["ids"], "<u4")]
-    alone = ~(np.r_[False, ids[:-1] > 0] | np.r_[ids[1:] > 0, False])
-    ids[alone] = 0
-    ids = ids[(ids > 0) | np.r_[False, ids[:-1] > 0]]
-    return {"shard": [row["shard"]], "lang": [row["lang"]], "words": [b"\n".join(words[k] for k in numbers[by].tolist())], "totals": [_stored(totals[by])], "owners": [_stored(owners[by])], "ids": [_stored(ids)]}
-
-
-def _known_pairs(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> dict:
-    """The shard with a break wherever two words are no frequent pair."""
-    ids = _read(row["ids"], "<u4")
-    heads, _, at = Grams(ids, 2).intervals(2)
-    good = np.zeros(len(heads) + 1, bool)
-    good[numbers + 1] = True
-    joined = good[at[: len(ids)]]
-    kept = joined | np.r_[False, joined[:-1]]
-    # After a word that ends a run comes a break.
-    ends = np.cumsum(1 + ~joined[kept])
-    runs = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-    runs[ends - 1 - ~joined[kept]] = ids[kept]
-    mine = owners == (row["shard"] << GRAM_BITS | numbers)
-    return {c: [row[c]] for c in ("shard", "lang", "words", "totals", "owners")} | {"ids": [_stored(runs)], "pair_totals": [_stored(totals)], "pair_owners": [_stored(owners)], "pair_mine": [_stored(mine)]}
+    places, ends = _runs(ids > 0, 1)
+    yield _shard_row(row, b"\n".join(words[k] for k in numbers[by].tolist()), [totals[by], owners[by]], ids[places], ends)
+
+
+def _shard_row(row: dict, words: bytes, tables: list[np.ndarray], ids: np.ndarray, ends: np.ndarray) -> dict:
+    own = {"shard": row["shard"], "lang": row["lang"], "n": row["n"], "words": words, "tables": [_stored(x) for x in tables], "ids": _stored(np.insert(ids, ends, 0).astype("<u4"))}
+    return {c: [own.get(c)] for c in _schema(_STEP).names}
 
 
 def _score(a: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -248,51 +246,52 @@ def _score(a: np.ndarray, both: np.ndarray) -> np.ndarray:
     return 2_000_000 * a // np.maximum(both, 1)
 
 
-def _scored(cover: tuple[int, int]):
-    """Of phrases that this shard owns a row with their scores, and for each phrase that one of them covers a row without phrase."""
-
-    def step(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> dict:
-        ids, words = _read(row["ids"], "<u4"), [x.decode("utf-8", "replace") for x in row["words"].split(b"\n")]
-        grams = Grams(ids, MOST_WORDS)
-        found = {n: grams.intervals(n) for n in range(2, MOST_WORDS + 1)}
-        at = {1: np.r_[ids, np.zeros(MOST_WORDS, ids.dtype)].astype(np.int64)} | {n: x[2] for n, x in found.items()}
-        # By n: totals, owners and whether this shard owns them; 0 and -1 where a triple or quadruple isn't frequent.
-        triples, n_long = len(found[3][0]), len(found[3][0]) + len(found[4][0])
-        total, owner, mine = np.zeros(n_long, np.int64), np.full(n_long, -1, np.int64), np.zeros(n_long, bool)
-        total[numbers], owner[numbers], mine[numbers] = totals, owners, owners == (row["shard"] << GRAM_BITS | numbers)
-        sums = {1: _read(row["totals"]), 2: _read(row["pair_totals"]), 3: total[:triples], 4: total[triples:]}
-        owned = {2: _read(row["pair_owners"]), 3: owner[:triples], 4: owner[triples:]}
-        own = {2: _read(row["pair_mine"], "?"), 3: mine[:triples], 4: mine[triples:]}
-        out: dict[str, list] = {c: [] for c in ("id", "size", "lang", "phrase", "a", "l", "r", "score")}
-
-        def add(**columns) -> None:
-            n = len(columns["id"])
-            for c, values in out.items():
-                values.extend(columns.get(c, [None] * n))
-
-        def count(n: int, places: np.ndarray) -> np.ndarray:
-            return sums[n][at[n][places] - 1]
-
-        for n, (heads, _, _) in found.items():
-            p = heads[own[n]]
-            a, best = sums[n][own[n]], None
-            for k in range(1, n):
-                l, r = count(k, p), count(n - k, p + k)  # noqa: E741
-                score = _score(a, l + r)
-                better = score < best[2] if best else np.ones(len(p), bool)
-                best = tuple(np.where(better, x, y) for x, y in zip((l, r, score), best or (l, r, score), strict=True))
-            phrases = [" ".join(words[i - 1] for i in own_ids) for own_ids in zip(*(ids[p + d].tolist() for d in range(n)), strict=True)]
-            add(id=owned[n][own[n]].tolist(), size=[min(n, 3)] * len(p), lang=[row["lang"]] * len(p), phrase=phrases, a=a.tolist(), l=best[0].tolist(), r=best[1].tolist(), score=best[2].tolist())
-            for m in range(2, n):
-                for d in range(n - m + 1):
-                    covered = cover[1] * a >= cover[0] * count(m, p + d)
-                    ids_in = owned[m][at[m][p + d] - 1][covered].tolist()
-                    add(id=ids_in, size=[min(m, 3)] * len(ids_in))
-        return out
+def _step(n: int, last: bool, cover: tuple[int, int]):
+    """Of frequent n-grams that this shard owns a row with their scores, for each phrase that one of them covers a row without phrase, and the shard with breaks where no n-gram is frequent."""
+
+    def step(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
+        ids, words, tables = _read(row["ids"], "<u4"), row["words"].split(b"\n"), [_read(x) for x in row["tables"]]
+        grams = Grams(ids, n)
+        at = {k: grams.numbers(k) for k in range(1, n)}
+        heads, _, at[n] = grams.intervals(n)
+        sums, owned = ({k: tables[2 * k - 2 + j] for k in range(1, n)} for j in (0, 1))
+        sums[n], owned[n] = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+        sums[n][numbers], owned[n][numbers] = totals, owners
+
+        def count(k: int, places: np.ndarray) -> np.ndarray:
+            return sums[k][at[k][places] - 1]
+
+        mine = numbers[owners == (row["shard"] << GRAM_BITS | numbers)]
+        p, a, best = heads[mine], sums[n][mine], None
+        for k in range(1, n):
+            l, r = count(k, p), count(n - k, p + k)  # noqa: E741
+            score = _score(a, l + r)
+            better = score < best[2] if best else np.ones(len(p), bool)
+            best = tuple(np.where(better, x, y) for x, y in zip((l, r, score), best or (l, r, score), strict=True))
+        phrases = [b" ".join([words[i - 1] for i in own]).decode("utf-8", "replace") for own in zip(*(ids[p + d].tolist() for d in range(n)), strict=True)]
+        yield _told(row, owned[n][mine], n, phrases, a, *best)
+        for m in range(2, n):
+            for d in range(n - m + 1):
+                covered = p[cover[1] * a >= cover[0] * count(m, p + d)] + d
+                yield _told(row, owned[m][at[m][covered] - 1], m)
+        if not last:
+            places, ends = _runs(sums[n][at[n][: len(ids)] - 1] * (at[n][: len(ids)] > 0) > 0 if len(heads) else np.zeros(len(ids), bool), n)
+            new = np.insert(ids[places], ends, 0)
+            # Where a word of the new ids stands in the old ones.
+            old, cut_grams = np.insert(places, ends, -1), Grams(new, n)
+            kept = {1: slice(None)} | {k: at[k][old[cut_grams.intervals(k)[0]]] - 1 for k in range(2, n + 1)}
+            yield _shard_row(row, row["words"], [x for k in range(1, n + 1) for x in (sums[k][kept[k]], owned[k][kept[k]])], ids[places], ends)
 
     return step
 
 
+def _told(row: dict, ids: np.ndarray, size: int, phrases: list | None = None, *numbers: np.ndarray) -> dict:
+    """Rows of phrases; without text and numbers, of covered ones."""
+    n = len(ids)
+    own = {"shard": [row["shard"]] * n, "lang": [row["lang"]] * n, "id": ids.tolist(), "size": [size] * n, "phrase": phrases} | {c: x.tolist() for c, x in zip(("a", "l", "r", "score"), numbers, strict=False)}
+    return {c: [None] * n if own.get(c) is None else own[c] for c in _schema(_STEP).names}
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, cover: tuple[int, int] = (4, 5), shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): of each language the `top` phrases by score, count and phrase, as the queries' contract defines them.
 
@@ -300,25 +299,32 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     are `und`, null texts empty. Rows may repeat and count each time; words may hold anything but spaces, tabs and breaks. A very long text is cut at breaks;
     a piece between two breaks is held whole. Other columns are left out, so that no name clashes; an empty table gives an empty one.
     """
-    spark, at = docs.sparkSession, scratch(docs.sparkSession, "collocations")
+    spark, run = docs.sparkSession, scratch(docs.sparkSession, "collocations")
+    name = "collocations_" + run[-32:]
+
+    def kept(df: DataFrame, k: int) -> DataFrame:
+        """A table in buckets by shard, so that the next step's n-grams come to the shards."""
+        df.write.bucketBy(partitions(spark), "shard").option("path", f"{run}/{k}").saveAsTable(f"{name}_{k}")
+        return spark.table(f"{name}_{k}")
 
-    def kept(df: DataFrame, name: str, columns: str) -> DataFrame:
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(columns).parquet(f"{at}/{name}")
+    def done(k: int) -> None:
+        spark.sql(f"drop table {name}_{k}")
+        remove(spark, f"{run}/{k}")
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = kept(texts.mapInArrow(_sharded(shard_bytes), _SHARD), "shards", _SHARD)
+    shards, told = kept(texts.mapInArrow(_sharded(shard_bytes), _SHARD), 0), []
     sizes = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = _frequent(shards.select("shard", "lang", "words", "counts").mapInArrow(_word_rows, "word binary, place long, times long"), ["word"], least)
-    known = kept(_met(shards.select("shard", "lang", "words", "ids"), words, _known_words, _KNOWN), "words", _KNOWN)
-    remove(spark, f"{at}/shards")
-    gram = "first long, second long, place long, times long"
-    pairs = _frequent(known.select("shard", "owners", "ids").mapInArrow(_pair_rows, gram), ["first", "second"], least)
-    paired = kept(_met(known, pairs, _known_pairs, _PAIRS), "pairs", _PAIRS)
-    remove(spark, f"{at}/words")
-    more = _frequent(paired.select("shard", "ids", "pair_owners").mapInArrow(_long_rows, gram), ["first", "second"], least)
-    scored = cut(_met(paired, more, _scored(cover), _SCORED))
-    remove(spark, f"{at}/pairs")
+    for n in range(1, MOST_WORDS + 1):
+        if n == 1:
+            found = _frequent(shards.select("shard", "lang", "words", "tables").mapInArrow(_word_rows, "word binary, place long, times long"), ["word"], least)
+        else:
+            found = _frequent(shards.select("shard", "tables", "ids").mapInArrow(_gram_rows(n), "first long, second long, place long, times long"), ["first", "second"], least)
+        met = kept(_met(shards, found, _known_words if n == 1 else _step(n, n == MOST_WORDS, cover)), n)
+        done(n - 1)
+        shards = met.filter("words is not null").select([x.split()[0] for x in _SHARD.split(", ")])
+        told.append(cut(met.filter("size is not null").select("lang", *(x.split()[0] for x in _SCORED.split(", ")))))
+    done(MOST_WORDS)
+    scored = reduce(DataFrame.unionByName, told[1:])
     covered = scored.filter("phrase is null").select("id", "size").distinct()
     left = scored.filter("phrase is not null").join(covered, ["id", "size"], "left_anti")
     # The score that `top` phrases reach, so that no language's phrases have to be sorted in one task.
