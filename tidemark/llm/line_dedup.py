@@ -168,7 +168,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is shuffled. Other columns are left out, so that no name clashes; empty tables give an empty table.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    some = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    some = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     keys = some.mapInArrow(_keys_of(min_chars), _KEYS)
     dealt = keys.repartitionByRange(n, "hi", "lo", F.col("id").desc()).sortWithinPartitions("hi", "lo", F.col("id").desc(), "mark")
     runs = cut(dealt.mapInArrow(_stream_runs(min_docs), _RUNS))
@@ -208,15 +208,16 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_i
 
     Rows that repeat get the same bitmap; ids that aren't integers count as null. Empty tables give an empty table.
     """
-    kept = docs.drop(*({out, "n_lines", "n_dropped"} - {id_col, text_col}))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = kept.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__mark": F.xxhash64(F.col(text_col))})
-    marks = bitmaps.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep"))
-    both = keyed.join(marks, ["__id", "__mark"], "left")
+    # One struct for the time of the join, so that no name clashes.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
+    both = keyed.join(bitmaps.select("id", "mark", "n_dropped", "keep"), ["id", "mark"], "left")
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in {out, "n_lines", "n_dropped"} or c in {id_col, text_col} - {out}]
+    n_lines = F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines")
     # Only documents that lose lines pass through Python.
-    changed = both.filter("__keep is not null").withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.col("__n").cast("long"), out: F.pandas_udf(_kept, "string")(text, F.col("__keep"))})
-    same = both.filter("__keep is null").withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.lit(0).cast("long"), out: text})
-    return changed.unionByName(same).drop("__id", "__mark", "__n", "__keep")
+    changed = both.filter("keep is not null").select(*columns, n_lines, F.col("n_dropped").cast("long").alias("n_dropped"), F.pandas_udf(_kept, "string")(text, F.col("keep")).alias(out))
+    same = both.filter("keep is null").select(*columns, n_lines, F.lit(0).cast("long").alias("n_dropped"), text.alias(out))
+    return changed.unionByName(same)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

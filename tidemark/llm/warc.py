@@ -53,7 +53,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     at = at or scratch(spark, "warc")
     archive = Archive(f"{at}/payloads", f"{at}/headers")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    rows = pages.select(F.col(id_col).try_cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     # Each task sends one payload for each digest it has.
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(archive.payloads)
     heads = rows.select("id", "url", "digest", F.octet_length("payload").alias("n"))
