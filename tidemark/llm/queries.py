@@ -13,6 +13,7 @@ QUERIES = {
         toxicity.op6_toxicity,
         line_dedup.op7_line_dedup,
         url_filter.op8_url_filter,
+        url_filter.url_rules,
         warc.op9_warc,
         kneser_ney.op10_kneser_ney,
         collocations.op11_collocations,
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op2_preferences": preferences.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "url_rules": url_filter.RULES_ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_collocations": collocations.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,

@@ -1,8 +1,9 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for what no rule fits.
 
 DataFrame functions and MLlib's trees only. The trees are trained from labelled URLs: those given, and those that the rules fit.
-Suffix statistics, of the host's last label and of its last two, are kept for a fixed number of hash buckets, so their table has a
-size of its own, not the corpus's. A labelled URL gets them from the other folds, so that its own label isn't among its features.
+Suffix statistics, of the host's last label and of its last two, and those of the path's first part, alone and with the last label, are kept for
+a fixed number of hash buckets, so their table has a size of its own, not the corpus's. A labelled URL gets them from the other
+folds, so that its own label isn't among its features.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 BUCKETS, FOLDS = 1024, 5
 #: Labelled URLs that the trees are fitted on, at most; taken in the order of their hash.
 TRAIN_ROWS = 20_000
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_query", "has_fragment", "suffix_rate", "domain_rate")
-#: Suffix statistics: the feature, its bucket, and the end of the host.
-SUFFIXES = (("suffix_rate", "suffix", r"([^.]*)$"), ("domain_rate", "domain", r"([^.]*\.?[^.]*)$"))
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_query", "has_fragment", "suffix_rate", "domain_rate", "section_rate", "suffix_section_rate")
+#: Statistics: the feature, its bucket, and what is hashed of host and path.
+_LAST, _SECTION = r"regexp_extract(host, '([^.]*)$', 1)", r"regexp_extract(path, '^/?([^/]*)', 1)"
+SUFFIXES = (
+    ("suffix_rate", "suffix", _LAST),
+    ("domain_rate", "domain", r"regexp_extract(host, '([^.]*[.]?[^.]*)$', 1)"),
+    ("section_rate", "section", _SECTION),
+    ("suffix_section_rate", "suffix_section", f"concat({_LAST}, '/', {_SECTION})"),
+)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -35,7 +42,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, or nulls. For lists of some hundred rules: they are part of the expression."""
+    """(rule, verdict) of the longest rule that fits, or nulls; of equally long ones the last in the order of (action, host, path). For lists of some hundred rules: they are part of the expression."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for action, at, under in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(under)
@@ -44,7 +51,7 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def with_buckets(urls: DataFrame) -> DataFrame:
-    return urls.withColumns({name: F.pmod(F.xxhash64(F.regexp_extract("host", end, 1)), F.lit(BUCKETS)).cast("int") for _, name, end in SUFFIXES})
+    return urls.withColumns({name: F.pmod(F.xxhash64(F.expr(key)), F.lit(BUCKETS)).cast("int") for _, name, key in SUFFIXES})
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -108,7 +115,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 8, dep
     n_block = int(min(seen[1.0], max(train_rows // 2, train_rows - seen[0.0])))
     n_allow = int(min(seen[0.0], train_rows - n_block))
     drawn = [labelled.filter(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(n).withColumn("weight", F.lit(seen[label] / n)) for label, n in ((1.0, n_block), (0.0, n_allow))]
-    fitted_on = model.features(drawn[0].unionByName(drawn[1]).drop("suffix", "domain"), True).select("features", "label", "weight").coalesce(8).cache()
+    fitted_on = model.features(drawn[0].unionByName(drawn[1]).drop(*(name for _, name, _ in SUFFIXES)), True).select("features", "label", "weight").coalesce(8).cache()
     model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, minInstancesPerNode=5, seed=7, cacheNodeIds=False, weightCol="weight").fit(fitted_on)
     fitted_on.unpersist()
     return model
@@ -158,10 +165,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
-#: The columns that the rules decide; SQL doesn't express the trees.
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that the rules decide; SQL doesn't express the trees."""
+    host, path = host_and_path(F.col("url"))
+    parsed = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = rule_for(F.col("host"), F.col("path"))
+    return parsed.withColumns({"rule": rule, "verdict": verdict})
+
+
 RULES_ORACLE = f"""
 with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') as path from pages),
-r(verdict, at, under) as (values {", ".join(str(r) for r in RULES)}),
-f as (select page_id, arg_max(at || under, length(at || under)) as rule, arg_max(verdict, length(at || under)) as verdict from p join r on (host = at or ends_with(host, '.' || at)) and starts_with(path, under) group by page_id)
+r(verdict, host_rule, under) as (values {", ".join(str(r) for r in RULES)}),
+f as (select page_id, arg_max(host_rule || under, length(host_rule || under)) as rule, arg_max(verdict, length(host_rule || under)) as verdict from p join r on (host = host_rule or ends_with(host, '.' || host_rule)) and starts_with(path, under) group by page_id)
 select page_id, host, path, rule, verdict from p left join f using (page_id)
 """
