@@ -300,7 +300,8 @@ def _texts_by_term(shared, strong=None):  # noqa: ANN001, ANN202
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 4000, clean_rows: int = 8000, doubt: float = 9.0) -> Toxicity:
     """Fits on the labelled rows of docs (at most toxic_rows and clean_rows of them) after counting characters over all of docs.
 
-    labels: id and label; an id labelled more than once is toxic if any label says so; null labels and ids are left out. A term's
+    labels: id and label; an id labelled more than once is toxic if any label says so; null labels and ids are left out; of several documents of an id
+    that with the smallest SHA-256 counts. A term's
     weight is (t + share * doubt) / (t + c + doubt), t and c being the different toxic and clean texts with it, near copies left out, c as of as many
     clean rows as there are to the toxic ones, share that of the toxic among the labelled rows. Terms whose counts chance explains are left
     out (twice the log-likelihood ratio is 2 ln(number of terms) at most); all others stay: those of weight 0.5 and more are strong, the
@@ -315,9 +316,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Toxicity(costs, {}, 0.05)
     order = F.xxhash64("__id")
     sample = known.filter("__toxic = 1").orderBy(order, "__id").limit(toxic_rows).unionByName(known.filter("__toxic = 0").orderBy(order, "__id").limit(clean_rows))
-    # The sample has toxic_rows + clean_rows rows at most.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("text", "__toxic")
+    # The sample has toxic_rows + clean_rows rows at most, and of an id that is there several times one text.
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").groupBy("__id", "__toxic").agg(F.min_by("text", key).alias("text"))
     rows = cut(rows.groupBy(key, "__toxic").agg(F.first("text").alias("text")).repartition(max(8, spark.sparkContext.defaultParallelism)))
     # As many keys as the sample has rows, at most.
     first = spark.createDataFrame(sorted(_first_of_near_copies(rows)), "__text string, __toxic int")
