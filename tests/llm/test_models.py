@@ -232,3 +232,25 @@ def test_n_grams_of_one_context_are_in_all_ranges(spark):
     model = kneser_ney.count(spark.createDataFrame([(text,)], "text string"), order=2)
     sizes = [model.sizes[2, p] for p in range(model.parts)]
     assert max(sizes) < 1.2 * min(sizes)
+
+
+def test_counts_that_do_not_fit_are_refused(tmp_path):
+    out = kneser_ney._Writer(f"file://{tmp_path}", "t", kneser_ney._COUNT + kneser_ney._SUMS)
+    row = lambda count, one: (np.array([7], np.uint64), *kneser_ney._split(np.array([count])), np.array([count]), *(np.array([x]) for x in (one, 0, 0)))
+    out.add(*row(2**40 - 1, 2**32 - 1))
+    for count, one in ((2**40, 1), (5, 2**32)):
+        with pytest.raises(OverflowError):
+            out.add(*row(count, one))
+
+
+def test_one_text_of_a_repeated_labelled_id(spark):
+    """Many documents under one labelled id are one row of the sample."""
+    rows = [(1, f"vile word{i % 3}") for i in range(300)] + [(i, f"plain text number{i}") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 30)], "doc_id long, toxic int")
+    sizes = []
+    plain = toxicity._first_of_near_copies
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_first_of_near_copies", lambda rows: sizes.append(rows.count()) or plain(rows))
+        toxicity.train(docs, labels)
+    assert sizes == [29]

@@ -55,6 +55,30 @@ def test_other_replies(spark):
     assert sorted((r.pair_id, r.turn, r.text) for r in rows if r.pair_id is not None) == [(0, 0, "q"), (0, 1, "b"), (1, 0, ""), (3, 0, "x"), (4, 0, ""), (4, 1, "d")]
 
 
+def test_preferences_of_long_turn_numbers_and_odd_ids(spark):
+    turns = [("abc", "3000000000", "user", "hi"), ("abc", "x", "assistant", "first"), ("abc", "3000000001", "assistant", "yes"), ("7", "0", "user", "q"), ("7", "1", "assistant", "a"), ("8", "0", "assistant", "b"), (None, "0", "assistant", "n")]
+    rows = spark.createDataFrame(turns, "conv_id string, turn string, role string, text string")
+    shared = preferences.shared_turns(rows)
+    found = {r.pair_id: r for r in preferences.preference_pairs(shared, F.col("pair_id"), F.col("chosen"), F.col("rejected")).collect()}
+    assert set(found) == {"abc", "7", "8"}
+    assert found["abc"].n_common == 2 and found["abc"].prompt.index("first") < found["abc"].prompt.index("hi")
+    assert (found["7"].n_common, found["7"].rejected) == (1, "<|im_start|>assistant\nb<|im_end|>\n")
+    whole = preferences.preference_pairs(preferences.with_other_replies(rows), F.col("pair_id"), F.col("chosen"))
+    assert {r.pair_id: r for r in whole.collect()} == found
+
+
+def test_preferences_of_long_and_short_pairs_together(spark):
+    """Pairs of one block and of many give what each gives alone."""
+    turns = [(p, k, "assistant" if k % 2 else "user", f"{p} {k}") for p, n in ((0, 3), (1, 30), (2, 12), (3, 13)) for k in range(n)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    args = (F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    both = preferences.preference_pairs(rows, *args, block_turns=10).collect()
+    for pair in (0, 1):
+        alone = preferences.preference_pairs(rows.filter(F.floor(F.col("conv_id") / 2) == pair), *args, block_turns=1000).collect()
+        own = sorted((r for r in both if r.pair_id == pair), key=lambda r: r.block)
+        assert all("".join(r[c] for r in own) == alone[0][c] for c in ("prompt", "chosen", "rejected")) and len(own) > 1
+
+
 TEXTS = ["", None, "a", "é" * 300, "x" * 576, "y" * 577, "lorem ipsum " * 900, "a", "\n\t "]
 
 
@@ -160,7 +184,7 @@ def test_suffix_statistics_leave_out_the_own_fold(spark):
 
 
 def test_trees_on_held_out_urls(spark):
-    """Labelled URLs of sf0.1, a fifth held out. What the rules go by, the path's first part, is no lexical feature, so that the trees can tell little; the README has the figures."""
+    """Labelled URLs of sf0.1, a fifth of the paths held out: the trees beat the commoner verdict."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     host, path = url_filter.host_and_path(F.col("url"))
     rule, verdict = url_filter.rule_for(F.col("host"), F.col("path"))
@@ -170,7 +194,11 @@ def test_trees_on_held_out_urls(spark):
     right = sum((r.p_block >= 0.5) == (r.label == 1) for r in found) / len(found)
     common = sum(r.label for r in found) / len(found)
     print(f"held out: {len(found)} urls, right {right:.3f}, commoner verdict {max(common, 1 - common):.3f}")
-    assert len(found) >= 200 and right >= 0.6
+    assert len(found) >= 200 and right >= max(common, 1 - common) + 0.1
+
+
+def test_url_rules_query_matches_sql(spark, same):
+    assert same(url_filter.url_rules(spark, SF), url_filter.RULES_ORACLE, SF)
 
 
 def test_url_rules_match_sql(spark, same):
@@ -204,6 +232,12 @@ def test_warc_of_odd_rows(spark):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_warc_of_ids_that_are_no_integers(spark):
+    pages = spark.createDataFrame([("abc", "u", "p" * 100), ("7", "u", "p" * 100), ("9", "u", "p" * 100)], "page_id string, url string, html string")
+    found = warc.read_archive(spark, warc.write_archive(pages)).select("id", warc.field(F.col("header"), "WARC-Type").alias("kind")).collect()
+    assert sorted((repr(r.id), r.kind) for r in found) == [("7", "response"), ("9", "revisit"), ("None", "response")]
+
+
 def test_damaged_payloads_are_refused(spark):
     archive = warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))
     spark.createDataFrame([("0" * 64, bytearray(b"x"))], "digest string, payload binary").write.mode("append").parquet(archive.payloads)

@@ -191,3 +191,13 @@ def test_a_line_over_many_tasks(spark):
     done = line_dedup.apply_keep_bitmaps(docs, line_dedup.line_keep_bitmaps(docs))
     assert [r.doc_id for r in done.filter("n_dropped = 0").collect()] == [2999]
     assert done.count() == 3000
+
+
+def test_lines_of_ids_that_are_no_integers_and_clashing_columns(spark):
+    line = "a line of more than forty characters, which all of them have"
+    rows = [(str(i) if i else "abc", f"{line}\nown {i}", 777, 5, "k", "r", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_lines int, mark int, keep string, row string, __id int")
+    found = {r.doc_id: r for r in line_dedup.apply_keep_bitmaps(docs, line_dedup.line_keep_bitmaps(docs)).collect()}
+    assert {i: r.n_dropped for i, r in found.items()} == {"abc": 1, "1": 1, "2": 1, "3": 1, "4": 1, "5": 0}
+    assert all((r.n_lines, r.mark, r.keep, r.row) == (2, 5, "k", "r") for r in found.values())
+    assert found["abc"].kept_text == "own 0" and found["5"].kept_text == f"{line}\nown 5"
