@@ -5,8 +5,8 @@ prefix doubling over word ids, to the four words that phrases can have; the inte
 and their counts, and these are merged over all shards by key.
 
 A phrase is frequent only if its parts are. So the words are merged first, then pairs, triples and quadruples, and each merge goes back to
-the shards that have its frequent n-grams: there the rest is cut out before the next. What goes back is a row for each n-gram and shard, bounded
-by the shard's own words, and nothing is broadcast. Shards lie in tables bucketed by their number, so that they stay where they are and
+the shards that have its frequent n-grams: there the rest is cut out before the next. N-grams travel in compressed blocks, one for
+each shard and range of hashes; what goes back is bounded by the shard's own words, and nothing is broadcast. Shards lie in tables bucketed by their number, so that they stay where they are and
 only n-grams are shuffled. A shard that has a frequent phrase has all its parts with their totals, so that the shard that owns the phrase
 scores it and names the phrases that it covers.
 """
@@ -20,16 +20,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, cut, partitions, raw, remove, scratch, slices, table
+from tidemark.llm.common import LOWER, UPPER, cut, mix, partitions, raw, remove, scratch, slices, table
 
 MOST_WORDS = 4
 #: Bytes of text of a shard.
 SHARD_BYTES = 16 << 20
+#: Ranges of hashes for each shuffle partition; an n-gram of all shards is in one of them.
+RANGES = 4
 #: A place is a shard's number and the number of an n-gram in it; a shard's number is its task's and its own.
 GRAM_BITS, OWN_BITS, TASK_BITS = 27, 16, 20
 GRAMS = (1 << GRAM_BITS) - 1
@@ -58,6 +61,17 @@ def _read(data: bytes, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, byte by byte, each number as the difference to the one before."""
+    rows = np.diff(np.stack(columns).astype("<i8"), axis=1, prepend=0)
+    return zstandard.compress(rows.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def unpacked(block: bytes, columns: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(columns, 8, -1)
+    return np.cumsum(np.ascontiguousarray(data.transpose(0, 2, 1)).view("<i8")[:, :, 0], axis=1)
+
+
 class _Shard:
     """Words of one language as they come: ids from 1, with 0 for a break and -1 where a split leaves nothing."""
 
@@ -76,10 +90,17 @@ class _Shard:
         self.size += len(text)
 
     def row(self, shard: int) -> pa.RecordBatch:
-        ids = np.concatenate(self.chunks)
-        words = [w for w, k in self.ids.items() if k > 0]
+        words = sorted((w, k) for w, k in self.ids.items() if k > 0)
+        number = np.zeros(len(words) + 1, np.uint32)
+        number[[k for _, k in words]] = np.arange(1, len(words) + 1)
+        ids = number[np.concatenate(self.chunks)]
         counts = np.bincount(ids, minlength=len(words) + 1)[1:].astype("<i8")
-        return pa.RecordBatch.from_pylist([{"shard": shard, "lang": self.lang, "n": int(counts.sum()), "words": b"\n".join(words), "tables": [_stored(counts)], "ids": _stored(ids.astype("<u4"))}], _schema(_SHARD))
+        return pa.RecordBatch.from_pylist([{"shard": shard, "lang": self.lang, "n": int(counts.sum()), "words": zstandard.compress(b"\n".join(w for w, _ in words)), "tables": [_stored(counts)], "ids": _stored(ids)}], _schema(_SHARD))
+
+
+def _words(row: dict) -> list[bytes]:
+    data = zstandard.decompress(row["words"])
+    return data.split(b"\n") if data else []
 
 
 def _parts(text: bytes, most: int) -> Iterator[bytes]:
@@ -122,7 +143,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, n
     ids: words from 1, 0 for a break, the last one a break; both numbers are `depth` at most. Ranks by h words give ranks by 2h.
     """
     rank, run, reach = ids.astype(np.int64), (ids > 0).astype(np.int8), 1
-    order = np.argsort(rank)
+    order = np.argsort(rank) if depth == 1 else None
     while reach < depth:
         whole = run == reach
         after, more = np.zeros_like(rank), np.zeros_like(run)
@@ -163,22 +184,35 @@ class Grams:
         return self.order[heads], np.bincount(label, minlength=1)[1:], at
 
 
-def _rows(columns: dict, shard: int, counts: np.ndarray) -> pa.RecordBatch:
-    if len(counts) > GRAMS:
+_BLOCKS = "range int, shard long, lang string, words binary, block binary"
+_FOUND = "shard long, block binary"
+
+
+def _by_range(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The numbers of the n-grams of each range that has some, in their order."""
+    if len(hashes) > GRAMS:
         raise ValueError("a text without breaks has too many different phrases")
-    return pa.RecordBatch.from_pydict({**columns, "place": pa.array((shard << GRAM_BITS) + np.arange(len(counts), dtype=np.int64)), "times": pa.array(counts.astype(np.int64))})
+    own = (mix(hashes) >> np.uint64(32)).astype(np.int64) % ranges
+    order, sizes = np.argsort(own, kind="stable"), np.bincount(own, minlength=ranges)
+    yield from ((k, x) for k, x in enumerate(np.split(order, np.cumsum(sizes)[:-1])) if len(x))
+
 
+def _word_blocks(ranges: int):
+    """Blocks of a shard's words: number and count."""
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            words = pa.array(r["words"].split(b"\n") if r["words"] else [], pa.binary())
-            # No word holds a line break, so that word and language can't be mixed up.
-            yield _rows({"word": pc.binary_join_element_wise(words, pa.scalar(r["lang"].encode()), b"\n")}, r["shard"], _read(r["tables"][0]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, counts = _words(r), _read(r["tables"][0])
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+                out = [(k, r["shard"], r["lang"], zstandard.compress(b"\n".join([words[i] for i in x.tolist()]), 1), packed(x, counts[x])) for k, x in _by_range(hashes, ranges)]
+                yield pa.RecordBatch.from_pylist([dict(zip(_schema(_BLOCKS).names, x, strict=True)) for x in out], _schema(_BLOCKS))
+
+    return run
 
 
-def _gram_rows(n: int):
-    """The n-grams of each shard, known by the owners of their two parts of n - 1 words."""
+def _gram_blocks(n: int, ranges: int):
+    """Blocks of a shard's n-grams: the owners of their two parts of n - 1 words, number and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,16 +220,46 @@ def _gram_rows(n: int):
                 grams, owners = Grams(_read(r["ids"], "<u4"), n), _read(r["tables"][-1])
                 at = grams.numbers(n - 1)
                 heads, counts, _ = grams.intervals(n)
-                yield _rows({"first": pa.array(owners[at[heads] - 1]), "second": pa.array(owners[at[heads + 1] - 1])}, r["shard"], counts)
+                first, second = owners[at[heads] - 1], owners[at[heads + 1] - 1]
+                with np.errstate(over="ignore"):
+                    hashes = mix(first.astype(np.uint64)) + second.astype(np.uint64)
+                out = [(k, r["shard"], None, None, packed(first[x], second[x], x, counts[x])) for k, x in _by_range(hashes, ranges)]
+                yield pa.RecordBatch.from_pylist([dict(zip(_schema(_BLOCKS).names, x, strict=True)) for x in out], _schema(_BLOCKS))
 
     return run
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(place, total, owner, shard) for the rows of each key that counts `least` in all; the owner is the smallest place that has it."""
-    every = Window.partitionBy(*keys)
-    found = rows.select("place", F.sum("times").over(every).alias("total"), F.min("place").over(every).alias("owner")).filter(F.col("total") >= least)
-    return found.withColumn("shard", F.shiftright("place", GRAM_BITS))
+def _merge(least: int):
+    """Of all blocks of a range a block for each shard: numbers, totals and owners of what counts `least` in all; the owner is the smallest place that has it."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        keys, places, times = [], [], []
+        for r in blocks.to_pylist():
+            *key, numbers, counts = unpacked(r["block"], 2 if r["lang"] is not None else 4)
+            if r["lang"] is not None:
+                # No word holds a line break, so that word and language can't be mixed up.
+                key = [pc.binary_join_element_wise(pa.array(_words(r), pa.binary()), pa.scalar(r["lang"].encode()), b"\n")]
+            keys.append(key)
+            places.append((r["shard"] << GRAM_BITS) + numbers)
+            times.append(counts)
+        if len(keys[0]) == 1:
+            columns = [pa.chunked_array([k[0] for k in keys]).combine_chunks().dictionary_encode().indices.to_numpy()]
+        else:
+            columns = [np.concatenate([k[j] for k in keys]) for j in (0, 1)]
+        del keys
+        order = np.lexsort(columns[::-1])
+        place, count = np.concatenate(places)[order], np.concatenate(times)[order]
+        heads = np.flatnonzero(np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
+        total, owner, sizes = np.add.reduceat(count, heads), np.minimum.reduceat(place, heads), np.diff(np.r_[heads, len(order)])
+        good = np.repeat(total >= least, sizes)
+        place, total, owner = place[good], np.repeat(total, sizes)[good], np.repeat(owner, sizes)[good]
+        order = np.argsort(place)
+        place, total, owner = place[order], total[order], owner[order]
+        shards, starts = np.unique(place >> GRAM_BITS, return_index=True)
+        parts = zip(*(np.split(x, starts[1:]) for x in (place & GRAMS, total, owner)), strict=True)
+        return pa.Table.from_pydict({"shard": shards, "block": [packed(*x) for x, _ in zip(parts, shards, strict=False)]}, _schema(_FOUND))
+
+    return run
 
 
 def _met(shards: DataFrame, found: DataFrame, step) -> DataFrame:
@@ -204,9 +268,10 @@ def _met(shards: DataFrame, found: DataFrame, step) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():  # one
-            place, total, owner = (right.column(c).to_numpy() for c in ("place", "total", "owner"))
-            order = np.argsort(place)
-            out += [pa.Table.from_pydict(x, _schema(_STEP)) for x in step(row, place[order] & GRAMS, total[order], owner[order])]
+            blocks = [unpacked(x, 3) for x in right.column("block").to_pylist()]
+            numbers, totals, owners = np.concatenate([*blocks, np.zeros((3, 0), np.int64)], axis=1)
+            order = np.argsort(numbers)
+            out += [pa.Table.from_pydict(x, _schema(_STEP)) for x in step(row, numbers[order], totals[order], owners[order])]
         return pa.concat_tables(out) if out else _schema(_STEP).empty_table()
 
     return shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, _STEP)
@@ -226,12 +291,12 @@ def _runs(good: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _known_words(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
     """The shard with its frequent words alone, numbered in the order of their owners, which is the same in all shards."""
-    words, by = row["words"].split(b"\n"), np.argsort(owners)
+    words, by = _words(row), np.argsort(owners)
     new = np.zeros(len(words) + 1, np.uint32)
     new[numbers[by] + 1] = np.arange(1, len(by) + 1)
     ids = new[_read(row["ids"], "<u4")]
     places, ends = _runs(ids > 0, 1)
-    yield _shard_row(row, b"\n".join(words[k] for k in numbers[by].tolist()), [totals[by], owners[by]], ids[places], ends)
+    yield _shard_row(row, zstandard.compress(b"\n".join(words[k] for k in numbers[by].tolist())), [totals[by], owners[by]], ids[places], ends)
 
 
 def _shard_row(row: dict, words: bytes, tables: list[np.ndarray], ids: np.ndarray, ends: np.ndarray) -> dict:
@@ -250,7 +315,7 @@ def _step(n: int, last: bool, cover: tuple[int, int]):
     """Of frequent n-grams that this shard owns a row with their scores, for each phrase that one of them covers a row without phrase, and the shard with breaks where no n-gram is frequent."""
 
     def step(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
-        ids, words, tables = _read(row["ids"], "<u4"), row["words"].split(b"\n"), [_read(x) for x in row["tables"]]
+        ids, words, tables = _read(row["ids"], "<u4"), _words(row), [_read(x) for x in row["tables"]]
         grams = Grams(ids, n)
         at = {k: grams.numbers(k) for k in range(1, n)}
         heads, _, at[n] = grams.intervals(n)
@@ -313,12 +378,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     shards, told = kept(texts.mapInArrow(_sharded(shard_bytes), _SHARD), 0), []
+    ranges = RANGES * partitions(spark)
     sizes = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     for n in range(1, MOST_WORDS + 1):
-        if n == 1:
-            found = _frequent(shards.select("shard", "lang", "words", "tables").mapInArrow(_word_rows, "word binary, place long, times long"), ["word"], least)
-        else:
-            found = _frequent(shards.select("shard", "tables", "ids").mapInArrow(_gram_rows(n), "first long, second long, place long, times long"), ["first", "second"], least)
+        columns, blocks = (["shard", "lang", "words", "tables"], _word_blocks(ranges)) if n == 1 else (["shard", "tables", "ids"], _gram_blocks(n, ranges))
+        found = shards.select(columns).mapInArrow(blocks, _BLOCKS).groupBy("range").applyInArrow(_merge(least), _FOUND)
         met = kept(_met(shards, found, _known_words if n == 1 else _step(n, n == MOST_WORDS, cover)), n)
         done(n - 1)
         shards = met.filter("words is not null").select([x.split()[0] for x in _SHARD.split(", ")])
