@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, cut, mix, partitions, raw, remove, scratch, slices, table
+from tidemark.llm.common import LOWER, SHUFFLES_GO, SMALL_BATCHES, UPPER, configured, cut, mix, partitions, raw, remove, scratch, slices, table
 
 MOST_WORDS = 4
 #: Bytes of text of a shard.
 SHARD_BYTES = 16 << 20
 #: Ranges of hashes for each shuffle partition; an n-gram of all shards is in one of them.
-RANGES = 4
+RANGES = 2
 #: A place is a shard's number and the number of an n-gram in it; a shard's number is its task's and its own.
 GRAM_BITS, OWN_BITS, TASK_BITS = 27, 16, 20
 GRAMS = (1 << GRAM_BITS) - 1
@@ -184,47 +184,62 @@ class Grams:
         return self.order[heads], np.bincount(label, minlength=1)[1:], at
 
 
-_BLOCKS = "range int, shard long, lang string, words binary, block binary"
+_BLOCKS = "range int, shard long, start long, lang string, words binary, block binary"
 _FOUND = "shard long, block binary"
 
 
-def _by_range(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The numbers of the n-grams of each range that has some, in their order."""
+def _dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): n-grams in the order of their ranges, which gives them their numbers, and where each range ends."""
     if len(hashes) > GRAMS:
         raise ValueError("a text without breaks has too many different phrases")
     own = (mix(hashes) >> np.uint64(32)).astype(np.int64) % ranges
-    order, sizes = np.argsort(own, kind="stable"), np.bincount(own, minlength=ranges)
-    yield from ((k, x) for k, x in enumerate(np.split(order, np.cumsum(sizes)[:-1])) if len(x))
+    return np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=ranges))
 
 
-def _word_blocks(ranges: int):
-    """Blocks of a shard's words: number and count."""
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
+def _gram_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(first.astype(np.uint64)) + second.astype(np.uint64)
+
 
+def _blocks(row: dict, hashes: np.ndarray, ranges: int, columns: list[np.ndarray], words: list[bytes] | None = None) -> pa.RecordBatch:
+    """A block for each range of which the shard has some; columns: keys but words, and counts."""
+    order, ends = _dealt(hashes, ranges)
+    out = []
+    for k, (at, to) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+        if to > at:
+            x = order[at:to]
+            said = None if words is None else zstandard.compress(b"\n".join([words[i] for i in x.tolist()]), 1)
+            out.append({"range": k, "shard": row["shard"], "start": at, "lang": None if words is None else row["lang"], "words": said, "block": packed(*(c[x] for c in columns))})
+    return pa.RecordBatch.from_pylist(out, _schema(_BLOCKS))
+
+
+def _word_blocks(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, counts = _words(r), _read(r["tables"][0])
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-                out = [(k, r["shard"], r["lang"], zstandard.compress(b"\n".join([words[i] for i in x.tolist()]), 1), packed(x, counts[x])) for k, x in _by_range(hashes, ranges)]
-                yield pa.RecordBatch.from_pylist([dict(zip(_schema(_BLOCKS).names, x, strict=True)) for x in out], _schema(_BLOCKS))
+                words = _words(r)
+                yield _blocks(r, _word_hashes(words), ranges, [_read(r["tables"][0])], words)
 
     return run
 
 
-def _gram_blocks(n: int, ranges: int):
-    """Blocks of a shard's n-grams: the owners of their two parts of n - 1 words, number and count."""
+def _gram_keys(row: dict, grams: Grams, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's n-grams the owners of their two parts of n - 1 words, and the counts."""
+    owners, at = _read(row["tables"][-1]), grams.numbers(n - 1)
+    heads, counts, _ = grams.intervals(n)
+    return owners[at[heads] - 1], owners[at[heads + 1] - 1], counts
+
 
+def _gram_blocks(n: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                grams, owners = Grams(_read(r["ids"], "<u4"), n), _read(r["tables"][-1])
-                at = grams.numbers(n - 1)
-                heads, counts, _ = grams.intervals(n)
-                first, second = owners[at[heads] - 1], owners[at[heads + 1] - 1]
-                with np.errstate(over="ignore"):
-                    hashes = mix(first.astype(np.uint64)) + second.astype(np.uint64)
-                out = [(k, r["shard"], None, None, packed(first[x], second[x], x, counts[x])) for k, x in _by_range(hashes, ranges)]
-                yield pa.RecordBatch.from_pylist([dict(zip(_schema(_BLOCKS).names, x, strict=True)) for x in out], _schema(_BLOCKS))
+                first, second, counts = _gram_keys(r, Grams(_read(r["ids"], "<u4"), n), n)
+                yield _blocks(r, _gram_hashes(first, second), ranges, [first, second, counts])
 
     return run
 
@@ -235,12 +250,12 @@ def _merge(least: int):
     def run(blocks: pa.Table) -> pa.Table:
         keys, places, times = [], [], []
         for r in blocks.to_pylist():
-            *key, numbers, counts = unpacked(r["block"], 2 if r["lang"] is not None else 4)
+            *key, counts = unpacked(r["block"], 1 if r["lang"] is not None else 3)
             if r["lang"] is not None:
                 # No word holds a line break, so that word and language can't be mixed up.
                 key = [pc.binary_join_element_wise(pa.array(_words(r), pa.binary()), pa.scalar(r["lang"].encode()), b"\n")]
             keys.append(key)
-            places.append((r["shard"] << GRAM_BITS) + numbers)
+            places.append((r["shard"] << GRAM_BITS) + r["start"] + np.arange(len(counts)))
             times.append(counts)
         if len(keys[0]) == 1:
             columns = [pa.chunked_array([k[0] for k in keys]).combine_chunks().dictionary_encode().indices.to_numpy()]
@@ -289,14 +304,19 @@ def _runs(good: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum())), ends
 
 
-def _known_words(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
+def _known_words(ranges: int):
     """The shard with its frequent words alone, numbered in the order of their owners, which is the same in all shards."""
-    words, by = _words(row), np.argsort(owners)
-    new = np.zeros(len(words) + 1, np.uint32)
-    new[numbers[by] + 1] = np.arange(1, len(by) + 1)
-    ids = new[_read(row["ids"], "<u4")]
-    places, ends = _runs(ids > 0, 1)
-    yield _shard_row(row, zstandard.compress(b"\n".join(words[k] for k in numbers[by].tolist())), [totals[by], owners[by]], ids[places], ends)
+
+    def step(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
+        words, by = _words(row), np.argsort(owners)
+        found = _dealt(_word_hashes(words), ranges)[0][numbers[by]]
+        new = np.zeros(len(words) + 1, np.uint32)
+        new[found + 1] = np.arange(1, len(by) + 1)
+        ids = new[_read(row["ids"], "<u4")]
+        places, ends = _runs(ids > 0, 1)
+        yield _shard_row(row, zstandard.compress(b"\n".join(words[k] for k in found.tolist())), [totals[by], owners[by]], ids[places], ends)
+
+    return step
 
 
 def _shard_row(row: dict, words: bytes, tables: list[np.ndarray], ids: np.ndarray, ends: np.ndarray) -> dict:
@@ -311,7 +331,7 @@ def _score(a: np.ndarray, both: np.ndarray) -> np.ndarray:
     return 2_000_000 * a // np.maximum(both, 1)
 
 
-def _step(n: int, last: bool, cover: tuple[int, int]):
+def _step(n: int, last: bool, cover: tuple[int, int], ranges: int):
     """Of frequent n-grams that this shard owns a row with their scores, for each phrase that one of them covers a row without phrase, and the shard with breaks where no n-gram is frequent."""
 
     def step(row: dict, numbers: np.ndarray, totals: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
@@ -321,12 +341,13 @@ def _step(n: int, last: bool, cover: tuple[int, int]):
         heads, _, at[n] = grams.intervals(n)
         sums, owned = ({k: tables[2 * k - 2 + j] for k in range(1, n)} for j in (0, 1))
         sums[n], owned[n] = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
-        sums[n][numbers], owned[n][numbers] = totals, owners
+        found = _dealt(_gram_hashes(*_gram_keys(row, grams, n)[:2]), ranges)[0][numbers]
+        sums[n][found], owned[n][found] = totals, owners
 
         def count(k: int, places: np.ndarray) -> np.ndarray:
             return sums[k][at[k][places] - 1]
 
-        mine = numbers[owners == (row["shard"] << GRAM_BITS | numbers)]
+        mine = found[owners == (row["shard"] << GRAM_BITS | numbers)]
         p, a, best = heads[mine], sums[n][mine], None
         for k in range(1, n):
             l, r = count(k, p), count(n - k, p + k)  # noqa: E741
@@ -369,7 +390,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     def kept(df: DataFrame, k: int) -> DataFrame:
         """A table in buckets by shard, so that the next step's n-grams come to the shards."""
-        df.write.bucketBy(partitions(spark), "shard").option("path", f"{run}/{k}").saveAsTable(f"{name}_{k}")
+        with configured(spark, SMALL_BATCHES | SHUFFLES_GO):
+            df.write.bucketBy(partitions(spark), "shard").option("path", f"{run}/{k}").saveAsTable(f"{name}_{k}")
         return spark.table(f"{name}_{k}")
 
     def done(k: int) -> None:
@@ -383,7 +405,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for n in range(1, MOST_WORDS + 1):
         columns, blocks = (["shard", "lang", "words", "tables"], _word_blocks(ranges)) if n == 1 else (["shard", "tables", "ids"], _gram_blocks(n, ranges))
         found = shards.select(columns).mapInArrow(blocks, _BLOCKS).groupBy("range").applyInArrow(_merge(least), _FOUND)
-        met = kept(_met(shards, found, _known_words if n == 1 else _step(n, n == MOST_WORDS, cover)), n)
+        met = kept(_met(shards, found, _known_words(ranges) if n == 1 else _step(n, n == MOST_WORDS, cover, ranges)), n)
         done(n - 1)
         shards = met.filter("words is not null").select([x.split()[0] for x in _SHARD.split(", ")])
         told.append(cut(met.filter("size is not null").select("lang", *(x.split()[0] for x in _SCORED.split(", ")))))

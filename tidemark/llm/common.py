@@ -64,6 +64,28 @@ def described(spark: SparkSession, text: str) -> Iterator[None]:
         own.setLocalProperty("spark.job.description", before)
 
 
+#: Arrow batches of about 4 MB, so that long texts don't fill the memory of task and worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Shuffle files go when the job that made them ends; for jobs whose results are written.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the jobs that run within."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
