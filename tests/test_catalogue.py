@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.plans import catalogue, speech, state, texts, views  # noqa: F401
+from tidemark.plans import catalogue, histories, speech, state, texts, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
