@@ -153,7 +153,7 @@ def test_packing_of_repeated_and_null_ids(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab \n\t'séÀßµªº×漢A1.,!<|>́\xa0Σﬁ", max_size=30))
+@given(st.text(alphabet="ab \n\t'$#*_séÀßµªº×漢A1.,!<|>́\xa0Σﬁ", max_size=30))
 def test_words_are_encoded_by_themselves(tokenizer, text):
     assert np.frombuffer(packing.encoder(packing.default_tokenizer())(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 

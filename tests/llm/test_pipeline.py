@@ -88,3 +88,18 @@ def test_odd_documents(spark):
             done = stage(spark, given, SF)
             assert done.count() <= given.count()
             given = given.sparkSession.createDataFrame(done.collect(), done.schema)
+
+
+def test_every_column_comes_through_whatever_its_name(spark):
+    """Names that the operators use themselves, and one with a dot."""
+    names = ["n_lines", "n_dropped", "keep", "mark", "score", "key", "doc", "row", "id", "__row", "__keep", "component_id", "n_hit", "kept_text", "a.b"]
+    rows = [(i, f"text number {i} of some words that differ {'much ' * i}", "en", "s", 1, *range(100 * i, 100 * i + len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    given = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, given, SF)
+        assert done.columns == docs.columns, name
+        kept = {r.doc_id: r for r in done.collect()}
+        assert kept and all(kept[i][c] == 100 * i + k for i in kept for k, c in enumerate(names)), name
+        given = spark.createDataFrame(list(kept.values()), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, given, SF).count() == given.count()
