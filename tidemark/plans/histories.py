@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import restore, transactions
-from tidemark.plans.catalogue import query, read
+from tidemark.functions import lexical, narrative
+from tidemark.operators import days, restore, transactions
+from tidemark.plans.catalogue import messages, query, read
 
 
 @query(f"""with e as (select *, event_id // 6 as batch, case when event_id % 7 < 3 then 'create' when event_id % 7 = 6 then 'resolve' else 'update' end as action, (event_id // 6) % 11 = 3 as refused from events),
@@ -110,3 +111,41 @@ def branches_resumed(spark, d):
     states = h["heads"].select("chat").join(hashes, "chat", "left").join(top, "chat", "left").select("chat", F.coalesce("hash", F.lit("")).alias("hash"), "journal_top")
     _, found = restore.resumed(after, parks.withColumn("park", F.lit(1)), rows.withColumn("park", F.lit(1)), contents, h["lineage"], states)
     return found.select(F.col("chat").alias("user_id"), F.col("key").alias("event_type"), "value")
+
+
+#: What is told after each turn: a phrase, whether it is a meaningful skip, and the day's step that it tells.
+_DAYS = (("The next morning, the fog lifts.", False, "the next morning"), ("Nothing moves.", False, ""), ("The following day, the pass opens.", False, "the following day"), ("Three days later, the ford is reached.", True, ""), ("We leave the next day if it clears.", False, ""), ("After a day the rain stops.", False, "after a day"))
+
+
+@query(f"""with recursive d(k, skip, step) as (values {", ".join(f"({k}, {str(x[1]).lower()}, '{x[2]}')" for k, x in enumerate(_DAYS))}),
+r as (select conv_id, turn, case when role = 'user' then 'user' else 'assistant' end as role, skip, step, row_number() over (partition by conv_id order by turn) as k from conversations join d on d.k = (conv_id * 5 + turn * (conv_id % 4 + 1)) % {len(_DAYS)} where role <> 'system'),
+e as (select *, false as f, 'x' as p, false as c0, '' as e0 from r),
+w as (select conv_id, turn, k, role, case when step <> '' and not skip then 1 else 0 end as n, cast(null as bigint) as fired_at, skip or step <> '' as counted, role = 'assistant' and step <> '' as told, '' as echo from r where k = 1
+  union all select conv_id, turn, k, role, case when skip or full_ then 0 when counts then n + 1 else n end, case when skip then null when full_ then turn else fired_at end, c or skip or repeats or counts, case when role = 'assistant' then says else told end, case when echoes then step else e end from (
+    select *, counts and n + 1 >= 2 as full_ from (select *, says and not echoes and not repeats and not c as counts from (select *, says and not echoes and role = 'assistant' and e <> '' and step = e as repeats from (select *, says and fresh and told as echoes from (
+      select r.conv_id, r.turn, r.k, r.role, r.skip, r.step, w.n, w.fired_at, w.told, r.role = 'user' and w.role = 'assistant' as fresh, not r.skip and r.step <> '' as says, not (r.role = 'user' and w.role = 'assistant') and w.counted as c, case when r.role = 'user' and w.role = 'assistant' then '' else w.echo end as e
+      from w join r on r.conv_id = w.conv_id and r.k = w.k + 1)))))) select conv_id, turn, cast(fired_at as bigint) as fired_at, cast(2 as bigint) as n_days from w where fired_at is not null""")
+def days_added(spark, d):
+    """Where two day's steps have added up, as seen from each turn; turns tell of no time by themselves, so each gets a phrase."""
+    told = F.element_at(lexical.listed(tuple(x[0] for x in _DAYS)), (1 + (F.col("chat") * 5 + F.col("pos") * (F.col("chat") % 4 + 1)) % len(_DAYS)).cast("int"))
+    log = messages(spark, d).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), told))
+    return days.accumulated(days.told_steps(log)).select(F.col("chat").alias("conv_id"), F.col("pos").alias("turn"), "fired_at", "n_days")
+
+
+def _stripped(column: str) -> str:
+    for name in narrative.BLOCKS:
+        for pattern in (rf"<{name}(\s[^>]*)?/>", rf"<{name}(\s+[^>]*)?>.*?(</{name}\s*>|$)"):
+            column = f"regexp_replace({column}, '{pattern}', '', 'gis')"
+    return column
+
+
+@query(f"""with p as (select page_id, page_id % 6 as f, coalesce(html, '') as h from pages),
+t as (select page_id, case f when 0 then '<writer_state mode="x" />' || h when 1 then 'A<CYOA>' || h || '</CYOA >B<Inventory/>' when 2 then h || '<Arc_Phase>' || h when 3 then '<think>a<CYOA>b</think>' || h || '</CYOA>c' when 4 then h || '<Planted_Seeds x="1">' || h || '</Planted_Seeds>' || h else h end as t from p),
+n as (select page_id, trim({_stripped('t')}, E' \t\n\x0B\f\r') as n from t) select page_id, length(n) as n_chars, md5(n) as narration_md5 from n""")
+def narration_kept(spark, d):
+    """Pages as replies, with blocks around and within them."""
+    h, f = F.coalesce("html", F.lit("")), F.col("page_id") % 6
+    forms = ((0, ('<writer_state mode="x" />', h)), (1, ("A<CYOA>", h, "</CYOA >B<Inventory/>")), (2, (h, "<Arc_Phase>", h)), (3, ("<think>a<CYOA>b</think>", h, "</CYOA>c")), (4, (h, '<Planted_Seeds x="1">', h, "</Planted_Seeds>", h)), (5, (h,)))
+    text = F.coalesce(*(F.when(f == k, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))) for k, parts in forms))
+    own = narrative.sanitized(text)
+    return read(spark, d, "pages").select("page_id", own.alias("n")).select("page_id", F.length("n").cast("long").alias("n_chars"), F.md5(F.col("n").cast("binary")).alias("narration_md5"))
