@@ -1,7 +1,7 @@
 """Whether a new record is one that exists: similarity with anchors, blocking keys, what to do about the best match.
 
-Records have id, kind, status, summary and anchors (an array of texts). Null kinds match no kind. The veto of distinct subjects (names
-and modifiers) isn't part of it.
+Records have id, kind, status, summary and anchors (an array of texts). Null kinds match no kind. Statements about different subjects are never
+alike, however much else they share.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import subjects
 from tidemark.functions.text import canonical_text, jaccard, words
 
 
@@ -40,10 +41,66 @@ def lookup_keys(records: DataFrame) -> DataFrame:
     return records.select("id", F.explode(own).alias("key"))
 
 
-def pool(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """(candidate_id, id): records with a key of the candidate's, whatever their status."""
-    wanted = lookup_keys(candidates).withColumnRenamed("id", "candidate_id")
-    return wanted.join(lookup_keys(records), "key").select("candidate_id", "id").distinct()
+def _statements(records: DataFrame, status: bool) -> DataFrame:
+    """A row (id, kind, active, summary, anchors, text, words, keys, n) for each different statement of a kind: the smallest id, and how many records it stands for."""
+    own = F.coalesce("anchors", F.array().cast("array<string>"))
+    rows = records.filter("kind is not null").select("id", "kind", (F.col("status") == "active" if status else F.lit(True)).alias("active"), F.coalesce("summary", F.lit("")).alias("summary"), own.alias("anchors"))
+    each = rows.groupBy("kind", "active", "summary", "anchors").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    text = canonical_text(F.col("summary"))
+    return each.select("*", text.alias("text"), F.array_distinct(words(text)).alias("words"), anchor_keys(F.col("anchors")).alias("keys"))
+
+
+def _prefixes(statements: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
+    """(kind, id, token, side, size): the rarest words and anchors of each statement, so many that two alike ones share one."""
+    each = _tokens(statements).join(rarity, "token")
+    sets = each.groupBy("kind", "id", "side").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    n = F.size("own")
+    share = F.when(F.col("side") == "a", (least - 0.4) / 0.6).otherwise(least)
+    first = F.least(n, F.greatest(F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1))
+    return sets.select("kind", "id", "side", n.alias("size"), F.explode(F.slice("own", F.lit(1), first)).alias("t")).select("kind", "id", "side", "size", "t.token")
+
+
+def _tokens(statements: DataFrame) -> DataFrame:
+    mark = lambda c, m: F.transform(c, lambda x: F.struct(F.lit(m).alias("side"), F.concat(F.lit(m + ":"), x).alias("token")))
+    return statements.select("kind", "id", F.explode(F.concat(mark("words", "w"), mark("keys", "a"))).alias("t")).select("kind", "id", "t.side", "t.token")
+
+
+def alike(candidates: DataFrame, records: DataFrame, least: float = 0.70, veto: bool = True) -> DataFrame:
+    """(kind, summary, anchors, id, active, n, score): of each different statement of the candidates the different ones of records whose similarity is at least `least`.
+
+    id is the smallest of the n records of that statement and status. Words and anchors are ordered by rarity, and two statements so similar share one of the rarest few of
+    their words, or of their anchors (half of which they share if words alone don't do): statements meet by those alone, so that no common word brings its
+    records together, and copies are no pairs. least: 0.5 or more.
+    """
+    left, right = _statements(candidates, False), _statements(records, True)
+    rarity = _tokens(left).unionByName(_tokens(right)).groupBy("token").agg(F.count("*").alias("df"))
+    a, b = _prefixes(left, rarity, least).alias("a"), _prefixes(right, rarity, least).alias("b")
+    share = F.when(F.col("a.side") == "a", (least - 0.4) / 0.6).otherwise(least)
+    fits = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token")) & (F.least("a.size", "b.size") >= share * F.greatest("a.size", "b.size") - 1e-9)
+    pairs = a.join(b, fits).select(F.col("a.id").alias("left_id"), F.col("a.kind").alias("kind"), F.col("b.id").alias("id")).distinct()
+    mine = left.select(F.col("id").alias("left_id"), "kind", *(F.col(c).alias(f"l_{c}") for c in ("summary", "anchors", "text", "words", "keys")), *([subjects.profile(F.col("summary"), F.col("anchors")).alias("l_profile")] if veto else []))
+    theirs = right.select("id", "kind", "active", "n", *(F.col(c).alias(f"r_{c}") for c in ("text", "words", "keys")), *([subjects.profile(F.col("summary"), F.col("anchors")).alias("r_profile")] if veto else []))
+    both = pairs.join(mine, ["left_id", "kind"]).join(theirs, ["id", "kind"])
+    scored = both.withColumn("score", F.round(_scored("l_", "r_"), 9)).filter(F.col("score") >= least)
+    if veto:
+        scored = scored.filter(~subjects.distinct(F.col("l_profile"), F.col("r_profile")))
+    return scored.select("kind", F.col("l_summary").alias("summary"), F.col("l_anchors").alias("anchors"), "id", "active", "n", "score")
+
+
+def _scored(a: str, b: str) -> Column:
+    by_words, by_anchors = jaccard(F.col(f"{a}words"), F.col(f"{b}words")), jaccard(F.col(f"{a}keys"), F.col(f"{b}keys"))
+    both = F.when((F.size(f"{a}keys") > 0) & (F.size(f"{b}keys") > 0), 0.6 * by_anchors + 0.4 * by_words).otherwise(by_words)
+    return F.when((F.col(f"{a}text") != "") & (F.col(f"{a}text") == F.col(f"{b}text")), 1.0).otherwise(both)
+
+
+def pool(candidates: DataFrame, records: DataFrame, least: float = 0.70) -> DataFrame:
+    """(candidate_id, id, n, score): for each candidate the statements of records that are alike, as alike() has them, whatever their subjects."""
+    return _of_candidates(candidates, alike(candidates, records, least, veto=False)).select("candidate_id", "id", "n", "score")
+
+
+def _of_candidates(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    own = candidates.select(F.col("id").alias("candidate_id"), "kind", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+    return own.join(found, ["kind", "summary", "anchors"])
 
 
 def new_episode_related(score: Column, left: Column, right: Column, left_anchors: Column, right_anchors: Column, least: float, beyond_anchors: bool = False) -> Column:
@@ -57,16 +114,35 @@ def new_episode_related(score: Column, left: Column, right: Column, left_anchors
     return (score >= least) | (F.exists(shared, lambda a: a.contains(" ")) & (F.size(both) >= 2))
 
 
+def _best(candidates: DataFrame, records: DataFrame, same: float, history: float) -> DataFrame:
+    """(kind, summary, anchors, b): of each different statement the best active record from `same` on, else the best ended one from `history` on."""
+    found = alike(candidates, records, min(same, history))
+    fits = found.filter((F.col("active") & (F.col("score") >= same)) | (~F.col("active") & (F.col("score") >= history)))
+    return fits.groupBy("kind", "summary", "anchors").agg(F.min(F.struct((~F.col("active")).alias("ended"), (-F.col("score")).alias("o"), "id", "score")).alias("b"))
+
+
 def decide(candidates: DataFrame, records: DataFrame, same: float = 0.78, history: float = 0.70) -> DataFrame:
     """(candidate_id, decision, id, score) for each candidate to be created.
 
     update with the most similar active record of its kind from `same` on; else reject with the most similar one that has ended from
-    `history` on; else create, with no id. Of equal scores the smaller id. candidates: id, kind, summary, anchors.
+    `history` on; else create, with no id. Of equal scores the smaller id. candidates: id, kind, summary, anchors. Null summaries are empty.
     """
-    left = candidates.select(F.col("id").alias("candidate_id"), F.col("kind").alias("k"), F.col("summary").alias("s"), F.col("anchors").alias("a"))
-    pairs = pool(candidates, records).join(left, "candidate_id").join(records, "id").filter(F.col("kind") == F.col("k"))
-    scored = pairs.select("candidate_id", "id", (F.col("status") == "active").alias("active"), F.round(similarity(F.col("s"), F.col("summary"), F.col("a"), F.col("anchors")), 9).alias("score"))
-    fits = scored.filter((F.col("active") & (F.col("score") >= same)) | (~F.col("active") & (F.col("score") >= history)))
-    best = fits.groupBy("candidate_id").agg(F.min(F.struct((~F.col("active")).alias("ended"), (-F.col("score")).alias("o"), "id", "score")).alias("b"))
-    out = left.select("candidate_id").join(best, "candidate_id", "left")
+    left = candidates.select(F.col("id").alias("candidate_id"))
+    best = _of_candidates(candidates, _best(candidates, records, same, history)).select("candidate_id", "b")
+    out = left.join(best, "candidate_id", "left")
     return out.select("candidate_id", F.when(F.col("b").isNull(), "create").when(F.col("b.ended"), "reject").otherwise("update").alias("decision"), "b.id", "b.score")
+
+
+def consolidate(candidates: DataFrame, records: DataFrame, same: float = 0.78, history: float = 0.70) -> DataFrame:
+    """(candidate_id, action, record_id, summary, anchors, score): what becomes of creations once they are held against the records.
+
+    As decide(), and: a creation that is already `resolved` (candidates may have a status) resolves the active record that it is like, or is rejected; an
+    update keeps the record's anchors and adds its own, each canonical form once, 20 at most.
+    """
+    status = F.col("status") if "status" in candidates.columns else F.lit(None).cast("string")
+    own = candidates.select(F.col("id").alias("candidate_id"), status.alias("wanted"), "summary", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+    rows = own.join(decide(candidates, records, same, history), "candidate_id").join(records.select("id", F.coalesce("anchors", F.array().cast("array<string>")).alias("held")), "id", "left")
+    ended = F.coalesce(F.col("wanted") == "resolved", F.lit(False))
+    action = F.when(ended & (F.col("decision") == "update"), "resolve").when(ended, "reject").otherwise(F.col("decision"))
+    merged = F.when(action == "update", merged_anchors(F.col("held"), F.col("anchors"))).otherwise(F.col("anchors"))
+    return rows.select("candidate_id", action.alias("action"), F.when(action != "create", F.col("id")).alias("record_id"), "summary", merged.alias("anchors"), "score")

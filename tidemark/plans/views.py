@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexical
+from tidemark.functions import lexical, subjects
 from tidemark.functions import text as texts
 from tidemark.operators import consolidation, journal, oplog, records, views
 from tidemark.plans.catalogue import canon, query, read
@@ -131,14 +131,18 @@ def lifecycle_candidates(spark, d):
     return records.lifecycle_candidates(_records(spark, d), _NOW, _WIDE, now=90, most=4).withColumn("place", F.col("place").cast("long"))
 
 
-_CAND = f"""cand as (select id + 1000000 as cid, kind as k, case id % 3 when 0 then upper(summary) when 1 then summary || ' again' else 'a new ' || anchors[2] end as s, case id % 2 when 0 then anchors else [anchors[2] || '!', 'Other'] end as a from rec where id % 40 = 5)"""
+_CAND = f"""cand as (select id + 1000000 as cid, kind as k, case id % 3 when 0 then upper(summary) when 1 then summary || ' again' else 'a new ' || anchors[2] end as s, case id % 2 when 0 then anchors else [anchors[2] || '!', 'Other'] end as a from rec)"""
+
+
+#: Of every fortieth record, for what is held against all records.
+_FEW = _CAND.replace("from rec)", "from rec where id % 40 = 5)")
 
 
 def _candidates(spark, d):
     k = F.col("id")
     own = F.when(k % 3 == 0, F.upper("summary")).when(k % 3 == 1, F.concat("summary", F.lit(" again"))).otherwise(F.concat(F.lit("a new "), F.col("anchors")[1]))
     anchors = F.when(k % 2 == 0, F.col("anchors")).otherwise(F.array(F.concat(F.col("anchors")[1], F.lit("!")), F.lit("Other")))
-    return _records(spark, d).filter("id % 40 = 5").select((k + 1000000).alias("id"), "kind", own.alias("summary"), anchors.alias("anchors"))
+    return _records(spark, d).select((k + 1000000).alias("id"), "kind", own.alias("summary"), anchors.alias("anchors"))
 
 
 def keys_sql(column: str) -> str:
@@ -153,23 +157,48 @@ _PAIRS = f"""p as (select cid, id, k, status, summary, s, {canon('summary')} as
 sc as (select cid, id, status, ws, wr, ks, kr, round(case when cc <> '' and cc = cs then 1 when len(ks) > 0 and len(kr) > 0 then 0.6 * ({_jac('ks', 'kr')}) + 0.4 * ({_jac('ws', 'wr')}) else {_jac('ws', 'wr')} end, 9) as score from p)"""
 
 
-@query(f"""with {_REC}, {_CAND}, {_PAIRS}, b as (select cid, id, status, score, row_number() over (partition by cid order by case when status = 'active' then 0 else 1 end, score desc, id) as o from sc where score >= case when status = 'active' then 0.78 else 0.7 end)
+def _in(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+def _heads_sql(text: str) -> str:
+    """Heads with what tells them from others, for texts of one sentence."""
+    w = f"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+')"
+    capital, low = f"regexp_matches({w}[i], '^[A-Z]')", f"lower({w}[i])"
+    numbered = f"regexp_matches({w}[i + 1], '^[0-9]+$') and {capital} and not list_contains({_in(subjects._STOP)}, {low}) and not list_contains({_in(subjects.QUANTITIES)}, lower(coalesce({w}[i + 2], ''))) and not regexp_matches(coalesce({w}[i + 2], ''), '^[0-9]')"
+    apart = f"not list_contains({_in(subjects._STOP)}, lower({w}[i + 1])) and not list_contains({_in(subjects._STOP)}, {low}) and (list_contains({_in(subjects.DISTINGUISHING)}, {low}) or (i > 1 and {capital}))"
+    return f"list_concat(list_transform(list_filter(range(1, len({w})), lambda i: {numbered}), lambda i: {{'h': {low}, 'm': {w}[i + 1]}}), list_transform(list_filter(range(1, len({w})), lambda i: {apart}), lambda i: {{'h': lower({w}[i + 1]), 'm': {low}}}))"
+
+
+def _names_sql(text: str) -> str:
+    w, ends = f"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+')", "|".join(subjects.COMMON_ENDINGS)
+    fits = f"regexp_matches({w}[i], '^[A-Z]') and length({w}[i]) > 1 and not list_contains({_in(subjects._STOP | subjects.DETERMINERS)}, lower({w}[i])) and not (i = 1 and regexp_matches(lower({w}[i]), '({ends}|[^{subjects.BEFORE_S}]s)$'))"
+    return f"list_transform(list_filter(range(1, len({w}) + 1), lambda i: {fits}), lambda i: lower({w}[i]))"
+
+
+_VETO = f"""al as (select cid, id, any_value(status) as status, any_value(score) as score, any_value(s) as s, any_value(summary) as r, any_value(ws) as ws, any_value(wr) as wr, any_value(list_distinct(list_concat(ws, flatten(list_transform(ks, lambda k: string_split(k, ' ')))))) as vs, any_value(list_distinct(list_concat(wr, flatten(list_transform(kr, lambda k: string_split(k, ' ')))))) as vr from sc join (select cid, id, s, summary from p) using (cid, id) where score >= 0.7 group by cid, id),
+hd as (select *, {_heads_sql('s')} as hs0, {_heads_sql('r')} as hr0, {_names_sql('s')} as ns, {_names_sql('r')} as nr from al),
+hf as (select *, list_filter(hs0, lambda h: list_contains(wr, h.h) and not list_contains(wr, h.m)) as hs, list_filter(hr0, lambda h: list_contains(ws, h.h) and not list_contains(ws, h.m)) as hr from hd),
+ve as (select cid, id, status, score from hf where not (len(list_filter(ns, lambda x: not list_contains(vr, x))) > 0 and len(list_filter(nr, lambda x: not list_contains(vs, x))) > 0)
+  and len(list_filter(hs, lambda x: len(list_filter(hr, lambda y: y.h = x.h)) > 0 and len(list_filter(hs, lambda z: z.h = x.h and len(list_filter(hr, lambda y: y.h = x.h and y.m = z.m)) > 0)) = 0)) = 0)"""
+
+
+@query(f"""with {_REC}, {_CAND}, {_PAIRS}, {_VETO}, b as (select cid, id, status, score, row_number() over (partition by cid order by case when status = 'active' then 0 else 1 end, score desc, id) as o from ve where score >= case when status = 'active' then 0.78 else 0.7 end)
 select cand.cid as candidate_id, case when b.id is null then 'create' when status = 'active' then 'update' else 'reject' end as decision, b.id, b.score from cand left join b on cand.cid = b.cid and o = 1""")
 def create_decisions(spark, d):
     return consolidation.decide(_candidates(spark, d), _records(spark, d))
 
 
-@query(f"""with {_REC}, {_CAND}, w as (select cid, unnest(list_distinct(list_concat(list_transform({keys_sql('a')}, lambda x: 'a:' || x), list_transform({words_sql('s')}, lambda x: 'w:' || x)))) as key from cand),
-r as (select id, unnest(list_distinct(list_concat(list_transform({keys_sql('anchors')}, lambda x: 'a:' || x), list_transform({words_sql('summary')}, lambda x: 'w:' || x)))) as key from rec)
-select cid as candidate_id, count(distinct id) as n, min(id) as first_id from w join r using (key) group by cid""")
+@query(f"""with {_REC}, {_CAND}, {_PAIRS} select cid as candidate_id, count(*) as n, min(id) as first_id from sc where score >= 0.7 group by cid""")
 def create_pools(spark, d):
-    return consolidation.pool(_candidates(spark, d), _records(spark, d)).groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """Records as alike as any decision asks for."""
+    return consolidation.pool(_candidates(spark, d), _records(spark, d)).groupBy("candidate_id").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"))
 
 
-@query(f"""with {_REC}, {_CAND}, {_PAIRS}, x as (select *, len(list_filter(list_intersect(ks, kr), lambda a: contains(a, ' '))) > 0 as strong, list_intersect(ws, wr) as met, list_intersect(ks, kr) as an from sc)
+@query(f"""with {_REC}, {_FEW}, {_PAIRS}, x as (select *, len(list_filter(list_intersect(ks, kr), lambda a: contains(a, ' '))) > 0 as strong, list_intersect(ws, wr) as met, list_intersect(ks, kr) as an from sc)
 select cid as candidate_id, count(*) filter (score >= 0.55 or (strong and len(met) >= 2)) as related, count(*) filter (score >= 0.55 or (strong and len(list_filter(met, lambda w: not list_contains(flatten(list_transform(an, lambda a: string_split(a, ' '))), w))) >= 2)) as beyond from x group by cid""")
 def episode_links(spark, d):
-    left = _candidates(spark, d).select(F.col("id").alias("candidate_id"), F.col("kind").alias("k"), F.col("summary").alias("s"), F.col("anchors").alias("a"))
+    left = _candidates(spark, d).filter("id % 40 = 5").select(F.col("id").alias("candidate_id"), F.col("kind").alias("k"), F.col("summary").alias("s"), F.col("anchors").alias("a"))
     pairs = left.join(_records(spark, d), F.col("k") == F.col("kind"))
     score = F.round(consolidation.similarity(F.col("s"), F.col("summary"), F.col("a"), F.col("anchors")), 9)
     related = lambda beyond: F.count_if(consolidation.new_episode_related(score, F.col("s"), F.col("summary"), F.col("a"), F.col("anchors"), 0.55, beyond))
