@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, struct of the other columns); a key that is there twice fails."""
+    own = F.struct(*(c for c in rows.columns if c != key))
+    each = rows.groupBy(key).agg(F.first(own).alias(name), F.count("*").alias("times"))
+    return each.select(key, F.when(F.col("times") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(each.schema[name].dataType)).otherwise(F.col(name)).alias(name))
+
+
 def keyed_undo(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, change, before): what to put back to get from `after` to `before`; `before` is a struct of the other columns, null for an added row."""
-    columns = [c for c in before.columns if c != key]
-    left = before.select(key, F.struct(*columns).alias("l"))
-    right = after.select(key, F.struct(*columns).alias("r"))
-    both = left.join(right, key, "full").filter(~F.col("l").eqNullSafe(F.col("r")))
-    return both.select(key, F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").otherwise("changed").alias("change"), F.col("l").alias("before"))
+    """(key, change, before): what to put back to get from `after` to `before`; `before` is a struct of the other columns, null for an added row.
+
+    A key is there once in each: a repeated one fails, as a row that is put back couldn't tell which it stands for. Rows of null keys are each other's.
+    """
+    left, right = _by_key(before, key, "l"), _by_key(after.select(before.columns), key, "r")
+    both = left.withColumnRenamed(key, "__left").join(right.withColumnRenamed(key, "__right"), F.col("__left").eqNullSafe(F.col("__right")), "full").filter(~F.col("l").eqNullSafe(F.col("r")))
+    return both.select(F.coalesce("__left", "__right").alias(key), F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").otherwise("changed").alias("change"), F.col("l").alias("before"))
 
 
 def apply_undo(after: DataFrame, undo: DataFrame, key: str) -> DataFrame:
@@ -82,11 +90,11 @@ def positioned_undo(before: DataFrame, after: DataFrame, key: str, place: str =
     return rows.join(stood, key, "left").withColumn("at", F.when(F.col("change") == "removed", F.col("at")))
 
 
-def restore_positioned(after: DataFrame, undo: DataFrame, key: str, place: str = "place") -> DataFrame:
+def restore_positioned(after: DataFrame, undo: DataFrame, key: str, place: str = "place", of: str | None = None) -> DataFrame:
     """The rows before, with their places: kept rows in their order, and what was removed put back where it stood.
 
-    A row put back at `at` has that place in the result (or the last one, beyond it); kept rows fill the other places in order. Exact for
-    places that count from 0.
+    A row put back at `at` has that place in the result; kept rows fill the other places in order. Exact for places that count from 0. of: the column that says
+    which list a row is in; each list is one window, so name it where there are many. An added row's undo has no `before`, and needs none.
     """
     from pyspark.sql import Window
 
@@ -94,12 +102,13 @@ def restore_positioned(after: DataFrame, undo: DataFrame, key: str, place: str =
     kept = after.join(undo.filter("change = 'added'").select(key), key, "left_anti").join(undo.filter("change = 'changed'").select(key, "before"), key, "left")
     kept = kept.select(key, place, *(F.when(F.col("before").isNotNull(), F.col(f"before.{c}")).otherwise(F.col(c)).alias(c) for c in columns if c != key))
     back = undo.filter("change = 'removed'").select(key, F.col("at").alias(place), "before.*").select(kept.columns)
-    # Places of one list: as many rows as the list has.
-    whole = Window.partitionBy(F.lit(0))
-    taken = back.select(F.collect_set(place).alias("taken"))
-    free = kept.withColumn("n", F.row_number().over(whole.orderBy(place)) - 1).crossJoin(F.broadcast(taken))
-    slot = F.aggregate(F.array_sort("taken"), F.col("n").cast("long"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
-    return free.select(key, slot.alias(place), *(c for c in columns if c != key)).unionByName(back.withColumn(place, F.col(place).cast("long")))
+    own = F.col(of) if of else F.lit(0)
+    # The j-th place that is taken has place - j free ones before it; a kept row comes after all taken ones with no more free ones than it has kept rows before it.
+    numbered = lambda df, taken: df.withColumn("__n", (F.row_number().over(Window.partitionBy(own).orderBy(place)) - 1).cast("long")).withColumn("__taken", F.lit(taken))
+    rows = numbered(back, 1).withColumn("__free", F.col(place) - F.col("__n")).unionByName(numbered(kept, 0).withColumn("__free", F.col("__n")))
+    before = F.sum("__taken").over(Window.partitionBy(own).orderBy("__free", F.col("__taken").desc(), "__n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    slot = F.when(F.col("__taken") == 1, F.col(place).cast("long")).otherwise(F.col("__n") + before)
+    return rows.withColumn("__slot", slot).select(key, F.col("__slot").alias(place), *(c for c in columns if c != key))
 
 
 def trim_journal(entries: DataFrame, newest: int = 256) -> DataFrame:

@@ -79,7 +79,8 @@ def divergence(left: DataFrame, right: DataFrame, key: str = "fingerprint") -> D
 
 def exchanges(log: DataFrame) -> DataFrame:
     """log with end_pos, the reply that ends a row's exchange: a reply and what came since the reply before. Rows after the last reply belong to none and go; system rows are no evidence and go too."""
-    after = Window.partitionBy("chat").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    # From the newest row on, so that a row's frame is the one before it and one more.
+    after = Window.partitionBy("chat").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = log.withColumn("end_pos", F.min(F.when(F.col("role") == "assistant", F.col("pos"))).over(after))
     return ended.filter(F.col("end_pos").isNotNull() & (F.col("role") != "system"))
 

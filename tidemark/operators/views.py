@@ -54,14 +54,20 @@ def relations(records: DataFrame, links: DataFrame, most: int = 24) -> DataFrame
 def place_mentions(places: DataFrame, records: DataFrame, most: int = 6) -> DataFrame:
     """(place_id, rank, id, total): records with the place's name as an anchor or, from four characters on, in their summary as whole words.
 
-    Active ones first, then those changed last, then by id. Names of two characters and fewer are never mentioned. Records meet names by
-    the name's first word, so that no pair of all places and records is made.
+    Active ones first, then those changed last, then by id. Names of two characters and fewer are never mentioned. Records meet names by the
+    name's rarest word, and texts are fetched for records that have it: a common word in a name brings nothing together.
     """
     named = places.select(F.col("id").alias("place_id"), canonical_text(F.col("name")).alias("name")).filter(F.length("name") >= 3)
     by_anchor = records.select("id", F.explode(F.transform("anchors", canonical_text)).alias("name")).distinct().join(named, "name").select("place_id", "id")
     said = records.select("id", canonical_text(F.col("summary")).alias("said"))
-    firsts = said.select("id", "said", F.explode(F.array_distinct(words(F.col("said")))).alias("first"))
-    by_text = firsts.join(named.filter(F.length("name") >= 4).withColumn("first", F.split("name", " ")[0]), "first").filter(on_word_boundaries(F.col("said"), F.col("name"))).select("place_id", "id")
+    names = named.filter(F.length("name") >= 4).select("name").distinct()
+    parts = names.select("name", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
+    having = said.select("id", F.explode(F.array_distinct(words(F.col("said")))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
+    rarity = having.groupBy("word").agg(F.count("*").alias("df"))
+    # A name with a word that no record has is in none.
+    rarest = parts.join(rarity, "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w")).filter("w.df > 0").select("name", F.col("w.word").alias("word"))
+    met = having.join(rarest, "word").select("id", "name").distinct().join(said, "id").filter(on_word_boundaries(F.col("said"), F.col("name")))
+    by_text = met.select("id", "name").join(named, "name").select("place_id", "id")
     found = by_anchor.unionByName(by_text).distinct().join(records.select("id", "status", "changed"), "id")
     order = Window.partitionBy("place_id").orderBy((F.col("status") == "active").desc(), F.coalesce("changed", F.lit(-1)).desc(), "id")
     ranked = found.withColumns({"rank": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("place_id"))})
@@ -101,10 +107,13 @@ def possible_duplicates(places: DataFrame, near: float = 0.05) -> DataFrame:
     own = places.select("id", "x", "y", canonical_text(F.col("name")).alias("name")).filter("name <> ''")
     names = own.groupBy("name").agg(F.count("*").alias("n")).withColumn("w", F.array_distinct(words(F.col("name"))))
     nested = lambda a, b: F.concat(b, F.lit(" ")).startswith(F.concat(a, F.lit(" "))) | F.concat(a, F.lit(" ")).startswith(F.concat(b, F.lit(" ")))
-    each = names.select("name", "w", F.explode("w").alias("word"))
-    counts = each.select("name", F.col("w").alias("wa"), "word").join(each.select(F.col("name").alias("other"), F.col("w").alias("wb"), "word"), "word").filter("name <> other").groupBy("name", "other").agg(F.count("*").alias("shared"), F.first(F.size("wa")).alias("na"), F.first(F.size("wb")).alias("nb"))
-    apart = counts.filter(~nested(F.col("name"), F.col("other")))
-    contained = apart.filter((F.least("na", "nb") >= 2) & (F.col("shared") == F.least("na", "nb"))).select("name").distinct().withColumn("contained", F.lit(True))
+    # A name lies in others that have its rarest word.
+    each = names.select("name", F.explode("w").alias("word"))
+    rarity = each.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = each.join(rarity, "word").groupBy("name").agg(F.min(F.struct("df", "word")).alias("k")).select("name", F.col("k.word").alias("word")).join(names.filter(F.size("w") >= 2).select("name", "w"), "name")
+    around = each.select(F.col("name").alias("other"), "word").join(rarest, "word").filter("name <> other").join(names.select(F.col("name").alias("other"), F.col("w").alias("wo")), "other")
+    lies = around.filter((F.size(F.array_except("w", "wo")) == 0) & ~nested(F.col("name"), F.col("other")))
+    contained = lies.select(F.explode(F.array("name", "other")).alias("name")).distinct().withColumn("contained", F.lit(True))
     # A point meets those of its own cell and the cells beside it.
     cell = lambda c, step: F.floor(F.col(c) / near).cast("long") + step
     points = own.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "name", "x", "y", cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))

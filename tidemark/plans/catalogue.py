@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import elapsed, geometry, lexical, text
+from tidemark.functions import geometry, lexical, text
 from tidemark.operators import branch, evolution, journal, log, oplog, places, records, reducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,18 +282,6 @@ def unrecovered_failures(spark, d):
     return oplog.unrecovered(read(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase").select("user_id", "event_id")
 
 
-_PHRASES = [("3", "days"), ("one", "day"), ("twenty-five", "hours"), ("fifty", "hours"), ("a", "fortnight"), ("two", "decades"), ("few", "days"), ("many", "minutes"), ("3000", "minutes"), ("a", "season"), ("ten", "parsecs"), ("sixty one", "terms")]
-
-
-@query("""select * from (values ('3', 'days', 3, 'day', true), ('one', 'day', 1, 'day', false), ('twenty-five', 'hours', 25, 'hour', false), ('fifty', 'hours', 50, 'hour', true), ('a', 'fortnight', 2, 'week', true),
-('two', 'decades', 20, 'year', true), ('few', 'days', null, 'day', true), ('many', 'minutes', null, 'minute', false), ('3000', 'minutes', 3000, 'minute', true), ('a', 'season', 1, 'season', true), ('ten', 'parsecs', 10, '', false), ('sixty one', 'terms', 61, 'term', true))
-t(word, unit_word, amount, unit, meaningful)""")
-def elapsed_units(spark, d):
-    rows = spark.createDataFrame(_PHRASES, "word string, unit_word string")
-    amount, unit = elapsed.measure(F.col("word"), F.col("unit_word"))
-    return rows.withColumns({"amount": amount, "unit": unit}).withColumn("meaningful", elapsed.meaningful(F.col("amount"), F.col("unit")))
-
-
 @query("""with recursive m as (select p_partkey as id, case when p_partkey % 4 <> 0 and p_partkey > 4 then p_partkey - 3 end as into_ from part),
 c as (select id, id as cur, 0 as n from m union all select c.id, m.into_, n + 1 from c join m on c.cur = m.id where m.into_ is not null and n < 8)
 select id, arg_max(cur, n) as final_id from c group by id""")

@@ -124,14 +124,15 @@ def positioned_diff(spark, d):
     return journal.positioned_undo(before, _after(before), "o_orderkey").select("o_orderkey", "change", "at", F.col("before.status").alias("before_status"))
 
 
-@query("select o_orderkey, row_number() over (order by o_orderkey) - 1 as place, o_orderstatus as status from orders where o_orderkey < 3000")
+@query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as place, o_orderstatus as status, o_custkey from orders")
 def positioned_round_trip(spark, d):
-    """One list of at most 3000 orders, as the state of one chat is."""
+    """The orders of each customer as a list."""
     from pyspark.sql import Window
 
-    before = _orders(spark, d).filter("o_orderkey < 3000").withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o_orderkey")) - 1).cast("long"))
+    place = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
+    before = read(spark, d, "orders").select("o_orderkey", place.alias("place"), F.col("o_orderstatus").alias("status"), "o_custkey")
     after = _after(before)
-    return journal.restore_positioned(after, journal.positioned_undo(before, after, "o_orderkey"), "o_orderkey").select("o_orderkey", "place", "status")
+    return journal.restore_positioned(after, journal.positioned_undo(before, after, "o_orderkey"), "o_orderkey", of="o_custkey").select("o_orderkey", "place", "status", "o_custkey")
 
 
 @query("""with e as (select user_id as chat, event_id as seq, event_id - 1 as prev_seq, event_id % 90 - 5 as b, row_number() over (partition by user_id order by event_id desc) as n from events), k as (select *, row_number() over (partition by chat order by seq) as r from e where n <= 20)
@@ -172,13 +173,13 @@ def integrity_faults(spark, d):
     return journal.integrity_faults(records, evidence, links)
 
 
-@query("""with e as (select o_orderkey, unnest([o_orderkey % 50, (o_orderkey * 7) % 60, o_orderkey % 50]) as id from orders), s as (select event_id as id, case event_type when 'view' then 'time' when 'click' then 'current' else 'historical' end as type, event_id % 2 = 0 as m from events where event_id < 55),
+@query("""with e as (select o_orderkey, unnest([o_orderkey % 12000, (o_orderkey * 7) % 11000, o_orderkey % 12000]) as id from orders), s as (select event_id as id, case event_type when 'view' then 'time' when 'click' then 'current' else 'historical' end as type, event_id % 2 = 0 as m from events),
 x as (select distinct o_orderkey, e.id, type, m from e left join s on e.id = s.id)
 select o_orderkey, count(id) = count(type) as known, count(*) filter (type in ('time', 'current')) as triggers, coalesce(bool_or(type = 'current'), false) or (coalesce(bool_or(type = 'time' and m), false) and coalesce(bool_or(type = 'historical'), false)) as supported from x group by o_orderkey""")
 def change_support(spark, d):
     k, kind = F.col("o_orderkey"), F.col("event_type")
-    rows = read(spark, d, "orders").select(k.alias("evaluation"), F.array(k % 50, (k * 7) % 60, k % 50).alias("support_ids"))
-    supports = read(spark, d, "events").filter("event_id < 55").select(F.col("event_id").alias("id"), F.when(kind == "view", "time").when(kind == "click", "current").otherwise("historical").alias("type"), (F.col("event_id") % 2 == 0).alias("meaningful"))
+    rows = read(spark, d, "orders").select(k.alias("evaluation"), F.array(k % 12000, (k * 7) % 11000, k % 12000).alias("support_ids"))
+    supports = read(spark, d, "events").select(F.col("event_id").alias("id"), F.when(kind == "view", "time").when(kind == "click", "current").otherwise("historical").alias("type"), (F.col("event_id") % 2 == 0).alias("meaningful"))
     return evolution.causal_support(rows, supports).withColumnRenamed("evaluation", "o_orderkey")
 
 
