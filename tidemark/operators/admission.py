@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexical, speech
+from tidemark.functions import lexical, speech, wording
 
 #: The rules in order; the first that fails is the reason.
 REASONS = (
@@ -17,16 +17,20 @@ REASONS = (
 def evidence_status(evidence: DataFrame) -> DataFrame:
     """Adds reported (quoted, reported, or what a speech act is about) and attributed (reported, or planned or conditional) to (.., claim, text, focus).
 
-    focus: what the claim is to support; of several sentences those that share words with it count. Null texts are empty. The columns
-    sentences_, quotations_, narration_ and quoted_ are used meanwhile.
+    focus: what the claim is to support; of several sentences those that share words with it count. Null texts are empty. Columns whose names end with
+    two underscores are used meanwhile.
     """
-    read = evidence.withColumns({"sentences_": speech.sentences(F.col("text")), "quotations_": speech.quotations(F.col("text")), "narration_": speech.narration(F.col("text"))})
-    read = read.withColumn("quoted_", speech.words_in_quotes_only(F.col("quotations_"), F.col("narration_")))
-    source = speech.Source(F.coalesce("text", F.lit("")), F.col("sentences_"), F.col("quotations_"), F.col("narration_"), F.col("quoted_"))
-    parts = speech.judged_parts(F.col("claim"), F.col("focus"))
-    told = read.withColumn("reported", F.forall(parts, lambda p: speech.reported(p, source)))
-    planned = F.forall(parts, lambda p: speech.prospective(p, source))
-    return told.withColumn("attributed", F.col("reported") | planned).drop("sentences_", "quotations_", "narration_", "quoted_")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split(text, r"(?:\r?\n)+"), lambda x: F.trim(x) != "")
+    read = evidence.withColumns({"sentences__": speech.sentences(text), "lines__": lines, "quotations__": speech.quotations(text), "narration__": speech.narration(text), "parts__": speech.judged_parts(F.col("claim"), F.col("focus"))})
+    names = ("sentences__", "lines__", "parts__")
+    read = read.withColumns({f"{c}told__": speech.read_pieces(F.col(c)) for c in names}).withColumn("quoted__", speech.words_in_quotes_only(F.col("quotations__"), F.col("narration__")))
+    sentences, lines, parts = (speech.with_facts(F.col(c), F.col(f"{c}told__")) for c in names)
+    read = read.withColumns({"sentences__": sentences, "lines__": lines, "parts__": parts})
+    source = speech.Source(text, F.col("sentences__"), F.col("lines__"), F.col("quotations__"), F.col("narration__"), F.col("quoted__"))
+    told = read.withColumn("reported", F.forall("parts__", lambda p: speech.reported(p, source)))
+    planned = F.forall("parts__", lambda p: speech.prospective(p, source))
+    return told.withColumn("attributed", F.col("reported") | planned).drop(*names, *(f"{c}told__" for c in names), "quotations__", "narration__", "quoted__")
 
 
 def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, records: DataFrame) -> DataFrame:
@@ -72,7 +76,8 @@ def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, rec
     said = F.coalesce("summary", F.lit("")) != ""
     ends = F.coalesce(F.col("action").isin("resolve", "supersede") | F.col("status").isin("resolved", "superseded"), F.lit(False)) | F.col("action").isin("resolve", "supersede")
     bound = yes("known") & F.coalesce(F.col("bound_id") == F.col("record_id"), F.lit(False))
-    status_kept = speech.keeps_report(F.col("assertion")) | (yes("plans_only") & speech.keeps_plan(F.col("assertion")))
+    all_ = all_.withColumns({"worded": wording.of_summary(F.col("assertion")), "r_worded": wording.of_summary(F.col("r_summary"))})
+    status_kept = F.col("worded.account") | F.col("worded.acts") | (yes("plans_only") & F.col("worded.planned"))
     rules = (
         (F.col("action") != "create") & ~F.col("known"),
         (F.col("action") == "create") & F.col("episode_of").isNotNull() & ~F.coalesce(F.col("e_status").isin("resolved", "superseded"), F.lit(False)),
@@ -86,7 +91,7 @@ def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, rec
         bound & said & ~lexical.target_affinity(F.col("r_summary"), F.coalesce("r_anchors", none), F.col("summary")),
         ~ends & said & yes("opposed"),
         F.col("known") & ends & yes("goes_on"),
-        F.col("known") & ends & yes("all_attributed") & ~speech.reported_account(F.col("r_summary")),
+        F.col("known") & ends & yes("all_attributed") & ~F.col("r_worded.account"),
         yes("all_attributed") & ~status_kept,
     )
     reason = F.when(F.col("action") == "noop", F.lit(None))
