@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexical, narrative
-from tidemark.operators import days, restore, transactions
+from tidemark.operators import days, derivation, rendering, restore, transactions
 from tidemark.plans.catalogue import messages, query, read
 
 
@@ -149,3 +149,51 @@ def narration_kept(spark, d):
     text = F.coalesce(*(F.when(f == k, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))) for k, parts in forms))
     own = narrative.sanitized(text)
     return read(spark, d, "pages").select("page_id", own.alias("n")).select("page_id", F.length("n").cast("long").alias("n_chars"), F.md5(F.col("n").cast("binary")).alias("narration_md5"))
+
+
+_BUDGET, _SHARE = 900, 250
+
+
+@query(f"""with t as (select conv_id as chat, turn, trim(coalesce(text, ''), ' ') as t from conversations), n as (select *, least(length(t), {_SHARE}) + 1 as takes from t where t <> ''),
+l as (select *, least({_SHARE}, {_BUDGET} - coalesce(sum(takes) over (partition by chat order by turn desc, t desc rows between unbounded preceding and 1 preceding), 0)) as most from n),
+h as (select *, floor((most - 7) * 55 / 100) as head from l where most > 0)
+select chat as conv_id, turn, case when length(t) <= most then t when most <= 7 then substr(t, 1, cast(most as bigint)) else substr(t, 1, cast(head as bigint)) || E'\\n[...]\\n' || right(t, cast(most - 7 - head as bigint)) end as text from h""")
+def newest_texts(spark, d):
+    """What of each conversation goes into a budget of characters, newest first."""
+    own = messages(spark, d).select("chat", F.col("pos").alias("place"), "text")
+    return rendering.newest_within(own, _BUDGET, _SHARE).select(F.col("chat").alias("conv_id"), F.col("place").alias("turn"), "text")
+
+
+#: Fixed values of the text: what stands above the lines.
+_HEADER = "Private notes. They tell what holds now:"
+
+
+@query()
+def notes_rendered(spark, d):
+    """The turns of each conversation as lines of notes under a budget of 300 tokens; SQL doesn't express the cut of a line that doesn't fit."""
+    k = F.col("chat") * 3 + F.col("pos")
+    rows = messages(spark, d).select("chat", F.col("pos").alias("place"), F.concat(F.lit("t"), F.col("pos").cast("string")).alias("id"), F.when(k % 3 == 0, "development").otherwise("fact").alias("kind"), F.when(k % 2 == 0, "rising").alias("trend"), F.when(k % 7 == 0, "resolved").otherwise("active").alias("status"), F.col("text").alias("summary"))
+    return rendering.rendered(rows, _HEADER, 300).select(F.col("chat").alias("conv_id"), "text", "tokens", F.array_join("included", ",").alias("included"))
+
+
+_D = 0.7071067811865475
+_SIDES = {"north": (0, 1), "northeast": (_D, _D), "east": (1, 0), "southeast": (_D, -_D), "south": (0, -1), "southwest": (-_D, -_D), "west": (-1, 0), "northwest": (-_D, _D)}
+
+
+@query(f"""with recursive s(k, dx, dy) as (values {", ".join(f"({k}, cast({x} as double), cast({y} as double))" for k, (x, y) in enumerate(_SIDES.values()))}),
+r as (select p_partkey as id, p_partkey // 3 as up, (1 + p_size % 5) * dx as dx, (1 + p_size % 5) * dy as dy from part join s on k = p_partkey % 8),
+w as (select p_partkey as id, cast(p_size as double) as x, cast(p_partkey as double) as y, 0 as depth, cast(null as bigint) as via from part where p_partkey < 3
+  union all select r.id, round(floor((w.x + r.dx) / 0.01 + 1e-12 + 0.5) * 0.01, 12), round(floor((w.y + r.dy) / 0.01 + 1e-12 + 0.5) * 0.01, 12), depth + 1, w.id from w join r on r.up = w.id where r.id >= 3)
+select id, round(x, 6) as x, round(y, 6) as y, depth, via from w""")
+def points_derived(spark, d):
+    """Places of which each lies in some direction from another, and the first two have points; every third relation is told from the other end."""
+    k, part = F.col("p_partkey"), read(spark, d, "part")
+    at = k < 3
+    places = part.select(k.alias("id"), F.when(at, F.col("p_size").cast("double")).alias("x"), F.when(at, k.cast("double")).alias("y"), F.lit("base_canonical").alias("authority"), F.lit(False).alias("locked"))
+    up, names = F.floor(k / 3).cast("long"), list(_SIDES)
+    told = F.element_at(lexical.listed(tuple(names)), (1 + k % 8).cast("int"))
+    back = F.element_at(lexical.listed(tuple(names)), (1 + (k + 4) % 8).cast("int"))
+    turned = (k % 3 == 0) & (k >= 3)
+    relations = part.filter(k >= 3).select(F.when(turned, k).otherwise(up).alias("from"), F.when(turned, up).otherwise(k).alias("to"), F.when(turned, back).otherwise(told).alias("direction"), (1 + F.col("p_size") % 5).cast("double").alias("km"))
+    found = derivation.derived_points(places, relations)
+    return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "depth", "via")
