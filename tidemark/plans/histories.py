@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexical, narrative
-from tidemark.operators import days, derivation, rendering, restore, transactions
+from tidemark.operators import days, derivation, derived, rendering, restore, transactions
 from tidemark.plans.catalogue import messages, query, read
 
 
@@ -197,3 +197,13 @@ def points_derived(spark, d):
     relations = part.filter(k >= 3).select(F.when(turned, k).otherwise(up).alias("from"), F.when(turned, up).otherwise(k).alias("to"), F.when(turned, back).otherwise(told).alias("direction"), (1 + F.col("p_size") % 5).cast("double").alias("km"))
     found = derivation.derived_points(places, relations)
     return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "depth", "via")
+
+
+@query("""with recursive s as (select distinct id, cause from (select p_partkey as id, unnest([p_partkey // 2, p_partkey // 3]) as cause from part) where id <> cause and cause > 0),
+w as (select id, cause, 1 as depth from s union select w.id, s.cause, depth + 1 from w join s on s.id = w.cause where s.cause <> w.id)
+select id, cause, cast(min(depth) as int) as depth from w group by all""")
+def causes_closed(spark, d):
+    """What each record follows from, through its causes' causes."""
+    k = F.col("p_partkey")
+    up = F.filter(F.array(F.floor(k / 2).cast("long"), F.floor(k / 3).cast("long")), lambda x: x > 0)
+    return derived.all_causes(read(spark, d, "part").select(k.alias("id"), up.alias("caused_by")))
