@@ -62,12 +62,27 @@ def test_alike_finds_all_pairs(spark, least):
     assert found == {(k[0], min(i for i, _ in x)): (len(x), x[0][1]) for k, x in want.items()}
 
 
+def test_alike_long_statements(spark, monkeypatch):
+    """Sets on both sides of the size from which single words are keys."""
+    monkeypatch.setattr(consolidation, "PAIRED", 12)
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        base = [f"w{k}" for k in range(rng.randint(6, 24))]
+        rows.append((i, "fact", "active", " ".join(rng.sample(base, max(1, len(base) - rng.randint(0, 4)))), None))
+    df = spark.createDataFrame(rows, RECORD)
+    found = {(r.candidate_id, r.id) for r in consolidation.pool(df, df, 0.75).collect()}
+    firsts = {}
+    for r in rows:
+        firsts.setdefault(r[3], r[0])
+    assert found == {(a[0], firsts[b[3]]) for a, b in itertools.product(rows, rows) if _plain(a, b) >= 0.75 - 1e-9}
+
+
 def test_records_that_share_a_common_word_are_no_pairs(spark):
-    rows = spark.range(3000).select("id", F.lit("fact").alias("kind"), F.lit("active").alias("status"), F.concat(F.lit("the thing number"), "id", F.lit(" is here")).alias("summary"), F.array().cast("array<string>").alias("anchors"))
+    rows = spark.range(3000).select("id", F.lit("fact").alias("kind"), F.lit("active").alias("status"), F.concat(F.lit("the thing a"), "id", F.lit(" b"), "id", F.lit(" c"), "id").alias("summary"), F.array().cast("array<string>").alias("anchors"))
     right = consolidation._statements(rows, True)
     rarity = consolidation._tokens(right).groupBy("token").agg(F.count("*").alias("df"))
-    keys = consolidation._prefixes(right, rarity, 0.7)
-    assert keys.groupBy("token").count().agg(F.max("count")).first()[0] <= 3000 and consolidation.decide(rows, rows).filter("decision = 'update' and candidate_id = id").count() == 3000
+    assert consolidation._keys(right, rarity, 0.7, True).groupBy("key").count().agg(F.max("count")).first()[0] <= 1
+    assert consolidation.decide(rows, rows).filter("decision = 'update' and candidate_id = id").count() == 3000
 
 
 def test_consolidated_creations(spark):

@@ -50,14 +50,28 @@ def _statements(records: DataFrame, status: bool) -> DataFrame:
     return each.select("*", text.alias("text"), F.array_distinct(words(text)).alias("words"), anchor_keys(F.col("anchors")).alias("keys"))
 
 
-def _prefixes(statements: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
-    """(kind, id, token, side, size): the rarest words and anchors of each statement, so many that two alike ones share one."""
+#: Sets up to this size meet by pairs of their rarest words, larger ones by single words.
+PAIRED = 60
+
+
+def _keys(statements: DataFrame, rarity: DataFrame, least: float, left: bool) -> DataFrame:
+    """(kind, id, key, side, size): what two statements that are alike share one of; `left` says which of the two these are.
+
+    With words (and anchors) in the order of their rarity, sets of which two elements must be shared share two of the first few of each: their pairs are keys. Where one
+    element may do, both sets are tiny, and a key is the element with both sizes. Large sets have their first few elements as keys.
+    """
     each = _tokens(statements).join(rarity, "token")
-    sets = each.groupBy("kind", "id", "side").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
-    n = F.size("own")
+    sets = each.groupBy("kind", "id", "side").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).withColumn("n", F.size("own"))
     share = F.when(F.col("side") == "a", (least - 0.4) / 0.6).otherwise(least)
-    first = F.least(n, F.greatest(F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1))
-    return sets.select("kind", "id", "side", n.alias("size"), F.explode(F.slice("own", F.lit(1), first)).alias("t")).select("kind", "id", "side", "size", "t.token")
+    sets = sets.withColumns({"own": F.transform("own", lambda x: x["token"]), "must": F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9).cast("int")), "widest": F.floor(1 / share + 1e-9).cast("int") + 1 - F.col("n")})
+    first = F.slice("own", F.lit(1), F.least(F.col("n"), F.col("n") - F.greatest(F.lit(2), "must") + 2))
+    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, F.lit("\u0001"), y))))
+    sizes = lambda m: F.concat_ws("|", F.lit(""), *((F.col("n"), m) if left else (m, F.col("n"))))
+    single = F.flatten(F.transform("own", lambda x: F.transform(F.sequence(F.lit(1), F.greatest("widest", F.lit(1))), lambda m: F.concat(x, sizes(m)))))
+    none = F.array().cast("array<string>")
+    prefix = F.slice("own", F.lit(1), F.col("n") - F.col("must") + 1)
+    keys = F.concat(F.when(F.col("n").between(2, PAIRED), pairs).otherwise(none), F.when((F.col("must") == 1) & (F.col("widest") >= 1), single).otherwise(none), F.when(F.col("n") > F.floor(share * PAIRED), prefix).otherwise(none))
+    return sets.select("kind", "id", "side", F.col("n").alias("size"), F.explode(keys).alias("key"))
 
 
 def _tokens(statements: DataFrame) -> DataFrame:
@@ -68,15 +82,15 @@ def _tokens(statements: DataFrame) -> DataFrame:
 def alike(candidates: DataFrame, records: DataFrame, least: float = 0.70, veto: bool = True) -> DataFrame:
     """(kind, summary, anchors, id, active, n, score): of each different statement of the candidates the different ones of records whose similarity is at least `least`.
 
-    id is the smallest of the n records of that statement and status. Words and anchors are ordered by rarity, and two statements so similar share one of the rarest few of
-    their words, or of their anchors (half of which they share if words alone don't do): statements meet by those alone, so that no common word brings its
-    records together, and copies are no pairs. least: 0.5 or more.
+    id is the smallest of the n records of that statement and status. Two statements so similar share some of the rarest few of their words, or of their anchors (half of
+    which they share if words alone don't do): statements meet by pairs of those, so that no common word brings its records together, and copies are no
+    pairs. least: 0.5 or more.
     """
     left, right = _statements(candidates, False), _statements(records, True)
     rarity = _tokens(left).unionByName(_tokens(right)).groupBy("token").agg(F.count("*").alias("df"))
-    a, b = _prefixes(left, rarity, least).alias("a"), _prefixes(right, rarity, least).alias("b")
+    a, b = _keys(left, rarity, least, True).alias("a"), _keys(right, rarity, least, False).alias("b")
     share = F.when(F.col("a.side") == "a", (least - 0.4) / 0.6).otherwise(least)
-    fits = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token")) & (F.least("a.size", "b.size") >= share * F.greatest("a.size", "b.size") - 1e-9)
+    fits = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.least("a.size", "b.size") >= share * F.greatest("a.size", "b.size") - 1e-9)
     pairs = a.join(b, fits).select(F.col("a.id").alias("left_id"), F.col("a.kind").alias("kind"), F.col("b.id").alias("id")).distinct()
     mine = left.select(F.col("id").alias("left_id"), "kind", *(F.col(c).alias(f"l_{c}") for c in ("summary", "anchors", "text", "words", "keys")), *([subjects.profile(F.col("summary"), F.col("anchors")).alias("l_profile")] if veto else []))
     theirs = right.select("id", "kind", "active", "n", *(F.col(c).alias(f"r_{c}") for c in ("text", "words", "keys")), *([subjects.profile(F.col("summary"), F.col("anchors")).alias("r_profile")] if veto else []))
