@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexical, narrative
+from tidemark.functions import lexical, narrative, placing
 from tidemark.operators import days, derivation, derived, rendering, restore, transactions
 from tidemark.plans.catalogue import messages, query, read
 
@@ -207,3 +207,23 @@ def causes_closed(spark, d):
     k = F.col("p_partkey")
     up = F.filter(F.array(F.floor(k / 2).cast("long"), F.floor(k / 3).cast("long")), lambda x: x > 0)
     return derived.all_causes(read(spark, d, "part").select(k.alias("id"), up.alias("caused_by")))
+
+
+@query("""with s as (select p_partkey as id, p_partkey % 4 as f, p_partkey % 90 as x, p_size as y from part)
+select id, case when f < 3 then x end as x, case when f < 3 then y end as y, case f when 0 then 'north' when 1 then 'south' when 2 then 'northeast' else 'west' end as direction from s""")
+def places_told(spark, d):
+    """Sentences of two places each: what point and direction they give the first. In a quarter the sentence has two pairs as near to its name."""
+    k = F.col("p_partkey")
+    first, second = F.concat(F.lit("Ashby"), k.cast("string")), F.concat(F.lit("Brin"), (k + 1).cast("string"))
+    pair = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(", "), y.cast("string"), F.lit("]"))
+    own, other = pair(k % 90, F.col("p_size")), pair(k % 7 + 100, F.lit(3))
+    forms = (
+        (first, " stands at ", own, ", north of ", second, " at ", other, "."),
+        (second, " stands at ", other, ", north of ", first, " at ", own, "."),
+        ("Due north-east of ", second, ", which is at ", other, ", the north wind meets ", first, " (", own, ")."),
+        (own, " ", first, " ", other, " lies west of ", second, "."),
+    )
+    text = F.coalesce(*(F.when(k % 4 == n, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))) for n, parts in enumerate(forms)))
+    rows = read(spark, d, "part").select(k.alias("id"), text.alias("text"), first.alias("a"), second.alias("b"))
+    told = rows.select("id", placing.points_given(F.col("text"), F.col("a")).alias("p"), placing.directions_given(F.col("text"), F.col("a"), F.col("b")).alias("d"))
+    return told.select("id", F.get("p", F.lit(0))["x"].cast("long").alias("x"), F.get("p", F.lit(0))["y"].cast("long").alias("y"), F.array_join("d", ",").alias("direction"))
