@@ -177,14 +177,34 @@ def test_evidence_stays_within_its_bound(spark):
     assert found.evidence.count() == 32 and {"first", "more 39"} <= {r.claim for r in found.evidence.collect()}
 
 
+@pytest.mark.parametrize("stops", [(12,), (0, 5, 6, 24)])
+def test_a_replay_that_stops_and_goes_on(spark, stops):
+    """Whatever the stops, outcomes and states are those of one replay from the start."""
+    rows = _random_rows(11, chats=4)
+    told, states = _plain(rows)
+    as_frame = lambda own: spark.createDataFrame([tuple(r[c] for c in ("chat", *transactions.COLUMNS)) for r in own], KIND)
+    state, outcomes, low = None, {}, 0
+    for high in (*stops, 25):
+        state = transactions.transact(as_frame([r for r in rows if low <= r["batch"] < high]), state)
+        state = transactions.Reduced(*(transactions._kept(x) for x in (state.outcomes, state.records, state.evidence, state.links)))
+        outcomes |= {(r.chat, r.batch, r.ordinal): r.outcome for r in state.outcomes.collect()}
+        low = high
+    assert outcomes == told
+    mine = {(r.chat, r.record): r for r in state.records.collect()}
+    assert {k: ({c: r[c] for c in transactions.NAMES}, r.evidence_ids) for k, r in mine.items()} == {(c, k): ({x: v[x] for x in transactions.NAMES}, v["refs"]) for c, (records, _, _) in states.items() for k, v in records.items()}
+    assert {(r.chat, r.id): (r.record, r.message, r.claim) for r in state.evidence.collect()} == {(c, i): (x[0], x[1], x[4]) for c, (_, evidence, _) in states.items() for i, x in evidence.items()}
+    assert sorted((r.chat, r["from"], r["to"]) for r in state.links.collect()) == sorted((c, x[1], x[2]) for c, (_, _, links) in states.items() for x in links)
+
+
 def test_empty_tables_and_other_keys(spark):
     empty = transactions.transact(spark.createDataFrame([], KIND))
     assert [x.count() for x in (empty.outcomes, empty.records, empty.evidence, empty.links)] == [0, 0, 0, 0]
-    rows = [mutation(None, 1, 0, "create", "a", kind="fact", summary="A", evidence=[_claim("x")]), mutation(None, 1, 1, "update", "a", summary="B", related=["a"])]
+    rows = [mutation(None, 1, 0, "create", "a", kind="fact", summary="A", evidence=[_claim("x")]), mutation(None, 1, 1, "update", "a", summary="B", related=["a"]), mutation(None, 2, 0, "create", "b", kind="fact", summary="C", related=["a"])]
     found = transactions.transact(spark.createDataFrame([tuple(r[c] for c in ("chat", *transactions.COLUMNS)) for r in rows], KIND))
-    assert [(r.chat, r.summary, len(r.evidence_ids)) for r in found.records.collect()] == [(None, "B", 1)]
+    assert sorted((r.chat, r.summary, len(r.evidence_ids)) for r in found.records.collect()) == [(None, "B", 1), (None, "C", 0)]
+    assert [(r.chat, r["from"], r["to"]) for r in found.links.collect()] == [(None, "a", "b")]
     numbers = spark.createDataFrame([tuple((7 if c == "chat" else r[c]) for c in ("chat", *transactions.COLUMNS)) for r in rows], KIND.replace("chat string", "chat long"))
-    assert [r.chat for r in transactions.transact(numbers).records.collect()] == [7]
+    assert [r.chat for r in transactions.transact(numbers).records.collect()] == [7, 7]
 
 
 def test_stream_is_the_batch_reducer(spark, tmp_path):

@@ -116,29 +116,37 @@ def _folded(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
                 if len(out) > 10_000:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
-                own, fold = (m["chat"], m["record"]), RecordFold()
+                begun = m["begun"]
+                own, fold = (m["chat"], m["record"]), RecordFold(tuple(begun[c] for c in NAMES) if begun else None)
             out.append({c: m[c] for c in ("chat", "batch", "ordinal", "message", "lineage", "action", "record", "related", "evidence")} | {"outcome": m["outcome"] or fold.apply(m), "fields": None})
     ended()
     if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def outcomes(mutations: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+#: The place of what was there before all batches, and the outcome of its rows.
+BEFORE, BEGUN = -(2**63), "begun"
+
+
+def outcomes(mutations: DataFrame, failed: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """(chat, batch, ordinal, message, lineage, action, record, related, evidence, outcome, fields): what becomes of each mutation; `fields` is the record after its last one.
 
-    failed: (chat, batch) of batches that are to leave no trace. A created record without an id gets one from its place.
+    failed: (chat, batch) of batches that are to leave no trace. records: those that were there before, a row of theirs begins each. A created record without an id gets one from its place.
     """
     kind = mutations.schema["chat"].dataType.simpleString()
     own = Window.partitionBy("chat", "batch")
     action = F.coalesce("action", F.lit(""))
     refused = F.max(~action.isin("", "noop") & (F.col("message").isNull() | (F.col("message") < 0) | (bounded_text(F.col("lineage"), 80) == ""))).over(own)
-    rows = mutations.select("chat", *COLUMNS)
+    rows = mutations.select("chat", *COLUMNS).withColumn("begun", F.lit(None).cast(_STRUCT))
+    if records is not None:
+        first = {"batch": F.lit(BEFORE), "ordinal": F.lit(0), "record": F.col("record"), "begun": F.struct(*(F.col(c).cast(t).alias(c) for c, t in _FIELD_TYPES.items()))}
+        rows = rows.unionByName(records.select("chat", *(first.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in (*COLUMNS, "begun"))))
     named = F.when(F.col("record").isNotNull() & (bounded_text(F.col("record"), ID_CHARS) != ""), bounded_text(F.col("record"), ID_CHARS)).when(action == "create", record_id(F.col("chat"), F.col("message"), F.col("lineage"), F.col("ordinal")))
-    outcome = F.when(F.col("refused"), F.lit(REFUSED)).when(~action.isin(*ACTIONS), F.lit("unsupported action")).when(action == "noop", F.lit("applied")).when((action != "create") & F.col("record").isNull(), F.lit("no such record"))
+    outcome = F.when(F.col("begun").isNotNull(), F.lit(BEGUN)).when(F.col("refused"), F.lit(REFUSED)).when(~action.isin(*ACTIONS), F.lit("unsupported action")).when(action == "noop", F.lit("applied")).when((action != "create") & F.col("record").isNull(), F.lit("no such record"))
     rows = rows.withColumn("refused", refused).withColumn("record", named).withColumn("outcome", outcome).drop("refused")
     if failed is not None:
         there = failed.select("chat", "batch", F.lit(True).alias("failed"))
-        rows = rows.join(there, ["chat", "batch"], "left").withColumn("outcome", F.when(F.col("failed"), F.lit(FAILED)).otherwise(F.col("outcome"))).drop("failed")
+        rows = rows.join(there.withColumnsRenamed({"chat": "c", "batch": "b"}), F.col("chat").eqNullSafe(F.col("c")) & (F.col("batch") == F.col("b")), "left").withColumn("outcome", F.when(F.col("failed"), F.lit(FAILED)).otherwise(F.col("outcome"))).drop("failed", "c", "b")
     out = f"chat {kind}, batch long, ordinal long, message long, lineage string, action string, record string, related array<string>, evidence {_EVIDENCE}, outcome string, fields {_STRUCT}"
     schema = _arrow(mutations.sparkSession, out)
     ordered = rows.repartition("chat", "record").sortWithinPartitions("chat", "record", "batch", "ordinal")
@@ -231,15 +239,23 @@ def referred_evidence(numbered: DataFrame) -> DataFrame:
 
 def related_links(done: DataFrame) -> DataFrame:
     """(chat, id, from, to, message): a link for each pair of records that an applied mutation relates, where the other one was there before; of a pair the earliest."""
-    applied = done.filter("outcome = 'applied' and action <> 'noop'")
-    born = applied.filter("action = 'create'").select("chat", F.col("record").alias("from"), F.struct("batch", "ordinal").alias("born"))
+    applied = done.filter("outcome = 'applied' and action <> 'noop'").withColumn("who", F.struct("chat"))  # null chats are one
+    born = done.filter((F.col("outcome") == BEGUN) | ((F.col("outcome") == "applied") & (F.col("action") == "create"))).select(F.struct("chat").alias("who"), F.col("record").alias("from"), F.struct("batch", "ordinal").alias("born"))
     wanted = F.slice(F.array_distinct(F.filter(F.transform("related", lambda x: bounded_text(x, ID_CHARS)), lambda x: x != "")), 1, LINKS)
-    each = applied.select("chat", "batch", "ordinal", "message", "lineage", F.col("record").alias("to"), F.posexplode(wanted).alias("place", "from"))
-    there = each.join(born, ["chat", "from"]).filter((F.col("from") != F.col("to")) & (F.col("born") < F.struct("batch", "ordinal")))
-    first = there.groupBy("chat", F.least("from", "to").alias("low"), F.greatest("from", "to").alias("high")).agg(F.min(F.struct("batch", "ordinal", "place", "from", "to", "message", "lineage")).alias("r")).select("chat", "r.*")
+    each = applied.select("who", "batch", "ordinal", "message", "lineage", F.col("record").alias("to"), F.posexplode(wanted).alias("place", "from"))
+    there = each.join(born, ["who", "from"]).filter((F.col("from") != F.col("to")) & (F.col("born") < F.struct("batch", "ordinal")))
+    first = there.groupBy("who", F.least("from", "to").alias("low"), F.greatest("from", "to").alias("high")).agg(F.min(F.struct("batch", "ordinal", "place", "from", "to", "message", "lineage")).alias("r")).select("who.chat", "r.*")
     return first.select("chat", link_id(F.col("chat"), F.col("from"), F.col("to"), F.lit("related"), F.col("message"), F.col("lineage")).alias("id"), "from", "to", "message")
 
 
+def _places_of_evidence(before: Reduced) -> DataFrame:
+    """The evidence that records had, as numbered_evidence() has it, before all batches."""
+    place = before.records.select(F.struct("chat").alias("who"), "record", F.posexplode("evidence_ids").alias("n", "id"))
+    content = F.struct(*(F.col(c) for c in ("message", "lineage", "source_class", "claim", "time_anchor")))
+    own = before.evidence.select(F.struct("chat").alias("who"), "record", "id", content.alias("content"))
+    return place.join(own, ["who", "record", "id"]).select("who.chat", F.lit(BEFORE).alias("batch"), F.lit(0).cast("long").alias("ordinal"), "n", "record", "id", "content")
+
+
 @dataclass
 class Reduced:
     """outcomes (chat, batch, ordinal, action, record, outcome); records; evidence; links."""
@@ -250,17 +266,18 @@ class Reduced:
     links: DataFrame
 
 
-def transact(mutations: DataFrame) -> Reduced:
-    """The state of all chats after their batches.
+def transact(mutations: DataFrame, before: Reduced | None = None) -> Reduced:
+    """The state of all chats after their batches; `before` is the state that they begin with, as an earlier call gave it, so that a replay can stop after any batch and go on.
 
     Rows of null chats are one chat. Of rows with equal batch and ordinal any order may hold. Chats in which a batch fails are folded again, once for
     each of their failed batches; all others once. Empty tables give empty ones.
     """
     spark = mutations.sparkSession
-    pending, failed, parts = mutations, None, []
+    pending, failed, parts, begun = mutations, None, [], before
     while True:
-        done = _kept(outcomes(pending, failed))
-        refs = _kept(referred_evidence(numbered_evidence(done)))
+        done = _kept(outcomes(pending, failed, begun and begun.records))
+        numbered = numbered_evidence(done)
+        refs = _kept(referred_evidence(numbered.unionByName(_places_of_evidence(begun)) if begun else numbered))
         first = _kept(refs.filter("failed is not null").groupBy("chat").agg(F.min("failed").alias("batch")))
         if first.isEmpty():
             parts.append((done, refs))
@@ -268,6 +285,7 @@ def transact(mutations: DataFrame) -> Reduced:
         again = lambda df, how: df.join(first.select(F.col("chat").alias("__chat")), F.col("chat").eqNullSafe(F.col("__chat")), how)  # noqa: B023, E731
         parts.append((again(done, "left_anti"), again(refs, "left_anti")))
         pending = again(pending, "left_semi")
+        begun = begun and Reduced(begun.outcomes, *(again(x, "left_semi") for x in (begun.records, begun.evidence)), begun.links)
         failed = first if failed is None else _kept(again(failed, "left_semi").unionByName(first))
     done, refs = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
     evidence = refs.filter("id is not null").select("chat", "record", "place", "id", "content")
@@ -275,7 +293,13 @@ def transact(mutations: DataFrame) -> Reduced:
     records = done.filter("fields is not null").select("chat", "record", "fields.*")
     both = records.withColumn("k", F.hash("chat")).join(ids.withColumnsRenamed({"chat": "c", "record": "r"}), F.col("chat").eqNullSafe(F.col("c")) & (F.col("record") == F.col("r")), "left").drop("k", "c", "r")
     both = both.withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
-    return Reduced(done.select("chat", "batch", "ordinal", "action", "record", "outcome"), both, evidence.select("chat", "record", "id", "content.*"), related_links(done))
+    links = related_links(done)
+    if before:
+        pair = lambda df: df.withColumns({"who": F.struct("chat"), "low": F.least("from", "to"), "high": F.greatest("from", "to")})
+        new = pair(links).join(pair(before.links).select("who", "low", "high"), ["who", "low", "high"], "left_anti")
+        links = before.links.unionByName(new.select(before.links.columns))
+    told = done.filter(F.col("outcome") != BEGUN).select("chat", "batch", "ordinal", "action", "record", "outcome")
+    return Reduced(told, both, evidence.select("chat", "record", "id", "content.*"), links)
 
 
 def _kept(df: DataFrame) -> DataFrame:
