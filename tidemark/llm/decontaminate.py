@@ -106,8 +106,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # At most 2^21 words of 64 bits, whatever the benchmark.
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
     slots = shingles.groupBy(F.shiftrightunsigned("sh", 70 - bits).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sh & 63 as int))")).alias("bits"))
-    for r in slots.collect():
-        bitmap[r.slot] = r.bits & (2**64 - 1)
+    found = slots.toArrow()  # 32 MB at most, as arrays
+    bitmap[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     scanned = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(bitmap, bits, sizes), f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, hits array<struct<at:int,sh:long,lo:int,around:string>>")
     rows = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
     hits = rows.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.*")
