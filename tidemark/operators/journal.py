@@ -30,14 +30,14 @@ def apply_undo(after: DataFrame, undo: DataFrame, key: str) -> DataFrame:
 
 
 def changelog(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """rows with before_value: the key's value before each row (null at first)."""
+    """rows with before_value, which replaces a column of that name: the key's value before each row (null at first). Rows at one place come in any order."""
     from pyspark.sql import Window
 
     return rows.withColumn("before_value", F.lag(value).over(Window.partitionBy(key).orderBy(order)))
 
 
 def state_as_of(log: DataFrame, key: str, order: str, value: str, at) -> DataFrame:  # noqa: ANN001
-    """(key, value) as of a point: the earliest before-image after it, else the newest value. Keys first seen later have none."""
+    """(key, value) as of a point: the earliest before-image after it, else the newest value. Keys first seen later have none. Of several changes at one place any one's image or value counts: give them places of their own."""
     later = F.col(order) > at
     first = F.min_by(F.struct(F.col("before_value").alias("v")), F.when(later, F.col(order)))
     found = log.groupBy(key).agg(first.alias("b"), F.max_by(value, order).alias("now"), F.max(later.cast("int")).alias("changed"), F.min(order).alias("born"))

@@ -78,7 +78,7 @@ def divergence(left: DataFrame, right: DataFrame, key: str = "fingerprint") -> D
 
 
 def exchanges(log: DataFrame) -> DataFrame:
-    """log with end_pos, the reply that ends a row's exchange: a reply and what came since the reply before. Rows after the last reply belong to none and go; system rows are no evidence and go too."""
+    """log with end_pos (which replaces a column of that name), the reply that ends a row's exchange: a reply and what came since the reply before. Rows after the last reply belong to none and go; system rows are no evidence and go too."""
     # From the newest row on, so that a row's frame is the one before it and one more.
     after = Window.partitionBy("chat").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = log.withColumn("end_pos", F.min(F.when(F.col("role") == "assistant", F.col("pos"))).over(after))
@@ -86,11 +86,12 @@ def exchanges(log: DataFrame) -> DataFrame:
 
 
 def exchange_windows(log: DataFrame) -> DataFrame:
+    """(chat, end_pos, start_pos, n_rows) of each exchange: where it ends and begins, and its rows but system ones."""
     return exchanges(log).groupBy("chat", "end_pos").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n_rows"))
 
 
 def newest_rows(log: DataFrame, most: int = 4) -> DataFrame:
-    """The newest rows of each exchange, with their rank from the newest."""
+    """The newest rows of each exchange, with their rank from the newest, which replaces a column of that name."""
     rank = F.row_number().over(Window.partitionBy("chat", "end_pos").orderBy(F.col("pos").desc()))
     return exchanges(log).withColumn("rank", rank).filter(F.col("rank") <= most)
 

@@ -19,7 +19,7 @@ def effective_places(base: DataFrame, own: DataFrame, fields: list[str]) -> Data
 
 
 def follow_merges(places: DataFrame, hops: int = 8) -> DataFrame:
-    """(id, final_id): where merged_into leads in so many steps."""
+    """(id, final_id): where merged_into leads in so many steps. Each id is there once: of a repeated one each way is followed."""
     out = places.select("id", F.coalesce("merged_into", "id").alias("final_id"))
     step = places.filter("merged_into is not null").select(F.col("id").alias("final_id"), F.col("merged_into").alias("next"))
     for _ in range(hops - 1):
@@ -42,7 +42,7 @@ def effective_routes(base: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def strongest_claims(claims: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Each key's claim with the strongest source (claims: authority, locked), the newest of equal ones, with its rank."""
+    """Each key's claim with the strongest source (claims: authority, locked), the newest of equal ones, with its rank, which replaces a column of that name."""
     from tidemark.functions.geometry import authority_rank
 
     ranked = claims.withColumn("rank", authority_rank(F.col("authority"), F.col("locked")))
@@ -87,4 +87,5 @@ def current_coordinates(effective: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def active_count(places: DataFrame) -> DataFrame:
+    """(n): how many places are active; one row, also for an empty table. Null statuses aren't."""
     return places.agg(F.count_if(F.col("status") == "active").alias("n"))
