@@ -146,3 +146,19 @@ def test_days_of_odd_rows(spark):
     found = days.accumulated(days.told_steps(log))
     assert [(r.chat, r.pos, r.fired_at, r.n_days) for r in found.collect()] == [(None, 2, 2, 2)]
     assert days.accumulated(days.told_steps(log.limit(0))).count() == 0
+
+
+def test_what_an_exchange_says_of_time(spark):
+    chats = {
+        1: [("user", "I ride."), ("assistant", "The next morning, the wagon rolls out."), ("user", "I ride on."), ("assistant", "A day later, the pass opens. Twenty minutes later the mules rest.")],
+        2: [("user", "I ride."), ("assistant", "The next morning, fog."), ("user", "I ride."), ("assistant", "Three weeks later, snow. An hour later, sun.")],
+        3: [("user", "I wait."), ("assistant", "An hour later, rain.")],
+        4: [("user", "I wait."), ("assistant", "Nothing.")],
+        5: [("user", "I ride."), ("assistant", "The next morning, fog."), ("user", "I ride."), ("assistant", "The following day, sun."), ("user", "I rest."), ("assistant", "Nothing moves.")],
+        None: [("assistant", "Two days later, dawn."), ("user", "An hour later I rise.")],
+    }
+    log = spark.createDataFrame([(c, k, r, t) for c, rows in chats.items() for k, (r, t) in enumerate(rows)], "chat long, pos int, role string, text string")
+    found = {r.chat: (r.kind, r["at"], r.amount, r.unit, r.meaningful) for r in days.continuity_hints(log).collect()}
+    assert found == {1: ("accumulated", 3, 2, "day", True), 2: ("explicit", 3, 3, "week", True), 3: ("explicit", 1, 1, "hour", False), None: ("explicit", 0, 2, "day", True)}
+    assert days.continuity_hints(log, spark.createDataFrame([(1, 1)], "chat long, since int")).filter("chat = 1").first().kind == "explicit"
+    assert days.continuity_hints(log.limit(0)).count() == 0

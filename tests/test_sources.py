@@ -61,3 +61,29 @@ def test_a_writer_that_died(spark, tmp_path):
     assert bundles.swap_bundle(rows, at, "me", 0) == 1
     bundles.abandon(spark, at, 1)
     assert bundles.read_bundle(spark, at, "me", 1).count() == 3
+
+
+def test_evaluations_of_replies(spark):
+    from tidemark.sources.envelopes import parse_evaluations
+
+    sound = {"recordId": " r ", "outcome": "Stable", "reason": "calm", "supportIds": ["a", " a ", "", "b"], "summary": "ignored", "trend": "rising"}
+    rows = [
+        sound, {**sound, "outcome": "update", "summary": " ", "trend": "odd", "anchors": []}, {**sound, "outcome": "update", "trend": None, "summary": None, "anchors": ["x", "x"]}, {**sound, "outcome": "resolve", "summary": None}, {**sound, "outcome": "supersede"}, None,
+    ]
+    other = [{"outcome": "stable", "reason": "x"}, {"recordId": "r", "outcome": "grow", "reason": "x"}, {"recordId": "r", "outcome": "stable", "reason": " "}]
+    derived = {"summary": "New", "reason": "so", "causeRecordIds": ["1", "2", "3", "4", "5"], "anchors": None, "trend": "falling"}
+    texts = [
+        (1, "```json\n" + json.dumps({"evaluations": rows, "derived": [derived]}) + "\n```"), (2, json.dumps({"evaluations": other, "derived": None})), (3, json.dumps({"evaluations": [], "derived": [{"summary": "New"}]})), (4, json.dumps({"evaluations": [sound] * 7})),
+        (5, json.dumps({"evaluations": [], "derived": [derived] * 2})), (6, "Here: {}"), (7, "{}"), (8, None), (9, '{"evaluations": ['), (10, json.dumps({"evaluations": []})),
+    ]
+    found = parse_evaluations(spark.createDataFrame(texts, "id long, reply string"))
+    assert {(r.id, r.section, r.ordinal): r.reason for r in found.collect()} == {
+        (1, "evaluations", 0): None, (1, "evaluations", 1): "nothing to update", (1, "evaluations", 2): None, (1, "evaluations", 3): "needs a summary", (1, "evaluations", 4): None, (1, "evaluations", 5): "no object", (1, "derived", 0): None,
+        (2, "evaluations", 0): "needs a record", (2, "evaluations", 1): "unsupported outcome", (2, "evaluations", 2): "needs a reason", (3, "derived", 0): "needs summary and reason", (4, None, -1): "too many evaluations", (5, None, -1): "too many derived",
+        **{(i, None, -1): "not one object with evaluations" for i in (6, 7, 8, 9)},
+    }
+    own = {(r.section, r.ordinal): r for r in found.filter("id = 1").collect()}
+    first, second, new = own["evaluations", 0], own["evaluations", 2], own["derived", 0]
+    assert (first.record, first.outcome, first.summary, first.trend, first.anchors, first.supports) == ("r", "stable", None, None, None, ["a", "b"])
+    assert (second.anchors, second.summary) == (["x"], None) and (new.causes, new.trend, new.anchors) == (["1", "2", "3", "4"], "falling", [])
+    assert parse_evaluations(spark.createDataFrame([], "id long, reply string")).count() == 0

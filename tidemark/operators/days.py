@@ -57,3 +57,23 @@ def accumulated(steps: DataFrame, since: DataFrame | None = None, lookback: int
     fired = F.aggregate("near", F.expr(_START), _walk(threshold), lambda s: s["fired"])
     done = rows.select("chat", "pos", fired.alias("fired")).filter("fired is not null").distinct()
     return done.select("chat", "pos", F.element_at("fired", -1).alias("fired_at"), F.size("fired").cast("long").alias("n_days"))
+
+
+def continuity_hints(log: DataFrame, since: DataFrame | None = None, most: int = 4, lookback: int = 40, threshold: int = 2) -> DataFrame:
+    """(chat, kind, at, amount, unit, meaningful): what each chat's newest exchange, of `most` rows at most, says of time that has passed.
+
+    explicit: a meaningful skip that it tells outright, the newest. Else accumulated: the day's steps that have added up, if they did so within the exchange. Else the newest
+    explicit phrase, though it isn't meaningful. Chats whose exchange says nothing have no row. log: chat, pos, role, text; since: (chat, since), where days were last counted.
+    """
+    from tidemark.operators.log import newest_rows
+
+    last = log.filter("role = 'assistant'").groupBy(F.struct("chat").alias("who")).agg(F.max("pos").alias("end_pos"))
+    rows = newest_rows(log, most).withColumn("who", F.struct("chat")).join(last, ["who", "end_pos"]).select("who", "pos", "text", "role")
+    told = rows.select("who", "pos", F.posexplode(elapsed.established(sanitized(F.col("text"), F.col("role")))).alias("k", "p"))
+    explicit = told.groupBy("who").agg(F.max(F.struct(F.col("p.meaningful").alias("m"), "pos", "k", F.col("p.amount").alias("amount"), F.col("p.unit").alias("unit"))).alias("e"))
+    window = rows.groupBy("who").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    added = accumulated(told_steps(log), since, lookback, threshold).select(F.struct("chat").alias("who"), F.col("pos").alias("last"), "fired_at", "n_days")
+    days_ = window.join(added, ["who", "last"]).filter(F.col("fired_at") >= F.col("first")).select("who", "fired_at", "n_days")
+    both = window.join(explicit, "who", "left").join(days_, "who", "left").withColumn("by_days", ~F.coalesce("e.m", F.lit(False)) & F.col("fired_at").isNotNull()).filter(F.col("e").isNotNull() | F.col("by_days"))
+    pick = lambda a, b: F.when(F.col("by_days"), a).otherwise(b)
+    return both.select("who.chat", pick(F.lit("accumulated"), F.lit("explicit")).alias("kind"), pick(F.col("fired_at"), F.col("e.pos").cast("long")).alias("at"), pick(F.col("n_days"), F.col("e.amount").cast("long")).alias("amount"), pick(F.lit("day"), F.col("e.unit")).alias("unit"), pick(F.lit(True), F.col("e.m")).alias("meaningful"))

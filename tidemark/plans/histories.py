@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import lexical, narrative, placing
 from tidemark.operators import days, derivation, derived, rendering, restore, transactions
 from tidemark.plans.catalogue import messages, query, read
+from tidemark.sources import envelopes
 
 
 @query(f"""with e as (select *, event_id // 6 as batch, case when event_id % 7 < 3 then 'create' when event_id % 7 = 6 then 'resolve' else 'update' end as action, (event_id // 6) % 11 = 3 as refused from events),
@@ -227,3 +228,32 @@ def places_told(spark, d):
     rows = read(spark, d, "part").select(k.alias("id"), text.alias("text"), first.alias("a"), second.alias("b"))
     told = rows.select("id", placing.points_given(F.col("text"), F.col("a")).alias("p"), placing.directions_given(F.col("text"), F.col("a"), F.col("b")).alias("d"))
     return told.select("id", F.get("p", F.lit(0))["x"].cast("long").alias("x"), F.get("p", F.lit(0))["y"].cast("long").alias("y"), F.array_join("d", ",").alias("direction"))
+
+
+#: Rows of replies, and why each isn't taken (none: it is).
+_EVALUATED = (
+    ('{"recordId":"r","outcome":"Stable","reason":"calm"}', None), ('{"recordId":"r","outcome":"update","reason":"so"}', "nothing to update"), ('{"recordId":"r","outcome":"update","reason":"so","trend":"rising"}', None), ('{"recordId":"r","outcome":"resolve","reason":"so"}', "needs a summary"),
+    ('{"outcome":"stable","reason":"so"}', "needs a record"), ('{"recordId":"r","outcome":"grow","reason":"so"}', "unsupported outcome"), ('{"recordId":"r","outcome":"stable"}', "needs a reason"), ("null", "no object"),
+)
+_EVALUATED_SQL = ", ".join(f"({k}, {'null' if r is None else repr(r)})" for k, (_, r) in enumerate(_EVALUATED))
+
+
+@query(f"""with v(k, reason) as (values {_EVALUATED_SQL}), o as (select o_orderkey as id, cast(1 + o_orderkey % 7 as int) as n, o_orderkey % 5 as d from orders), e as (select id, unnest(range(0, n)) as ordinal from o where n <= 6 and d < 3)
+select id, 'evaluations' as section, cast(ordinal as int) as ordinal, reason from e join v on k = (id + ordinal * 3) % {len(_EVALUATED)} union all select id, 'derived', 0, case when d = 1 then 'needs summary and reason' end from o where n <= 6 and d in (1, 2)
+union all select id, null, -1, case when n > 6 then 'too many evaluations' else 'too many derived' end from o where n > 6 or d >= 3""")
+def evaluations_checked(spark, d):
+    """Replies of one to seven evaluations and up to two derived developments, some in a code fence."""
+    k = F.col("o_orderkey")
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), k % 7), lambda i: F.element_at(lexical.listed(tuple(r[0] for r in _EVALUATED)), (1 + (k + i * 3) % len(_EVALUATED)).cast("int")))
+    new = F.element_at(lexical.listed(("null", '[{"summary":"S"}]', '[{"summary":"S","reason":"so"}]', '[{"summary":"S","reason":"so"},{}]', "[{},{}]")), (1 + k % 5).cast("int"))
+    body = F.concat(F.lit('{"evaluations":['), F.array_join(rows, ","), F.lit('],"derived":'), new, F.lit("}"))
+    reply = F.when(k % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return envelopes.parse_evaluations(read(spark, d, "orders").select(k.alias("id"), reply.alias("reply"))).select("id", "section", "ordinal", "reason")
+
+
+@query()
+def time_told(spark, d):
+    """What the newest exchange of each conversation says of time, in turns with a phrase each; held against cases made by hand, as SQL has it only for days_added and newest_elapsed."""
+    told = F.element_at(lexical.listed(tuple(x[0] for x in _DAYS)), (1 + (F.col("chat") * 5 + F.col("pos") * (F.col("chat") % 4 + 1)) % len(_DAYS)).cast("int"))
+    log = messages(spark, d).withColumn("text", F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), told))
+    return days.continuity_hints(log).withColumnRenamed("chat", "conv_id")

@@ -52,3 +52,46 @@ def parse_replies(replies: DataFrame, id_col: str = "id", text_col: str = "reply
     )
     good = rows.select("id", "ordinal", reason.alias("reason"), "action", kind.alias("kind"), F.col("recordId").alias("record"), summary.alias("summary"), "status", "trend", F.col("timeAnchor").alias("time_anchor"), F.col("newEpisodeOfRecordId").alias("episode_of"), "anchors", F.transform(pieces, lambda e: F.struct(e["sourceMessageId"].alias("message"), bounded_excerpt(e["claim"], CLAIM_CHARS).alias("claim"))).alias("evidence"), repairs.alias("repairs"))
     return good.unionByName(bad, allowMissingColumns=True)
+
+
+#: Evaluations, derived developments and supports of a reply, causes of a development, and characters of texts.
+EVALUATIONS, DERIVED, SUPPORTS, CAUSES, WHY_CHARS, SUMMARY_CHARS, ANCHORS, NAME_CHARS = 6, 1, 8, 4, 500, 700, 20, 120
+OUTCOMES, TRENDS = ("stable", "update", "resolve", "supersede"), ("rising", "stable", "falling")
+_EVALUATION = "struct<recordId: string, outcome: string, reason: string, supportIds: array<string>, summary: string, trend: string, anchors: array<string>, causeRecordIds: array<string>>"
+
+
+def parse_evaluations(replies: DataFrame, id_col: str = "id", text_col: str = "reply") -> DataFrame:
+    """(id, section, ordinal, reason, record, outcome, why, summary, trend, anchors, supports, causes): the evaluations and derived developments of replies.
+
+    reason says why a row, or a whole reply (ordinal -1), isn't taken, null if it is. A reply is one JSON object, perhaps in a code fence, with at most six evaluations and one
+    derived development. Outcomes count in any case; an unknown trend and empty anchors mean that nothing is said of them; of a stable record only the supports
+    are kept. Absent and null fields are the same, and so are lists that are no lists. Null replies are refused; equal ids are replies of their own.
+    """
+    own = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    body = F.regexp_extract(own, r"(?s)^(?:```(?:json)?\s*)?(\{.*\})(?:\s*```)?$", 1)
+    parsed = replies.select(F.col(id_col).alias("id"), F.from_json(body, f"evaluations array<{_EVALUATION}>, derived array<{_EVALUATION}>, damaged string", {"columnNameOfCorruptRecord": "damaged"}).alias("p"))
+    fault = F.when(F.col("p").isNull() | F.col("p.damaged").isNotNull() | F.col("p.evaluations").isNull(), "not one object with evaluations").when(F.size("p.evaluations") > EVALUATIONS, "too many evaluations").when(F.coalesce(F.size("p.derived"), F.lit(0)) > DERIVED, "too many derived")
+    judged = parsed.withColumn("fault", fault)
+    text = lambda c, most: F.nullif(F.trim(F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, most)), F.lit(""))
+    listed = lambda c, most: F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(F.substring(F.trim(F.coalesce(x, F.lit(""))), 1, NAME_CHARS))), lambda x: x != "")), 1, most)
+    rows = [judged.filter("fault is null").select("id", F.lit(section).alias("section"), F.posexplode(f"p.{section}").alias("ordinal", "e")) for section in ("evaluations", "derived")]
+    each = rows[0].unionByName(rows[1])
+    evaluation, outcome = F.col("section") == "evaluations", F.lower(text("e.outcome", 24))
+    changes = evaluation & (outcome != "stable")
+    fields = each.select(
+        "id", "section", "ordinal", F.col("e").isNull().alias("none"), F.when(evaluation, text("e.recordId", NAME_CHARS)).alias("record"), F.when(evaluation, outcome).alias("outcome"), text("e.reason", WHY_CHARS).alias("why"), F.when(changes | ~evaluation, text("e.summary", SUMMARY_CHARS)).alias("summary"),
+        F.when((changes | ~evaluation) & F.col("e.trend").isin(*TRENDS), F.col("e.trend")).alias("trend"), F.when(changes | ~evaluation, F.filter(listed("e.anchors", ANCHORS), lambda x: x != "")).alias("anchors"), listed("e.supportIds", SUPPORTS).alias("supports"), F.when(~evaluation, listed("e.causeRecordIds", CAUSES)).alias("causes"),
+    ).withColumn("anchors", F.when((F.col("section") == "evaluations") & (F.size("anchors") == 0), F.lit(None)).otherwise(F.col("anchors")))
+    of = F.col("section") == "evaluations"
+    reason = (
+        F.when(F.col("none"), "no object")
+        .when(of & F.col("record").isNull(), "needs a record")
+        .when(of & ~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False)), "unsupported outcome")
+        .when(of & F.col("why").isNull(), "needs a reason")
+        .when(~of & (F.col("summary").isNull() | F.col("why").isNull()), "needs summary and reason")
+        .when(of & F.col("outcome").isin("resolve", "supersede") & F.col("summary").isNull(), "needs a summary")
+        .when(of & (F.col("outcome") == "update") & F.col("summary").isNull() & F.col("trend").isNull() & F.col("anchors").isNull(), "nothing to update")
+    )
+    good = fields.select("id", "section", "ordinal", reason.alias("reason"), "record", "outcome", "why", "summary", "trend", "anchors", "supports", "causes")
+    bad = judged.filter("fault is not null").select("id", F.lit(None).cast("string").alias("section"), F.lit(-1).alias("ordinal"), F.col("fault").alias("reason"))
+    return good.unionByName(bad, allowMissingColumns=True)
