@@ -23,3 +23,12 @@ def test_pools_are_counted_without_broadcasts(spark):
     assert _broadcasts(counts) == 0
     want = consolidation.pool(own.filter("id < 30"), own).groupBy("candidate_id").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"))
     assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in want.collect()} and counts.count() == 30
+
+
+def test_decisions_without_broadcasts(spark):
+    own = _statements(spark)
+    new = own.select(F.col("id") + 100, F.when(F.col("id") % 2 == 0, F.col("kind")).alias("kind"), "summary", "anchors").toDF("id", "kind", "summary", "anchors")
+    found = consolidation.decide(new, own)
+    assert _broadcasts(found) == 0
+    rows = {r.candidate_id: r.decision for r in found.collect()}
+    assert len(rows) == 60 and all(rows[100 + k] == ("update" if k % 2 == 0 else "create") for k in range(60))
