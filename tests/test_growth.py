@@ -32,3 +32,28 @@ def test_decisions_without_broadcasts(spark):
     assert _broadcasts(found) == 0
     rows = {r.candidate_id: r.decision for r in found.collect()}
     assert len(rows) == 60 and all(rows[100 + k] == ("update" if k % 2 == 0 else "create") for k in range(60))
+
+
+def test_places_of_a_name_share_its_mentions(spark):
+    from tidemark.operators import views
+
+    n = 3000
+    places = spark.range(n).select("id", F.lit("old mill").alias("name"))
+    records = spark.range(n).select("id", F.lit("active").alias("status"), F.col("id").alias("changed"), F.lit("by the old mill").alias("summary"), F.array().cast("array<string>").alias("anchors"))
+    found = views.place_mentions(places, records)
+    rows = found.groupBy("place_id").agg(F.count("*").alias("k"), F.min("id").alias("low"), F.min("total").alias("total")).collect()
+    assert len(rows) == n and {(r.k, r.low, r.total) for r in rows} == {(6, n - 6, n)}
+    sent = found._jdf.queryExecution().executedPlan()
+    assert _most_rows(sent) <= 6 * n
+
+
+def _most_rows(plan) -> int:
+    """The most rows that any step of a plan that ran made."""
+    own = [plan.metrics().get("numOutputRows").get().value()] if plan.metrics().contains("numOutputRows") else []
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    elif name.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    return max([*own, *map(_most_rows, below), 0])

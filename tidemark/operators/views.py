@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import canonical_text, on_word_boundaries, words
+from tidemark.operators.shared import shuffled
 
 
 def state_summary(records: DataFrame) -> DataFrame:
@@ -54,24 +55,26 @@ def relations(records: DataFrame, links: DataFrame, most: int = 24) -> DataFrame
 def place_mentions(places: DataFrame, records: DataFrame, most: int = 6) -> DataFrame:
     """(place_id, rank, id, total): records with the place's name as an anchor or, from four characters on, in their summary as whole words.
 
-    Active ones first, then those changed last, then by id. Names of two characters and fewer are never mentioned. Records meet names by the
-    name's rarest word, and texts are fetched for records that have it: a common word in a name brings nothing together.
+    Active ones first, then those changed last, then by id. Names of two characters and fewer are never mentioned. Different texts meet different names by the
+    name's rarest word: a common word in a name brings nothing together. Places of a name share its mentions, which are ranked once.
     """
     named = places.select(F.col("id").alias("place_id"), canonical_text(F.col("name")).alias("name")).filter(F.length("name") >= 3)
-    by_anchor = records.select("id", F.explode(F.transform("anchors", canonical_text)).alias("name")).distinct().join(named, "name").select("place_id", "id")
+    names = named.select("name").distinct()
+    by_anchor = records.select("id", F.explode(F.transform("anchors", canonical_text)).alias("name")).distinct().join(shuffled(names), "name", "left_semi")
     said = records.select("id", canonical_text(F.col("summary")).alias("said"))
-    names = named.filter(F.length("name") >= 4).select("name").distinct()
-    parts = names.select("name", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
-    having = said.select("id", F.explode(F.array_distinct(words(F.col("said")))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
+    texts = said.select("said").distinct()
+    parts = names.filter(F.length("name") >= 4).select("name", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
+    having = texts.select("said", F.explode(F.array_distinct(words(F.col("said")))).alias("word")).join(shuffled(parts.select("word").distinct()), "word", "left_semi")
     rarity = having.groupBy("word").agg(F.count("*").alias("df"))
     # A name with a word that no record has is in none.
-    rarest = parts.join(rarity, "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w")).filter("w.df > 0").select("name", F.col("w.word").alias("word"))
-    met = having.join(rarest, "word").select("id", "name").distinct().join(said, "id").filter(on_word_boundaries(F.col("said"), F.col("name")))
-    by_text = met.select("id", "name").join(named, "name").select("place_id", "id")
-    found = by_anchor.unionByName(by_text).distinct().join(records.select("id", "status", "changed"), "id")
-    order = Window.partitionBy("place_id").orderBy((F.col("status") == "active").desc(), F.coalesce("changed", F.lit(-1)).desc(), "id")
-    ranked = found.withColumns({"rank": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("place_id"))})
-    return ranked.filter(F.col("rank") <= most).select("place_id", "rank", "id", "total")
+    rarest = parts.join(shuffled(rarity), "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("w")).filter("w.df > 0").select("name", F.col("w.word").alias("word"))
+    met = having.join(shuffled(rarest), "word").filter(on_word_boundaries(F.col("said"), F.col("name"))).select("said", "name").distinct()
+    by_text = said.join(shuffled(met), "said").select("id", "name")
+    found = by_anchor.select("id", "name").unionByName(by_text).distinct().join(shuffled(records.select("id", "status", "changed")), "id")
+    order = Window.partitionBy("name").orderBy((F.col("status") == "active").desc(), F.coalesce("changed", F.lit(-1)).desc(), "id")
+    first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    ranked = first.join(shuffled(found.groupBy("name").agg(F.count("*").alias("total"))), "name")
+    return shuffled(named).join(ranked, "name").select("place_id", "rank", "id", "total")
 
 
 def name_ancestors(places: DataFrame, deepest: int = 8) -> DataFrame:
