@@ -57,3 +57,14 @@ def _most_rows(plan) -> int:
     elif name.endswith("QueryStageExec"):
         below = [plan.plan()]
     return max([*own, *map(_most_rows, below), 0])
+
+
+def test_episodes_of_copies_are_counted_by_statement(spark):
+    own = _statements(spark).unionByName(_statements(spark).withColumn("id", F.col("id") + 1000)).withColumn("anchors", F.array(F.lit("North Gate"), F.lit("x")))
+    new = own.filter("id % 7 = 1").unionByName(own.limit(1).withColumn("kind", F.lit("rumour")))
+    counts = consolidation.episode_counts(new, own)
+    left = new.toDF("candidate_id", "kind", "status", "s", "a").drop("status")
+    score = F.round(consolidation.similarity(F.col("s"), F.col("summary"), F.col("a"), F.col("anchors")), 9)
+    fits = lambda b: F.count_if(consolidation.new_episode_related(score, F.col("s"), F.col("summary"), F.col("a"), F.col("anchors"), 0.55, b))
+    want = left.join(own, "kind").groupBy("candidate_id").agg(fits(False).alias("related"), fits(True).alias("beyond"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
