@@ -68,3 +68,19 @@ def test_episodes_of_copies_are_counted_by_statement(spark):
     fits = lambda b: F.count_if(consolidation.new_episode_related(score, F.col("s"), F.col("summary"), F.col("a"), F.col("anchors"), 0.55, b))
     want = left.join(own, "kind").groupBy("candidate_id").agg(fits(False).alias("related"), fits(True).alias("beyond"))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _seconds(make) -> float:
+    import time
+
+    began = time.time()
+    make().write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_phrases_of_a_long_text_are_counted_in_linear_time(spark):
+    from tidemark.functions import text
+
+    own = spark.createDataFrame([(" ".join(f"w{i}" for i in range(6000)),)] * 2, "text string")
+    counts = own.select(F.size(text.phrases(text.canonical_text(F.col("text")))).alias("n"))
+    assert _seconds(lambda: counts) < 8 and {r.n for r in counts.collect()} == {6 * 6000 - 15}
