@@ -78,6 +78,14 @@ def _seconds(make) -> float:
     return time.time() - began
 
 
+def test_phrases_of_a_long_text_are_linear(spark):
+    from tidemark.functions import lexical, text
+
+    own = spark.createDataFrame([(" ".join(f"w{i}" for i in range(6000)),)] * 2, "text string")
+    lists = own.select(lexical.phrase_candidates(F.col("text")).alias("p"))
+    assert _seconds(lambda: lists) < 8 and [len(r.p) for r in lists.collect()] == [384, 384]
+
+
 def test_phrases_of_a_long_text_are_counted_in_linear_time(spark):
     from tidemark.functions import text
 
