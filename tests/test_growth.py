@@ -92,3 +92,11 @@ def test_phrases_of_a_long_text_are_counted_in_linear_time(spark):
     own = spark.createDataFrame([(" ".join(f"w{i}" for i in range(6000)),)] * 2, "text string")
     counts = own.select(F.size(text.phrases(text.canonical_text(F.col("text")))).alias("n"))
     assert _seconds(lambda: counts) < 8 and {r.n for r in counts.collect()} == {6 * 6000 - 15}
+
+
+def test_excerpts_end_where_the_text_does_not_a_line(spark):
+    from tidemark.functions import lexical
+
+    head = "a " * 50 + "b" * 19 + "\n"
+    rows = spark.createDataFrame([(head + "next words follow",), ("x" * 119 + "\nnext",)], "text string").select(lexical.bounded_excerpt(F.col("text"), 120).alias("e")).collect()
+    assert [r.e for r in rows] == [head, "x" * 119 + "\n"]
