@@ -100,3 +100,14 @@ def test_excerpts_end_where_the_text_does_not_a_line(spark):
     head = "a " * 50 + "b" * 19 + "\n"
     rows = spark.createDataFrame([(head + "next words follow",), ("x" * 119 + "\nnext",)], "text string").select(lexical.bounded_excerpt(F.col("text"), 120).alias("e")).collect()
     assert [r.e for r in rows] == [head, "x" * 119 + "\n"]
+
+
+def test_claims_are_read_once(spark):
+    """A claim is stated by several sentences of a text: its canonical form isn't worked out again at each."""
+    from tidemark.operators import admission
+
+    text = " ".join(["The scout reports that the old bridge fell at dawn."] * 300)
+    rows = spark.range(40).select("id", F.lit("the old bridge fell at dawn").alias("claim"), F.lit(text).alias("text"), F.lit("").alias("focus"))
+    found = admission.evidence_status(rows)
+    took = _seconds(lambda: found)
+    assert took < 30 and {(r.reported, r.attributed) for r in found.collect()} == {(True, True)}, took

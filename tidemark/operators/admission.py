@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexical, speech, wording
+from tidemark.functions.text import canonical_text
 
 #: The rules in order; the first that fails is the reason.
 REASONS = (
@@ -26,11 +27,11 @@ def evidence_status(evidence: DataFrame) -> DataFrame:
     names = ("sentences__", "lines__", "parts__")
     read = read.withColumns({f"{c}told__": speech.read_pieces(F.col(c)) for c in names}).withColumn("quoted__", speech.words_in_quotes_only(F.col("quotations__"), F.col("narration__")))
     sentences, lines, parts = (speech.with_facts(F.col(c), F.col(f"{c}told__")) for c in names)
-    read = read.withColumns({"sentences__": sentences, "lines__": lines, "parts__": parts})
-    source = speech.Source(text, F.col("sentences__"), F.col("lines__"), F.col("quotations__"), F.col("narration__"), F.col("quoted__"))
+    read = read.withColumns({"sentences__": sentences, "lines__": lines, "parts__": parts, "canon__": canonical_text(text), "quotations__": F.transform("quotations__", canonical_text), "narration__": canonical_text(F.col("narration__"))})
+    source = speech.Source(F.col("canon__"), F.col("sentences__"), F.col("lines__"), F.col("quotations__"), F.col("narration__"), F.col("quoted__"))
     told = read.withColumn("reported", F.forall("parts__", lambda p: speech.reported(p, source)))
     planned = F.forall("parts__", lambda p: speech.prospective(p, source))
-    return told.withColumn("attributed", F.col("reported") | planned).drop(*names, *(f"{c}told__" for c in names), "quotations__", "narration__", "quoted__")
+    return told.withColumn("attributed", F.col("reported") | planned).drop(*names, *(f"{c}told__" for c in names), "quotations__", "narration__", "quoted__", "canon__")
 
 
 def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, records: DataFrame) -> DataFrame:
