@@ -111,3 +111,9 @@ def test_claims_are_read_once(spark):
     found = admission.evidence_status(rows)
     took = _seconds(lambda: found)
     assert took < 30 and {(r.reported, r.attributed) for r in found.collect()} == {(True, True)}, took
+
+
+def test_proposals_meet_records_without_broadcasts(spark):
+    from tidemark.plans import speech
+
+    assert _broadcasts(speech.admission_gate(spark, "/root/testdata/sf0.001")) == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexical, speech, wording
 from tidemark.functions.text import canonical_text
+from tidemark.operators.shared import shuffled
 
 #: The rules in order; the first that fails is the reason.
 REASONS = (
@@ -47,12 +48,12 @@ def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, rec
     """
     known = records.select(F.col("id").alias("record_id"), F.col("status").alias("r_status"), F.col("summary").alias("r_summary"), F.coalesce("anchors", F.array().cast("array<string>")).alias("r_anchors"), F.lit(True).alias("known"))
     prior = records.select(F.col("id").alias("episode_of"), F.col("status").alias("e_status"))
-    own = proposals.join(known, "record_id", "left").join(prior, "episode_of", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    own = proposals.join(shuffled(known), "record_id", "left").join(shuffled(prior), "episode_of", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     own = own.withColumn("assertion", F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.coalesce("r_summary", F.lit(""))))
 
-    cited = evidence.select("proposal_id", "place", "message_id", "claim").join(messages.select("message_id", "role", "text"), "message_id", "left")
+    cited = evidence.select("proposal_id", "place", "message_id", "claim").join(shuffled(messages.select("message_id", "role", "text")), "message_id", "left")
     cited = cited.withColumns({"from_exchange": F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)), "grounded": speech.grounded(F.col("claim"), F.col("text"))})
-    both = evidence_status(cited.join(own.select("proposal_id", "assertion", "summary", "anchors", "r_summary", "r_anchors", "known"), "proposal_id").withColumn("focus", F.col("assertion")))
+    both = evidence_status(cited.join(shuffled(own.select("proposal_id", "assertion", "summary", "anchors", "r_summary", "r_anchors", "known")), "proposal_id").withColumn("focus", F.col("assertion")))
     claim, none = F.col("claim"), F.array().cast("array<string>")
     both = both.withColumns(
         {
@@ -70,8 +71,8 @@ def admitted(proposals: DataFrame, evidence: DataFrame, messages: DataFrame, rec
         among(F.col("opposes")).alias("opposed"), among(F.col("continues")).alias("goes_on"), among(F.col("attributed")).alias("all_attributed"), among(~F.col("reported")).alias("plans_only"), F.lit(True).alias("cited"),
     )
     anchors = both.select("proposal_id", F.explode("kept").alias("anchor")).groupBy("proposal_id").agg(F.collect_set("anchor").alias("supported_anchors"))
-    missing = own.select("proposal_id", F.explode("related").alias("record_id")).join(known.select("record_id"), "record_id", "left_anti").select("proposal_id").distinct().withColumn("unrelated", F.lit(True))
-    all_ = own.join(flags, "proposal_id", "left").join(anchors, "proposal_id", "left").join(missing, "proposal_id", "left")
+    missing = own.select("proposal_id", F.explode("related").alias("record_id")).join(shuffled(known.select("record_id")), "record_id", "left_anti").select("proposal_id").distinct().withColumn("unrelated", F.lit(True))
+    all_ = own.join(shuffled(flags), "proposal_id", "left").join(shuffled(anchors), "proposal_id", "left").join(shuffled(missing), "proposal_id", "left")
 
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     said = F.coalesce("summary", F.lit("")) != ""
