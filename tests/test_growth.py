@@ -117,3 +117,39 @@ def test_proposals_meet_records_without_broadcasts(spark):
     from tidemark.plans import speech
 
     assert _broadcasts(speech.admission_gate(spark, "/root/testdata/sf0.001")) == 0
+
+
+def _broadcast_rounds(monkeypatch, module, make) -> int:
+    """Broadcasts in the plans that a function's rounds cut."""
+    from tidemark.operators import shared
+
+    n = []
+
+    def cut(df):
+        df.collect()
+        n.append(_broadcasts(df))
+        return shared.cut(df)
+
+    monkeypatch.setattr(module, "cut", cut)
+    make()
+    return sum(n)
+
+
+def test_causes_close_without_broadcasts(spark, monkeypatch):
+    from tidemark.operators import derived
+
+    rows = spark.range(1, 40).select("id", F.array(F.floor(F.col("id") / 2)).alias("caused_by")).filter("id > 1")
+    assert _broadcast_rounds(monkeypatch, derived, lambda: derived.all_causes(rows).count()) == 0
+
+
+def test_known_points_are_not_broadcast(spark, monkeypatch):
+    from tidemark.operators import derivation, shared
+
+    monkeypatch.setattr(shared, "FEW", 0)
+    k = F.col("id")
+    at = F.when(k < 1, 0.0)
+    places = spark.range(40).select("id", at.alias("x"), at.alias("y"), F.lit("base_canonical").alias("authority"), F.lit(False).alias("locked"))
+    relations = spark.range(1, 40).select(F.floor(k / 3).cast("long").alias("from"), k.alias("to"), F.lit("north").alias("direction"), F.lit(1.0).alias("km"))
+    found = []
+    assert _broadcast_rounds(monkeypatch, derivation, lambda: found.extend(derivation.derived_points(places, relations).collect())) == 0
+    assert len(found) == 40 and max(r.depth for r in found) == 4

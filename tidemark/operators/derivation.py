@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import COMPASS, authority_rank, canonical_direction, derive_point, direction_from_delta
-from tidemark.operators.shared import cut
+from tidemark.operators.shared import cut, of_round, shuffled
 
 
 def opposite(direction: Column) -> Column:
@@ -26,19 +26,21 @@ def derived_points(places: DataFrame, relations: DataFrame, unit_km: float = 1.0
     own = places.select("id", "x", "y", authority_rank(F.col("authority"), F.coalesce("locked", F.lit(False))).alias("rank"))
     found = own.filter("x is not null and y is not null").select("id", "x", "y", "rank", F.lit(0).alias("depth"), F.lit(None).cast(places.schema["id"].dataType).alias("via"))
     ways = relations.select("from", "to", canonical_direction(F.col("direction")).alias("direction"), "km").filter("`from` <> `to`")
-    both = cut(ways.unionByName(ways.select(F.col("to").alias("from"), F.col("from").alias("to"), opposite(F.col("direction")).alias("direction"), "km")).join(own.select(F.col("id").alias("to")), "to", "left_semi"))
+    both = cut(ways.unionByName(ways.select(F.col("to").alias("from"), F.col("from").alias("to"), opposite(F.col("direction")).alias("direction"), "km")).join(shuffled(own.select(F.col("id").alias("to"))), "to", "left_semi"))
     known = frontier = cut(found)
+    n = frontier.count()
     for k in range(1, rounds + 2):
-        met = both.join(frontier.select(F.col("id").alias("from"), "x", "y", "rank"), "from")
+        met = both.join(of_round(frontier.select(F.col("id").alias("from"), "x", "y", "rank"), n), "from")
         x, y = derive_point(F.col("x"), F.col("y"), F.col("direction"), F.col("km"), unit_km, step, bounds)
-        new = met.select(F.col("to").alias("id"), x.alias("x"), y.alias("y"), "rank", F.col("from").alias("via")).filter("x is not null and y is not null").join(known.select("id"), "id", "left_anti")
+        new = met.select(F.col("to").alias("id"), x.alias("x"), y.alias("y"), "rank", F.col("from").alias("via")).filter("x is not null and y is not null").join(shuffled(known.select("id")), "id", "left_anti")
         best = new.groupBy("id").agg(F.min(F.struct((-F.col("rank")).alias("r"), "via", "x", "y")).alias("b"))
         frontier = cut(best.select("id", "b.x", "b.y", F.lit(0).alias("rank"), F.lit(k).alias("depth"), "b.via"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             return known.select("id", "x", "y", "depth", "via")
         if k > rounds:
             break
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     raise ValueError(f"points still spread after {rounds} rounds")
 
 
