@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexical, wording
 from tidemark.operators import consolidation
-from tidemark.operators.shared import cut
+from tidemark.operators.shared import cut, shuffled
 
 #: The rules in order; the first that fails is the reason.
 REASONS = ("causes are no targets", "unknown support", "support of no cause", "cause without support", "too few causes", "no causal support", "only hearsay", "already there", "was there before")
@@ -75,9 +75,9 @@ def all_causes(records: DataFrame, rounds: int = 64) -> DataFrame:
     steps = cut(records.select("id", F.explode("caused_by").alias("cause")).filter("id <> cause").distinct())
     known = frontier = cut(steps.withColumn("depth", F.lit(1)))
     for k in range(2, rounds + 2):
-        on = frontier.select("id", F.col("cause").alias("mid")).join(steps.select(F.col("id").alias("mid"), "cause"), "mid").filter("id <> cause").select("id", "cause").distinct()
-        frontier = cut(on.join(known.select("id", "cause"), ["id", "cause"], "left_anti").withColumn("depth", F.lit(k)))
+        on = frontier.select("id", F.col("cause").alias("mid")).join(shuffled(steps.select(F.col("id").alias("mid"), "cause")), "mid").filter("id <> cause").select("id", "cause").distinct()
+        frontier = cut(on.join(shuffled(known.select("id", "cause")), ["id", "cause"], "left_anti").withColumn("depth", F.lit(k)))
         if frontier.isEmpty():
             return known
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     raise ValueError(f"causes still lead on after {rounds} rounds")
