@@ -254,3 +254,11 @@ def test_one_text_of_a_repeated_labelled_id(spark):
         patch.setattr(toxicity, "_first_of_near_copies", lambda rows: sizes.append(rows.count()) or plain(rows))
         toxicity.train(docs, labels)
     assert sizes == [29]
+
+
+def test_query_counts_all_orders_of_the_operator(spark):
+    import inspect
+
+    from tidemark.llm import kneser_ney
+
+    assert kneser_ney.QUERY_ORDER == inspect.signature(kneser_ney.count).parameters["order"].default == 3
