@@ -34,6 +34,15 @@ def test_decisions_without_broadcasts(spark):
     assert len(rows) == 60 and all(rows[100 + k] == ("update" if k % 2 == 0 else "create") for k in range(60))
 
 
+def test_statements_with_other_anchors_do_not_meet_by_words(spark):
+    n, k = 300, F.col("id")
+    own = spark.range(n).select("id", F.lit("fact").alias("kind"), F.lit("active").alias("status"), F.concat(F.lit("the old gate of the north "), k.cast("string")).alias("summary"), F.array(F.concat(F.lit("Gate "), k.cast("string")), F.lit("x")).alias("anchors"))
+    bare = spark.createDataFrame([(n, "fact", "active", "the old gate of the north", [])], own.schema)
+    found = consolidation.alike(own.unionByName(bare), own.unionByName(bare))
+    assert {(r.summary, r.id) for r in found.collect()} == {(f"the old gate of the north {i}", j) for i in range(n) for j in (i, n)} | {("the old gate of the north", j) for j in range(n + 1)}
+    assert _most_rows(found._jdf.queryExecution().executedPlan()) <= 20 * n
+
+
 def test_places_of_a_name_share_its_mentions(spark):
     from tidemark.operators import views
 
