@@ -43,6 +43,25 @@ def test_statements_with_other_anchors_do_not_meet_by_words(spark):
     assert _most_rows(found._jdf.queryExecution().executedPlan()) <= 20 * n
 
 
+def _rows_of_joins(plan) -> list[int]:
+    """Rows that the joins of a plan made, those nearest to its root first."""
+    name = plan.getClass().getSimpleName()
+    own = [plan.metrics().get("numOutputRows").get().value()] if name.endswith("JoinExec") else []
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return own + [x for p in below for x in _rows_of_joins(p)]
+
+
+def test_whole_sets_are_fetched_for_similar_ones_only(spark):
+    from tidemark.operators import records
+
+    # Eight words of all, which are the rarest that any two share, and two sets that are alike.
+    told = [" ".join([f"r{k}" for k in range(8)] + [f"w{(i * 37 + k * k) % 400}" for k in range(100)]) for i in range(40)] + ["old mill by the river", "old mill by the river again"]
+    own = spark.createDataFrame([(i, "fact", x) for i, x in enumerate(told)], "id long, kind string, summary string")
+    found = records.similar_records(own, 0.7)
+    assert [tuple(r)[:2] for r in found.collect()] == [(40, 41)]
+    assert _rows_of_joins(found._jdf.queryExecution().executedPlan())[:2] == [1, 1]
+
+
 def test_places_of_a_name_share_its_mentions(spark):
     from tidemark.operators import views
 
