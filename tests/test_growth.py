@@ -181,3 +181,20 @@ def test_known_points_are_not_broadcast(spark, monkeypatch):
     found = []
     assert _broadcast_rounds(monkeypatch, derivation, lambda: found.extend(derivation.derived_points(places, relations).collect())) == 0
     assert len(found) == 40 and max(r.depth for r in found) == 4
+
+
+def test_records_are_folded_batch_by_batch(spark):
+    """Each batch of rows is passed on when the next one is there, also where a record goes on in it; what a fold doesn't read stays as it is."""
+    import pyarrow as pa
+
+    from tidemark.operators import transactions as tx
+
+    kind = f"chat long, {tx.MUTATION}, outcome string"
+    given, out = tx._arrow(spark, f"{kind}, begun {tx._STRUCT}"), tx._arrow(spark, f"chat long, batch long, ordinal long, message long, lineage string, action string, record string, related array<string>, evidence {tx._EVIDENCE}, outcome string, fields {tx._STRUCT}")
+    said = [{"chat": 1, "batch": k, "ordinal": k, "message": k, "action": "update" if k else "create", "record": "a", "kind": "fact", "summary": f"s{k}", "related": ["b"], "evidence": [{"claim": f"c{k}"}]} for k in range(3)]
+    said += [{"chat": 1, "batch": 3, "ordinal": 3, "message": 3, "action": "update", "record": "b"}]
+    found = list(tx._folded((pa.RecordBatch.from_pylist([x], given) for x in said), out))
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [b.num_rows for b in found] == [1] * 4 and [r["outcome"] for r in rows] == ["applied"] * 3 + ["no such record"]
+    assert [r["evidence"] and r["evidence"][0]["claim"] for r in rows] == ["c0", "c1", "c2", None]
+    assert [r["fields"] and (r["fields"]["summary"], r["fields"]["created"], r["fields"]["changed"]) for r in rows] == [None, None, ("s2", 0, 2), None]

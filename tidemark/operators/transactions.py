@@ -101,27 +101,36 @@ class RecordFold:
         return "applied"
 
 
+#: What a fold reads of a mutation; all else passes it by as Arrow columns.
+_READ = ("chat", "record", "batch", "message", "action", *TEXTS, *LISTS, "outcome", "begun")
+
+
 def _folded(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come by chat and record, and in their order: each with its outcome, the last of a record with its fields."""
-    own, fold, out, size = None, None, [], 0
+    own, fold, held = None, None, None
 
-    def ended() -> None:
-        if out and own is not None and fold.fields:
-            out[-1]["fields"] = fold.fields
+    def told(batch: pa.RecordBatch, outcome: list, fields: list) -> pa.RecordBatch:
+        new = {"outcome": outcome, "fields": fields}
+        return pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     for batch in batches:
-        for m in batch.to_pylist():
+        outcome, fields = [], [None] * batch.num_rows
+        for k, m in enumerate(batch.select(_READ).to_pylist()):
             if own != (m["chat"], m["record"]):
-                ended()
-                if len(out) > 10_000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
+                if fold and fold.fields:
+                    (fields if k else held[2])[k - 1] = fold.fields
                 begun = m["begun"]
                 own, fold = (m["chat"], m["record"]), RecordFold(tuple(begun[c] for c in NAMES) if begun else None)
-            out.append({c: m[c] for c in ("chat", "batch", "ordinal", "message", "lineage", "action", "record", "related", "evidence")} | {"outcome": m["outcome"] or fold.apply(m), "fields": None})
-    ended()
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+            outcome.append(m["outcome"] or fold.apply(m))
+        if outcome:
+            # The next batch may go on with the last record.
+            if held:
+                yield told(*held)
+            held = batch, outcome, fields
+    if held:
+        if fold.fields:
+            held[2][-1] = fold.fields
+        yield told(*held)
 
 
 #: The place of what was there before all batches, and the outcome of its rows.
