@@ -243,6 +243,51 @@ def test_counts_that_do_not_fit_are_refused(tmp_path):
             out.add(*row(count, one))
 
 
+def test_words_of_odd_texts_are_told_apart():
+    """Against plain splitting: one hash for each word, whatever its length and bytes, and wherever a text is cut."""
+    texts = [b"", b" ", b"\x00", b"\x00\x00", b"a\x00", b"a", b"A a", b"x" * 64, b"x" * 65, b"x" * 66, b"abcdefg abcdefgh abcdefghi", "\u00e9 \u00dc\u0085".encode(), b"a\x1cb", b"a\x0bb\x0cc\rd\te\nf ", b"many words " * 200_000]
+    seq, place = kneser_ney.sequence_of(texts, kneser_ney._hashes())
+    hashes, at = {}, 0
+    for text in texts:
+        words = kneser_ney.words_of(text)
+        assert seq[at] == kneser_ney.START and seq[at + len(words) + 1] == kneser_ney.END
+        assert place[at : at + len(words) + 2].tolist() == list(range(len(words) + 2))
+        for word, own in zip(words, seq[at + 1 : at + 1 + len(words)].tolist(), strict=True):
+            assert hashes.setdefault(word, own) == own
+        at += len(words) + 2
+    assert at == len(seq) and len(set(hashes.values()) - {kneser_ney.START, kneser_ney.END}) == len(hashes)
+
+
+def test_rows_of_many_different_numbers(spark):
+    """Of 600 pairs, each as often as none else, most are listed apart; counts and sums of followers are as counted."""
+    texts = [f"hot w{i}" for i in range(600) for _ in range(i + 1)]
+    model = kneser_ney.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order=3)
+    assert sum(apart for _, apart, *_ in model.apart.values()) > 0
+    tables = kneser_ney._Tables(model)
+    seq, _ = kneser_ney.sequence_of([f"hot w{i}".encode() for i in range(600)], kneser_ney._hashes())
+    counts, numbers = tables.words(seq)
+    start, hot, word, end = numbers.reshape(-1, 4).astype(np.uint64).T
+    assert counts.reshape(-1, 4)[:, 2].tolist() == list(range(1, 601)) and len(set(word.tolist())) == 600
+    assert max(numbers) == model.vocabulary and hot[0] in (1, 2)
+    assert tables.find(3, kneser_ney.key_of([start, hot, word]))[0].tolist() == list(range(1, 601))
+    found = tables.find(2, kneser_ney.key_of([hot, word]))
+    assert found[0].tolist() == [1] * 600 and found[1].tolist() == list(range(1, 601))
+    (total, one, two, more) = tables.find(2, kneser_ney.key_of([start, hot]))[1:, 0]
+    assert (total, one, two, more) == (600 * 601 // 2, 1, 1, 598)
+
+
+def test_kneser_ney_takes_little_disk(spark):
+    """Bytes of the tables and of shuffled blocks for each n-gram, with words as frequent as in a language."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 50_000) for _ in range(400)]
+    model = kneser_ney.count(spark.createDataFrame([(t,) for t in texts], "text string"))
+    n = sum(n for (level, _), n in model.sizes.items() if level > 1)
+    folder = kneser_ney._local(model.folder)
+    assert sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x[0] in "23") < 12 * n
+    blocks = [r for b in kneser_ney._count(3, 4, 1, model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]) for r in b.to_pylist()]
+    assert sum(len(r["block"]) for r in blocks) < 7 * sum(int.from_bytes(r["block"][:8], "little") for r in blocks)
+
+
 def test_one_text_of_a_repeated_labelled_id(spark):
     """Many documents under one labelled id are one row of the sample."""
     rows = [(1, f"vile word{i % 3}") for i in range(300)] + [(i, f"plain text number{i}") for i in range(2, 30)]
