@@ -276,14 +276,48 @@ def test_rows_of_many_different_numbers(spark):
     assert (total, one, two, more) == (600 * 601 // 2, 1, 1, 598)
 
 
+def test_search_among_cut_keys(tmp_path):
+    """Against a dict; keys that agree in 48 bits, others in none, also at both ends."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.r_[rng.integers(1 << 62, 3 << 62, 3000, np.uint64), (rng.integers(1 << 46, 3 << 46, 20, np.uint64)[:, None] << np.uint64(16) | rng.integers(0, 1 << 16, 40, np.uint64)).ravel()])
+    out = kneser_ney._Table(f"file://{tmp_path}", "2-0", kneser_ney._COUNT)
+    for some in (keys[:1700], keys[1700:]):
+        out.add(some, *kneser_ney._split(np.ones(len(some), np.int64)))
+    n, shared, apart, begins = out.close()
+    assert (n, shared, apart) == (len(keys), 1, 0)
+    begin, key, rest = (np.fromfile(f"{tmp_path}/2-0.{c}", k) for c, k in (("begin", np.uint64), ("key", np.uint32), ("rest", np.uint16)))
+    assert len(begin) == begins
+    at = {k: i for i, k in enumerate(keys.tolist())}
+    own = np.r_[keys, keys - np.uint64(1), keys + np.uint64(1), keys ^ np.uint64(1 << 40), rng.integers(0, (1 << 64) - 1, 3000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]
+    assert kneser_ney._among_cut(begin, key, rest, own).tolist() == [at.get(k, -1) for k in own.tolist()]
+
+
+def test_a_table_cut_short_fails(spark):
+    """Each of its files."""
+    model = kneser_ney.count(spark.createDataFrame([(f"hot w{i}",) for i in range(600) for _ in range(i + 1)], "text string"), order=2)
+    folder, (part, n) = kneser_ney._local(model.folder), next((p, n) for (level, p), n in model.sizes.items() if level == 2 and n > 1)
+    files = [x for x in os.listdir(folder) if x.startswith(f"2-{part}.")]
+    assert {x.split(".")[1] for x in files} == {"begin", "key", "rest", "code", "at", "low", "high"}
+    for name in files:
+        with open(f"{folder}/{name}", "r+b") as file:
+            whole = file.read()
+            file.truncate(len(whole) // 2 // 8 * 8)
+        keys = np.arange(0, 1 << 64, 1 << 54, dtype=np.uint64)
+        with pytest.raises(ValueError, match="rows, not|empty file"):
+            kneser_ney._Tables(model).find(2, keys)
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(whole)
+        assert kneser_ney._Tables(model).find(2, keys).shape == (1, len(keys))
+
+
 def test_kneser_ney_takes_little_disk(spark):
     """Bytes of the tables and of shuffled blocks for each n-gram, with words as frequent as in a language."""
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 50_000) for _ in range(400)]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 50_000) for _ in range(1000)]
     model = kneser_ney.count(spark.createDataFrame([(t,) for t in texts], "text string"))
     n = sum(n for (level, _), n in model.sizes.items() if level > 1)
     folder = kneser_ney._local(model.folder)
-    assert sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x[0] in "23") < 12 * n
+    assert sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x[0] in "23") < 11 * n
     blocks = [r for b in kneser_ney._count(3, 4, 1, model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]) for r in b.to_pylist()]
     assert sum(len(r["block"]) for r in blocks) < 7 * sum(int.from_bytes(r["block"][:8], "little") for r in blocks)
 

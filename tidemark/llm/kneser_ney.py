@@ -12,7 +12,8 @@ there keep their plain count. Discounts come from sums over the ranges.
 
 Scoring: workers map the arrays into memory and look up a million tokens at a time with binary search; an n-gram's own row holds both
 its count and the sums of its followers, so each order costs one search. Rows of the same numbers share them: a row has one byte that
-says which, and the few rows of rare numbers are listed apart.
+says which, and the few rows of rare numbers are listed apart. Of the sorted hashes 48 bits are kept, and where each value of the other 16
+begins.
 
 Ranges are cut fine enough that one holds the n-grams of some megabytes of text, whatever the corpus. The n-grams of a frequent
 context lie in all ranges alike, and in the next order it is one row of sums from each, so no range outgrows the others.
@@ -52,6 +53,8 @@ _COUNT = (("key", np.uint64), ("low", np.uint32), ("high", np.uint8))
 _SUMS = (("total", np.uint64), ("one", np.uint32), ("two", np.uint32), ("more", np.uint32))
 #: Of the words' plain counts: a word's place among those of its part whose counts have as many bits.
 _RANK = (("rank", np.uint32),)
+#: Of other tables: 32 and 16 bits of the key, and which row of numbers is its own.
+_CODED = (("key", np.uint32), ("rest", np.uint16), ("code", np.uint8))
 #: The code of rows that are listed apart; lower ones are places of shared rows.
 _APART = 255
 _BREAK = np.isin(np.arange(256), list(SPACE))
@@ -297,10 +300,11 @@ class _Writer:
 
 
 class _Table:
-    """Appends to a table of keys and numbers. The commonest rows of numbers in what comes first are shared: of these and of rows listed apart the numbers are written, of others a code."""
+    """Appends to a table of keys, in their order, and numbers. Keys lack their first 16 bits: of these it is written, after the first, at which row each begins, and the end. The commonest rows of numbers in what comes first are shared: of these and of rows listed apart the numbers are written, of others a code."""
 
     def __init__(self, folder: str, name: str, columns: tuple):
-        self.out, self.apart, self.numbers = _Writer(folder, name, (columns[0], ("code", np.uint8))), _Writer(folder, name, (("at", np.uint64),)), _Writer(folder, name, columns[1:])
+        self.out, self.numbers = _Writer(folder, name, _CODED), _Writer(folder, name, columns[1:])
+        self.apart, self.begins, self.tops = _Writer(folder, name, (("at", np.uint64),)), _Writer(folder, name, (("begin", np.uint64),)), np.zeros(1 << 16, np.int64)
         self.shared: tuple[np.ndarray, ...] | None = None
 
     def add(self, keys: np.ndarray, *numbers: np.ndarray) -> None:
@@ -316,11 +320,41 @@ class _Table:
         apart = np.flatnonzero(~same)
         self.apart.add(apart + self.out.n)
         self.numbers.add(*(x[apart] for x in own))
-        self.out.add(keys, np.where(same, at, _APART))
-
-    def close(self) -> tuple[int, int, int]:
-        """Rows, those that are shared, those listed apart."""
-        return self.out.close(), self.numbers.close() - self.apart.n, self.apart.close()
+        self.tops += np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        self.out.add(keys >> np.uint64(16) & np.uint64(0xFFFFFFFF), keys & np.uint64(0xFFFF), np.where(same, at, _APART))
+
+    def close(self) -> tuple[int, int, int, int]:
+        """Rows, those that are shared, those listed apart, numbers of where keys begin."""
+        tops = np.flatnonzero(self.tops)
+        self.begins.add(np.r_[tops[0], 0, np.cumsum(self.tops[tops[0] : tops[-1] + 1])])
+        return self.out.close(), self.numbers.close() - self.apart.n, self.apart.close(), self.begins.close()
+
+
+def _among(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places of hashes among sorted ones, -1 where there are none."""
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.where(keys[at] == own, at, -1)
+
+
+def _among_cut(begin: np.ndarray, keys: np.ndarray, rest: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """As _among(), of a table's keys: binary search by 32 bits between the rows where the first 16 begin and end."""
+    top = (own >> np.uint64(48)).astype(np.int64) - int(begin[0])
+    there = (top >= 0) & (top < len(begin) - 2)
+    top = np.where(there, top, 0)
+    at, end = begin[top + 1].astype(np.int64), np.where(there, begin[top + 2].astype(np.int64), 0)
+    at = np.minimum(at, end)
+    key, last, to = (own >> np.uint64(16)).astype(np.uint32), own.astype(np.uint16), end
+    for _ in range(int((end - at).max(initial=0)).bit_length()):
+        mid = (at + to) >> 1
+        less = (keys[np.minimum(mid, len(keys) - 1)] < key) & (mid < to)
+        at, to = np.where(less, mid + 1, at), np.where(less, to, mid)
+    while True:
+        row = np.minimum(at, len(keys) - 1)
+        like = (at < end) & (keys[row] == key)
+        low = like & (rest[row] < last)
+        if not low.any():
+            return np.where(like & (rest[row] == last), at, -1)
+        at = at + low
 
 
 def _split(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +409,7 @@ def _level(folder: str, level: int, order: int, parts: int, subs: int):
     """Merges the n-grams of `level` and writes their table, passes on what belongs to lower levels, and rows of sums (no block).
 
     Sums have the level, how many n-grams have counts 1 to 4, the sum of counts, and n: how many have 3 and more. With a part, n is the
-    number of rows of its table, n1 of those that are shared, and n2 of those listed apart.
+    number of rows of its table, n1 of those that are shared, n2 of those listed apart, and n3 how many numbers say where keys begin.
     """
     columns = _COUNT + (_SUMS if level < order else ())
 
@@ -405,8 +439,8 @@ def _level(folder: str, level: int, order: int, parts: int, subs: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             if out is not None:
-                n, shared, apart = out.close()
-                yield _rows([(part, None, level, None, None, shared, apart, 0, 0, 0, n)])
+                n, *more = out.close()
+                yield _rows([(part, None, level, None, None, *more, 0, 0, n)])
 
         for own, _, rows in _groups(batches):
             if own != part:
@@ -434,7 +468,7 @@ class Model:
     """folder: of the arrays. sizes: the number of rows of each table's part, by (level, part); level 0 has the words' plain counts.
 
     first: by part and number of bits of a word's count, the number of the first such word. apart: by (level, part), how many rows of
-    numbers are shared and how many listed apart.
+    numbers are shared, how many listed apart, and how many numbers say where keys begin.
     """
 
     folder: str
@@ -449,7 +483,7 @@ class Model:
     discounts: tuple[tuple[float, float, float], ...] = ()
     #: Sum of the counts of words in level 1, and what discounts take from it.
     lowest: tuple[int, float] = (0, 0.0)
-    apart: dict[tuple[int, int], tuple[int, int]] = field(hash=False, default_factory=dict)
+    apart: dict[tuple[int, int], tuple[int, int, int]] = field(hash=False, default_factory=dict)
 
 
 def count(texts: DataFrame, text_col: str = "text", order: int = 3) -> Model:
@@ -470,7 +504,7 @@ def count(texts: DataFrame, text_col: str = "text", order: int = 3) -> Model:
         sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "n")]
         found = rows.groupBy("level", "part").agg(*sums).collect()
     sizes = words.sizes | {(r.level, r.part): r.n for r in found if r.part is not None}
-    apart = {(r.level, r.part): (r.n1, r.n2) for r in found if r.part is not None}
+    apart = {(r.level, r.part): (r.n1, r.n2, r.n3) for r in found if r.part is not None}
     of = {r.level: r for r in found if r.part is None}
     known = tuple(discounts(*of[k][2:6]) if k in of else (0.5, 1.0, 1.5) for k in range(1, order + 1))
     lowest = (of[1].total, float(np.dot(known[0], (of[1].n1, of[1].n2, of[1].n)))) if 1 in of else (0, 0.0)
@@ -541,28 +575,32 @@ class _Tables:
             raise ValueError(f"{path} has {len(out)} rows, not {n}")
         return out
 
-    def _hits(self, level: int, hashes: np.ndarray, open_: Callable[[int], list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, int]]:
+    def _hits(self, level: int, hashes: np.ndarray, open_: Callable[[int], tuple]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, int]]:
         """(arrays of a part, places there, places of the hashes found there, part)."""
         order = np.argsort(hashes)
         own = hashes[order]
         ranges = _slot(own, self.model.slots) // (self.model.slots // self.model.parts)
         ends = np.searchsorted(ranges, np.arange(self.model.parts + 1))
         for p in np.flatnonzero(np.diff(ends)).tolist():
-            a, b = ends[p], ends[p + 1]
+            if not self.model.sizes.get((level, p)):
+                continue
             if (level, p) not in self.open:
                 self.open[level, p] = open_(p)
-            keys, *rest = self.open[level, p]
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, own[a:b]), len(keys) - 1)
-            hit = keys[at] == own[a:b]
-            yield rest, at[hit], order[a:b][hit], p
+            search, keys, rest = self.open[level, p]
+            at = search(*keys, own[ends[p] : ends[p + 1]])
+            hit = np.flatnonzero(at >= 0)
+            yield rest, at[hit], order[ends[p] + hit], p
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(plain counts, numbers) of words."""
         counts, numbers = np.zeros(len(hashes), np.int64), np.full(len(hashes), UNKNOWN, np.int64)
         numbers[hashes == START] = NO_WORD
-        for (low, high, rank), at, to, p in self._hits(0, hashes, lambda p: [self.array(0, p, *c) for c in _COUNT + _RANK]):
+
+        def open_(p: int) -> tuple:
+            key, *rest = [self.array(0, p, *c) for c in _COUNT + _RANK]
+            return _among, [key], rest
+
+        for (low, high, rank), at, to, p in self._hits(0, hashes, open_):
             counts[to] = low[at].astype(np.int64) + (high[at].astype(np.int64) << 32)
             numbers[to] = self.model.first[p, np.frexp(counts[to].astype(float))[1]] + rank[at]
         return counts, numbers
@@ -571,9 +609,11 @@ class _Tables:
         """A column for the counts of hashes and, of levels under the order, one each for the sums of followers; zeros where there are none."""
         columns = _COUNT[1:] + (_SUMS if level < self.model.order else ())
 
-        def open_(p: int) -> list[np.ndarray]:
-            shared, apart = self.model.apart.get((level, p), (0, 0))
-            return [self.array(level, p, "key", np.uint64), self.array(level, p, "code", np.uint8), self.array(level, p, "at", np.uint64, apart), *(self.array(level, p, *c, shared + apart) for c in columns)]
+        def open_(p: int) -> tuple:
+            shared, apart, begins = self.model.apart[level, p]
+            keys, rest, code = [self.array(level, p, *c) for c in _CODED]
+            numbers = [self.array(level, p, *c, shared + apart) for c in columns]
+            return _among_cut, [self.array(level, p, "begin", np.uint64, begins), keys, rest], [code, self.array(level, p, "at", np.uint64, apart), *numbers]
 
         out = np.zeros((len(columns) - 1, len(hashes)), np.int64)
         for (code, apart, low, high, *sums), at, to, _ in self._hits(level, hashes, open_):
