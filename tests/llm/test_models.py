@@ -276,6 +276,17 @@ def test_rows_of_many_different_numbers(spark):
     assert (total, one, two, more) == (600 * 601 // 2, 1, 1, 598)
 
 
+@pytest.mark.parametrize("columns", [1, 2, 3, 4, 6])
+@pytest.mark.parametrize("base", [3, 1 << 10, 1 << 17, 1 << 24])
+def test_different_rows_of_small_numbers(columns, base):
+    """Also where a row doesn't fit 64 bits."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, base, (50, columns))[rng.integers(0, 50, 3000)]
+    found, counts = kneser_ney._distinct(list(rows.T), base)
+    want = sorted(Counter(map(tuple, rows.tolist())).items())
+    assert list(zip(zip(*(x.tolist() for x in found), strict=True), counts.tolist(), strict=True)) == want
+
+
 def test_search_among_cut_keys(tmp_path):
     """Against a dict; keys that agree in 48 bits, others in none, also at both ends."""
     rng = np.random.default_rng(5)

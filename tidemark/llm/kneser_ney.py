@@ -66,7 +66,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _hashes() -> Memo:
-    return Memo(lambda w: max(3, xxhash.xxh64_intdigest(w)), 250_000)
+    """Of words over LONGEST, which it doesn't keep."""
+    return Memo(lambda w: max(3, xxhash.xxh64_intdigest(w)))
 
 
 def extended(key: np.ndarray, word: np.ndarray) -> np.ndarray:
