@@ -1,6 +1,10 @@
 """Proposals of what follows: rules, inherited evidence, causes of causes."""
 
 import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import derived
 
@@ -46,3 +50,38 @@ def test_causes_of_causes(spark):
             want |= {(i, c): depth for c in now}
     assert found == want and max(found.values()) > 3
     assert derived.all_causes(spark.createDataFrame([], "id long, caused_by array<long>")).count() == 0
+
+
+def test_causes_of_layers(spark, monkeypatch):
+    """Records above a core with cycles, of which some are deeper by one cause than by another."""
+    monkeypatch.setattr(derived, "SMALL", 20)
+    rng = random.Random(8)
+    edges = {i: sorted({i // 2, i // 3, rng.randint(0, max(0, i - 1))}) for i in range(8, 160)} | {i: [(i + 1) % 8] for i in range(8)}
+    rows = spark.createDataFrame(list(edges.items()), "id long, caused_by array<long>")
+    layers, rest = derived._layers(rows.select("id", F.explode("caused_by").alias("cause")), sum(map(len, edges.values())))
+    assert len(layers) > 1 and 0 < rest.count() < 160
+    found = {(r.id, r.cause): r.depth for r in derived.all_causes(rows).collect()}
+    want = {}
+    for i in edges:
+        depth, now = 0, {i}
+        while now:
+            depth, now = depth + 1, {c for x in now for c in edges[x]} - {i} - {c for (a, c) in want if a == i}
+            want |= {(i, c): depth for c in now}
+    assert found == want and derived.all_causes(rows).count() == len(want)
+    most = max(want.values())
+    assert derived.all_causes(rows, most).count() == len(want)
+    with pytest.raises(ValueError):
+        derived.all_causes(rows, most - 1)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from tidemark.operators.shared import SHUFFLES_GO, cut
+
+    held = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = held()
+    kept = cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(100):  # files go a little later
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get(SHUFFLES_GO) == "false" and kept.count() == 10

@@ -67,12 +67,29 @@ def inherited_evidence(proposals: DataFrame, supports: DataFrame, time_anchor: s
     return kept.select("id", place.alias("place"), "message", "lineage", F.when(F.col("type") == "time", "elapsed_hint").otherwise(F.col("source_class")).alias("source_class"), "claim", anchor.alias("time_anchor"))
 
 
-def all_causes(records: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, cause, depth): what each record follows from, its causes' causes too, each at its least depth; cycles end, and a record is no cause of itself.
+#: Steps up to this number are closed in rounds; of more, records that cause no other come off first, in layers of a quarter of the steps at least.
+SMALL = 50_000
+#: A layer's pairs meet in tasks of about so many.
+PAIRS = 2_000_000
 
-    records: id, caused_by (array). Each round takes the newest pairs one step on; pairs are deduplicated before they are kept. More than `rounds` rounds fail.
-    """
-    steps = cut(records.select("id", F.explode("caused_by").alias("cause")).filter("id <> cause").distinct())
+
+def _layers(steps: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame]:
+    """The n steps as layers, and the rest: no record of a layer is a cause of its own or a later layer, nor of the rest."""
+    layers, rest = [], steps
+    while n > SMALL:
+        causes = rest.select(F.col("cause").alias("id")).distinct().withColumn("leads", F.lit(True))
+        marked = cut(rest.join(shuffled(causes), "id", "left"))
+        layer, rest = marked.filter("leads is null").drop("leads"), marked.filter("leads").drop("leads")
+        ended = layer.count()
+        if ended * 4 < n:
+            return layers, marked.drop("leads")
+        layers.append(layer)
+        n -= ended
+    return layers, rest
+
+
+def _in_rounds(steps: DataFrame, rounds: int) -> DataFrame:
+    """Each round takes the newest pairs one step on; pairs are deduplicated before they are kept."""
     known = frontier = cut(steps.withColumn("depth", F.lit(1)))
     for k in range(2, rounds + 2):
         on = frontier.select("id", F.col("cause").alias("mid")).join(shuffled(steps.select(F.col("id").alias("mid"), "cause")), "mid").filter("id <> cause").select("id", "cause").distinct()
@@ -81,3 +98,31 @@ def all_causes(records: DataFrame, rounds: int = 64) -> DataFrame:
             return known
         known = known.unionByName(frontier)
     raise ValueError(f"causes still lead on after {rounds} rounds")
+
+
+def all_causes(records: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, cause, depth): what each record follows from, its causes' causes too, each at its least depth; cycles end, and a record is no cause of itself.
+
+    records: id, caused_by (array). Records that cause no other come off in layers, as often as that takes enough of them; what is left, with all cycles, is closed in rounds. Then each layer
+    takes the pairs of its causes, so that pairs are found once, from whole ones, and those of the first layer, most as a rule, are worked out as they are read. Depths over `rounds` fail.
+    """
+    steps = cut(records.select("id", F.explode("caused_by").alias("cause")).filter("id <> cause").distinct())
+    layers, rest = _layers(steps, steps.count())
+    known = _in_rounds(rest, rounds)
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs, deepest, ids = known.agg(F.count("*"), F.max("depth"), F.count_distinct("id")).first()
+    for k in reversed(range(len(layers))):
+        own = layers[k].agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+        on = layers[k].select("id", F.col("cause").alias("mid")).join(shuffled(known.select(F.col("id").alias("mid"), "cause", "depth")), "mid").select("id", "cause", (F.col("depth") + 1).alias("depth"))
+        both = layers[k].withColumn("depth", F.lit(1)).unionByName(on)
+        about = own.n * (1 + pairs // max(1, ids))
+        both = both.repartition(max(1, min(max(tasks, about // PAIRS), about // 50_000)), "id")  # runs of an id take less disk than pairs dealt out singly
+        new = both.groupBy("id", "cause").agg(F.min("depth").alias("depth"))
+        if k or (deepest or 0) >= rounds:
+            new = cut(new)
+            found = new.agg(F.count("*").alias("n"), F.max("depth").alias("depth")).first()
+            pairs, deepest, ids = pairs + found.n, max(deepest or 0, found.depth), ids + own.ids
+            if deepest > rounds:
+                raise ValueError(f"causes still lead on after {rounds} rounds")
+        known = known.unionByName(new)
+    return known
