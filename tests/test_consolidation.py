@@ -96,3 +96,53 @@ def test_consolidated_creations(spark):
         10: ("update", 1, ["north gate", "Gate"]), 11: ("create", None, ["north gate"]), 12: ("resolve", 3, ["ford"]), 13: ("reject", 2, ["mill"]), 14: ("reject", None, []), 15: ("create", None, []), 16: ("create", None, []), 17: ("create", None, []),
     }
     assert consolidation.consolidate(new.limit(0), records).count() == 0
+
+
+@pytest.mark.parametrize("carried", [0, 4, 9])
+def test_alike_short_and_long_statements(spark, monkeypatch, carried):
+    """Statements that travel with their keys, and those that are fetched, against all pairs."""
+    monkeypatch.setattr(consolidation, "CARRIED", carried)
+    rng = random.Random(carried)
+    pick = lambda: " ".join(rng.choice("ash birch cedar dew elm fir".split()) for _ in range(rng.randint(0, 7)))
+    rows = [(i, "fact", rng.choice(("active", "resolved")), pick(), rng.choice((None, ["a b"], ["a b", "c"], ["c", "d", "e f"]))) for i in range(90)]
+    df = spark.createDataFrame(rows, RECORD)
+    for least in (0.55, 0.7):
+        found = {(r.candidate_id, r.id): (r.n, r.score) for r in consolidation.pool(df.filter("id % 2 = 0"), df, least).collect()}
+        want = {}
+        for a, b in itertools.product(rows[::2], rows):
+            if (score := _plain(a, b)) >= least - 1e-9:
+                want.setdefault((a[0], b[2] == "active", b[3], tuple(b[4] or ())), []).append((b[0], round(score, 9)))
+        assert found == {(k[0], min(i for i, _ in x)): (len(x), x[0][1]) for k, x in want.items()}
+
+
+def test_best_of_another_subject_leaves_the_next(spark):
+    """The most similar record of the first is about another gate; the next is not."""
+    records = spark.createDataFrame([(1, "fact", "active", "Gate 3 is barred now", None), (2, "fact", "active", "the gate is barred now", None), (3, "fact", "resolved", "Gate 6 is barred now", None)], RECORD)
+    new = spark.createDataFrame([(10, "fact", None, "Gate 5 is barred now", None), (11, "fact", None, "gate is barred now", None), (12, "fact", None, "Gate 3 is barred now", None)], RECORD)
+    found = {r.candidate_id: (r.decision, r.id) for r in consolidation.decide(new, records, 0.5, 0.5).collect()}
+    assert found == {10: ("update", 2), 11: ("update", 1), 12: ("update", 1)}
+
+
+def test_decisions_list_no_pairs(spark):
+    """Many statements of the same anchors: what leaves the tasks where they meet is a row of each statement, not of each pair."""
+    n = 150
+    rows = spark.range(n).select("id", F.lit("fact").alias("kind"), F.lit("active").alias("status"), F.concat(F.lit("old mill number "), "id").alias("summary"), F.array(F.lit("Brand"), F.lit("mill")).alias("anchors"))
+    found = consolidation.decide(rows, rows)
+    assert {(r.candidate_id, r.id) for r in found.collect()} == {(k, k) for k in range(n)}
+    cuts = []
+    real = consolidation.cut
+    try:
+        consolidation.cut = lambda df: (cuts.append(df), real(df))[1]
+        consolidation.decide(rows, rows).collect()
+    finally:
+        consolidation.cut = real
+    cuts[0].collect()
+    assert 0 < _written(cuts[0]._jdf.queryExecution().executedPlan()) <= 20 * n
+
+
+def _written(plan) -> int:
+    """The most rows that an exchange of a plan wrote."""
+    name = plan.getClass().getSimpleName()
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return max([own, *map(_written, below)])
