@@ -62,6 +62,46 @@ def test_whole_sets_are_fetched_for_similar_ones_only(spark):
     assert _rows_of_joins(found._jdf.queryExecution().executedPlan())[:2] == [1, 1]
 
 
+def test_similar_records_some_at_a_time(spark, monkeypatch):
+    """Words are numbered and pairs counted in parts, with copies and with words of one set, as all pairs have it."""
+    import random
+
+    from tidemark.operators import records
+
+    rng = random.Random(5)
+    told = [" ".join(rng.sample("a b c d e f g h i j k l".split(), rng.randint(3, 9)) + ([f"only{i}"] if rng.random() < 0.3 else [])) for i in range(80)]
+    told += [" ".join(reversed(x.split())) for x in told[:20]] + ["", "one", "one"]
+    own = spark.createDataFrame([(i, rng.choice(("fact", None)), x) for i, x in enumerate(told)], "id long, kind string, summary string")
+    firsts = {}
+    for r in own.collect():
+        if r.summary:
+            firsts.setdefault((r.kind or "", frozenset(r.summary.split())), r.id)
+    want = {(i, j): len(a & b) / len(a | b) for (k, a), i in firsts.items() for (m, b), j in firsts.items() if i < j and k == m and len(a & b) / len(a | b) >= 0.7}
+    cuts = []
+    real = records.cut
+    monkeypatch.setattr(records, "cut", lambda df: (cuts.append(df), real(df))[1])
+    n = []
+    for some, met in ((10**9, 10**9), (100, 10**9), (100, 1)):
+        cuts.clear()
+        monkeypatch.setattr(records, "WORDS", some)
+        monkeypatch.setattr(records, "MET", met)
+        assert {(r.left_id, r.right_id): r.similarity for r in records.similar_records(own, 0.7).collect()} == want and len(want) > 9
+        n.append(len(cuts))
+    assert n[0] == 2 < n[1] < n[2]
+
+
+def test_whole_sets_do_not_travel(spark, monkeypatch):
+    """What is shuffled of a set's words is rows of a word and then numbers, not the set itself."""
+    from tidemark.operators import records
+
+    plans = []
+    real = records.cut
+    monkeypatch.setattr(records, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    own = spark.createDataFrame([(1, "fact", "old mill by the river"), (2, "fact", "old mill by the river again")], "id long, kind string, summary string")
+    assert [tuple(r)[:2] for r in records.similar_records(own).collect()] == [(1, 2)]
+    assert not any("Exchange hashpartitioning(kind" in line and "own#" in line for x in plans for line in x.splitlines())
+
+
 def test_places_of_a_name_share_its_mentions(spark):
     from tidemark.operators import views
 
